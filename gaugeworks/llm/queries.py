@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import exact_dedup, sharding, simhash
+from gaugeworks.llm import byte_bpe, exact_dedup, packing, sharding, simhash, token_file
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_token_file": token_file.op2_token_file,
     "op4_sharding": sharding.op4_sharding,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_packing": packing.op8_packing,
 }
 ORACLES = {"op7_exact_dedup": exact_dedup.OP7_SQL}
