@@ -170,8 +170,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def labelled_sample(pages: DataFrame, sample: int = SAMPLE) -> list[str]:
     """Up to ``sample`` pages that mark their article, chosen by a hash of the page_id."""
-    marked = pages.where(F.regexp_like("html", F.lit("(?i)<article|<main|articlebody")))
-    return [r.html for r in marked.select("html", F.xxhash64("page_id", "url").alias("at")).orderBy("at").limit(sample).collect()]
+    marked = pages.where(F.regexp_like("html", F.lit("(?i)<article|<main|articlebody"))).select("html", F.xxhash64("page_id", "url").alias("at"))
+    # the places alone go through the sort, so that a task sends no more than ``sample`` numbers
+    chosen = marked.select("at").orderBy("at").limit(sample).distinct()
+    return [r.html for r in marked.join(F.broadcast(chosen), "at").groupBy("at").agg(F.min("html").alias("html")).orderBy("at").collect()]
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
