@@ -27,7 +27,7 @@ from gaugeworks.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens of which a worker keeps the ids, and their greatest length.
-KEPT, KEPT_LENGTH = 300_000, 64
+KEPT, KEPT_LENGTH = 1_000_000, 64
 #: White space as Unicode's property has it, which the ranks' library means by \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
