@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for row, ids in enumerate(encoded(batch["text"].to_pylist(), vocabulary)):
+            for row, ids in enumerate(encoded(batch["text"], vocabulary)):
                 ids += end
                 for k in range(-(-len(ids) // (4 * capacity))):
                     part = ids[4 * capacity * k : 4 * capacity * (k + 1)]

@@ -95,7 +95,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             return pa.RecordBatch.from_pylist([{"pid": pid, "seq": seq, "local_start": local, "n_tokens": n, "doc_ids": ids, "starts": starts, "payload": pack_codes(tokens)}], PAYLOAD)
 
         for batch in batches:
-            for doc_id, got in zip(batch["doc_id"].to_pylist(), encoded(batch["text"].to_pylist(), vocabulary), strict=True):
+            for doc_id, got in zip(batch["doc_id"].to_pylist(), encoded(batch["text"], vocabulary), strict=True):
                 ids.append(doc_id)
                 starts.append(local + n)
                 parts.append(got + end)

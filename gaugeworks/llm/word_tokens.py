@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
-import regex
+import pyarrow as pa
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pre-tokens kept in a worker; beyond that the store is emptied and filled anew.
-KEPT = 300_000
-#: The vocabulary's own split pattern (a fixed value of the file).
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Pre-tokens kept in a worker; beyond that those met in one block of texts only are dropped.
+KEPT = 400_000
+#: The letters and numbers of PLAIN texts once in lower case.
+LETTERS, NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The vocabulary's own split pattern (a fixed value of the file), with these characters for its classes.
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 #: Characters on which Python's and the library's lower-casing, composition and classes agree.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
 
@@ -32,6 +36,7 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -46,27 +51,27 @@ class WordTokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, four bytes each."""
         split = [PRE_TOKEN.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = {w for words in split if words for w in words}
+        met = set().union(*filter(None, split))
+        new = met.difference(self.known)
         if len(self.known) + len(new) > KEPT:
-            new -= self.known.keys()
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-                new = {w for words in split if words for w in words}
-        else:
-            new -= self.known.keys()
+            few = len(self.again) <= KEPT // 2
+            self.known = {w: self.known[w] for w in self.again} if few else {}
+            self.again.clear()
+            new = met.difference(self.known)
+        self.again |= met - new
         if new:
             new = list(new)
             for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
+                self.known[word] = array("I", got.ids).tobytes()
         get = self.known.__getitem__
         return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
 
-def encoded(texts, path: str, at_once: int = 100):
+def encoded(texts: pa.Array, path: str, at_once: int = 400) -> Iterator[bytes]:
     """The ids of each text of a column, null as the empty text, in blocks that bound what is held."""
     tokenizer = WordTokens.of(path)
     for i in range(0, len(texts), at_once):
-        yield from tokenizer.encode([t or "" for t in texts[i : i + at_once]])
+        yield from tokenizer.encode([t or "" for t in texts.slice(i, at_once).to_pylist()])
 
 
 def vocabulary_path() -> str:
