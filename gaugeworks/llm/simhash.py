@@ -182,7 +182,7 @@ def similar_groups(docs: DataFrame, words: int = 2, distance: int = 8, shingle:
         both = pairs.distinct().join(a, "a").join(b, "b")
         return both.where(similarity(F.col("low_a"), F.col("low_b"), size) >= least).select("a", "b")
 
-    first = Window.partitionBy("variant").orderBy("fp", "key").rowsBetween(Window.unboundedPreceding, 0)
+    first = Window.partitionBy("variant").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     led = index(bare).select("key", "fp", F.first("key").over(first).alias("lead"), F.first("fp").over(first).alias("lead_fp"))
     led = led.where((F.col("key") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= distance))
     stars = stage(verified(led.select(F.col("lead").alias("a"), F.col("key").alias("b"))), "stars")
