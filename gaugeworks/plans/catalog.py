@@ -279,7 +279,7 @@ query("wn03_top_combos", f"{COMBOS}{REF} SELECT process_type, process, ng, key,
 query("wn04_wn07_worst_by_reason", f"SELECT reason, process, ng, ppm, row_number() OVER (PARTITION BY reason ORDER BY ppm DESC, process, ng)::INTEGER AS rank FROM (SELECT reason, process, ng, {PPM} AS ppm FROM facts JOIN reasons USING (process, ng) GROUP BY ALL HAVING sum(ng_qty) > 0) QUALIFY rank <= 5", "facts reasons")(
     lambda s, d: ranking.top_by(rates.combo_ppm(enrich.reason(facts(s, d), reasons(s, d)).where("reason <> ''"), ["reason", "process", "ng"]).where("ppm > 0"), "reason", 5, "ppm", ["process", "ng"])
 )
-query("wn05_worst_in_group", GROUPED + f", c AS (SELECT grp, process, ng, {PPM} AS ppm FROM grouped GROUP BY ALL), t AS (SELECT process, ng FROM c WHERE grp = 'ASIA' ORDER BY ppm DESC, process, ng LIMIT 5) SELECT grp, process, ng, ppm FROM c SEMI JOIN t USING (process, ng)", "facts members")
+@query("wn05_worst_in_group", GROUPED + f", c AS (SELECT grp, process, ng, {PPM} AS ppm FROM grouped GROUP BY ALL), t AS (SELECT process, ng FROM c WHERE grp = 'ASIA' ORDER BY ppm DESC, process, ng LIMIT 5) SELECT grp, process, ng, ppm FROM c SEMI JOIN t USING (process, ng)", "facts members")
 def _(s, d):
     each = rates.combo_ppm(grouped(s, d), ["grp", "process", "ng"])
     worst = ranking.top(each.where("grp = 'ASIA'"), 5, "ppm", ["process", "ng"])
@@ -313,7 +313,7 @@ YEARS = ("1999", "1998", "1997", "1996", "1995")
 query("rs01_rs03_pivot", "SELECT process, ng, " + ", ".join(f"coalesce(max(p) FILTER (y = '{y}'), 0.0) AS y{y}" for y in YEARS) + f" FROM (SELECT process, ng, year(day)::VARCHAR AS y, {PPM} AS p FROM facts GROUP BY ALL) GROUP BY ALL", "facts")(
     lambda s, d: rates.combo_ppm(facts(s, d).withColumn("y", F.year("day").cast("string")), ["process", "ng", "y"]).groupBy("process", "ng").pivot("y", list(YEARS)).agg(F.first("ppm")).fillna(0.0).withColumnsRenamed({y: f"y{y}" for y in YEARS})
 )
-query("rs02_detail_pivot", "SELECT process, " + ", ".join(f"coalesce(max(p) FILTER (line = 'L{i}'), 0.0) AS l{i}" for i in range(5)) + f" FROM (SELECT process, line, {PPM} AS p FROM facts GROUP BY ALL UNION ALL SELECT 'TOTAL', line, {PPM} FROM facts GROUP BY line) GROUP BY ALL", "facts")
+@query("rs02_detail_pivot", "SELECT process, " + ", ".join(f"coalesce(max(p) FILTER (line = 'L{i}'), 0.0) AS l{i}" for i in range(5)) + f" FROM (SELECT process, line, {PPM} AS p FROM facts GROUP BY ALL UNION ALL SELECT 'TOTAL', line, {PPM} FROM facts GROUP BY line) GROUP BY ALL", "facts")
 def _(s, d):
     each = rates.combo_ppm(facts(s, d), ["process", "line"]).unionByName(rates.combo_ppm(facts(s, d), ["line"]).withColumn("process", F.lit("TOTAL")))
     return each.groupBy("process").pivot("line", [f"L{i}" for i in range(5)]).agg(F.first("ppm")).fillna(0.0).withColumnsRenamed({f"L{i}": f"l{i}" for i in range(5)})
@@ -409,7 +409,7 @@ query("vl01_issues", """SELECT o, input, total, counted, CASE WHEN total > input
     lambda s, d: datasets.issues(table(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_quantity").alias("input"), (F.col("l_tax") * 100).alias("total"), F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).otherwise(0).alias("count")), ["o"])
 )
 TOKENS = "list_filter(list_distinct(split(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g'), ' ')), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))"
-query("ml01_ml02_votes", f"""WITH t AS (SELECT p_type, unnest({TOKENS}) AS token FROM part WHERE p_partkey % 2 = 0), v AS (SELECT token, p_type, count(*) AS n FROM t GROUP BY ALL), pr AS (SELECT p_type, count(*) AS prior FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+@query("ml01_ml02_votes", f"""WITH t AS (SELECT p_type, unnest({TOKENS}) AS token FROM part WHERE p_partkey % 2 = 0), v AS (SELECT token, p_type, count(*) AS n FROM t GROUP BY ALL), pr AS (SELECT p_type, count(*) AS prior FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
   q AS (SELECT p_name, unnest({TOKENS}) AS token FROM (SELECT DISTINCT p_name FROM part)), s AS (SELECT p_name, p_type, prior + 2 * sum(n) AS score FROM q JOIN v USING (token) JOIN pr USING (p_type) GROUP BY p_name, p_type, prior)
   SELECT p_name, arg_min(p_type, (-score, p_type)) AS p_type, round(least(greatest(max(score) / sum(score), 0.55), 0.99), 6) AS confidence FROM s GROUP BY 1""")
 def _(s, d):
