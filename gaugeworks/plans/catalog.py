@@ -423,3 +423,45 @@ query("ml03_keywords", "SELECT DISTINCT p_name, CASE WHEN upper(p_name) LIKE '%V
 query("stream_daily_rates", """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS input, count(*) FILTER (value > 50) AS ng_qty, round_even(count(*) FILTER (value > 50) / count(*) * 1e6, 0) AS ppm FROM events GROUP BY ALL""")(
     lambda s, d: daily.daily_rates(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 )
+
+# --- further parity ------------------------------------------------------------------------------------------------
+
+query("flt03_out_of_limits", "SELECT event_id FROM events WHERE value > 60 OR value < 5")(lambda s, d: values(s, d).where(measures.out_of_limits(F.col("y"), F.col("low"), F.col("high"))).select("event_id"))
+query("flt04_date_range", "SELECT event_id FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-05'")(
+    lambda s, d: table(s, d, "events").where(F.to_date("ts").between(F.lit("2024-01-03").cast("date"), F.lit("2024-01-05").cast("date"))).select("event_id")
+)
+query("flt08_later_as_text", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> '' AND o_orderpriority > '3-MEDIUM'")(lambda s, d: table(s, d, "orders").where("o_orderstatus <> '' and o_orderpriority > '3-MEDIUM'").select("o_orderkey"))
+query("jn12_left_join", "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")(lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left"))
+
+
+@query("jn16_aligned_curves", """WITH c AS (SELECT event_type AS curve, round(event_id % 50 / 7.0, 2) AS x, avg(value) AS y FROM events GROUP BY ALL)
+  SELECT x, round(max(y) FILTER (curve = 'click'), 6) AS click, round(max(y) FILTER (curve = 'view'), 6) AS view FROM c GROUP BY x""")
+def _(s, d):
+    x = F.round((F.col("event_id") % 50) / 7.0, 2)
+    curves = table(s, d, "events").groupBy(F.col("event_type").alias("curve"), x.alias("x")).agg(F.avg("value").alias("y"))
+    return rounded(curves.groupBy("x").pivot("curve", ["click", "view"]).agg(F.max("y")), "click", "view")
+
+
+query("rs04_union_of_headers", "SELECT p_type AS name, count(*) AS a, NULL::BIGINT AS b FROM part GROUP BY 1 UNION ALL SELECT p_brand, NULL, count(*) FROM part GROUP BY 1")(
+    lambda s, d: table(s, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("a")).unionByName(table(s, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("b")), allowMissingColumns=True)
+)
+query("rs11_term_lines", """SELECT c_custkey, trim(t[1]) AS term, trim(t[2]) AS description FROM (SELECT c_custkey, regexp_extract(unnest(split('seg: ' || c_mktsegment || chr(10) || chr(10) || 'name: ' || c_name, chr(10))), '^([^:]+):(.*)$', ['1', '2']) AS g FROM customer) x,
+  LATERAL (SELECT [g."1", g."2"] AS t) WHERE trim(t[1]) <> ''""")(
+    lambda s, d: table(s, d, "customer").select("c_custkey", F.explode(F.split(F.concat(F.lit("seg: "), "c_mktsegment", F.lit("\n\nname: "), "c_name"), "\n")).alias("l")).select("c_custkey", F.trim(F.regexp_extract("l", "^([^:]+):(.*)$", 1)).alias("term"), F.trim(F.regexp_extract("l", "^([^:]+):(.*)$", 2)).alias("description")).where("term <> ''")
+)
+query("st05_without_x", "SELECT l_linenumber AS i, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sigma, min(l_quantity) AS lowest, max(l_quantity) AS highest FROM lineitem GROUP BY 1")(
+    lambda s, d: rounded(quality.column_stats(table(s, d, "lineitem").select(F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("y"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")), ["i"]), "mean", "sigma").select("i", "n", "mean", "sigma", "lowest", "highest")
+)
+query("st06_shared_limits", f"{LIMITS} SELECT name, round(count(*) FILTER (y > high OR y < low) / count(*) * 1e6, 4) AS ppm, max(high) - min(high) < 1e-12 AS shared FROM v GROUP BY 1")(
+    lambda s, d: values(s, d).groupBy("name").agg(F.round(F.count_if(measures.out_of_limits(F.col("y"), F.col("low"), F.col("high"))) / F.count("*") * 1e6, 4).alias("ppm"), (F.max("high") - F.min("high") < 1e-12).alias("shared"))
+)
+query("st20_label_order", "SELECT DISTINCT p_size::VARCHAR AS label, dense_rank() OVER (ORDER BY p_size)::INTEGER AS place FROM part")(
+    lambda s, d: table(s, d, "part").select(F.col("p_size").cast("string").alias("label")).distinct().withColumn("place", F.dense_rank().over(Window.orderBy(text.number(F.col("label")), F.lower("label"))))
+)
+query("vl02_source_mismatch", "SELECT DISTINCT l_orderkey, l_quantity::INTEGER AS input FROM lineitem WHERE l_quantity >= 10 AND NOT regexp_matches(replace('order ' || l_orderkey || ' of 1,000', ',', ''), '(^|[^0-9])' || l_quantity::INTEGER || '($|[^0-9])')")(
+    lambda s, d: table(s, d, "lineitem").where("l_quantity >= 10").select("l_orderkey", F.col("l_quantity").cast("int").alias("input")).where(~text.holds_number(F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" of 1,000")), F.col("input"))).distinct()
+)
+query("ml04_last_wins", "SELECT p_name, arg_max(p_type, p_partkey) AS p_type FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy("p_name").agg(F.max_by("p_type", "p_partkey").alias("p_type")))
+query("ml05_retrained", "SELECT p_type, count(*) AS prior FROM (SELECT p_type FROM part UNION ALL SELECT 'PROMO' FROM part WHERE p_size = 7) GROUP BY 1")(
+    lambda s, d: datasets.train_votes(table(s, d, "part").select("p_name", "p_type").unionByName(table(s, d, "part").where("p_size = 7").select("p_name", F.lit("PROMO").alias("p_type"))), "p_name", "p_type")[0]
+)

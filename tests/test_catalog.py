@@ -12,7 +12,7 @@ from gaugeworks.streaming import daily
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
 
 
 @pytest.fixture(scope="module")
