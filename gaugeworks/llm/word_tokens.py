@@ -11,13 +11,14 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pre-tokens kept in a worker; beyond that those met in one block of texts only are dropped.
+#: Pre-tokens kept in a worker; beyond that the half met last is dropped. Others go to the library again.
 KEPT = 400_000
 #: The letters and numbers of PLAIN texts once in lower case.
 LETTERS, NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -30,13 +31,21 @@ _tokenizers: dict[str, WordTokens] = {}
 
 
 class WordTokens:
+    """The library's tokenizer and the ids of the pre-tokens met.
+
+    ``library`` takes whole texts. ``parts`` has the same vocabulary and merges without the steps that lower case and
+    ``PRE_TOKEN`` have already done, and takes single pre-tokens.
+    """
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
+        self.parts = Tokenizer.from_file(path)
+        self.parts.normalizer = None
+        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -46,28 +55,43 @@ class WordTokens:
         return _tokenizers[path]
 
     def whole(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, four bytes each."""
-        split = [PRE_TOKEN.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        met = set().union(*filter(None, split))
-        new = met.difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            few = len(self.again) <= KEPT // 2
-            self.known = {w: self.known[w] for w in self.again} if few else {}
-            self.again.clear()
-            new = met.difference(self.known)
-        self.again |= met - new
+        found, open_places, new = [], [], {}
+        get = self.known.get
+        for text in texts:
+            if not PLAIN.fullmatch(text) or "<|" in text:
+                found.append(self.whole(text))
+                continue
+            words = PRE_TOKEN.findall(text.lower())
+            ids = list(map(get, words))
+            if None in ids:
+                gaps = [(i, words[i]) for i, got in enumerate(ids) if got is None]
+                new.update((word, b"") for _, word in gaps)
+                open_places.append((len(found), ids, gaps))
+                found.append(b"")
+            else:
+                found.append(b"".join(ids))
         if new:
-            new = list(new)
-            for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", got.ids).tobytes()
-        get = self.known.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
-
-
-def encoded(texts: pa.Array, path: str, at_once: int = 400) -> Iterator[bytes]:
+            for word, got in zip(new, self.parts.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
+                new[word] = array("I", got.ids).tobytes()
+            for at, ids, gaps in open_places:
+                for i, word in gaps:
+                    ids[i] = new[word]
+                found[at] = b"".join(ids)
+            if len(self.known) + len(new) > KEPT:  # those met first are mostly the frequent ones
+                self.known = dict(islice(self.known.items(), KEPT // 2))
+            self.known.update(islice(new.items(), KEPT - len(self.known)))
+        return found
+
+
+def encoded(texts: pa.Array, path: str, at_once: int = 200) -> Iterator[bytes]:
     """The ids of each text of a column, null as the empty text, in blocks that bound what is held."""
     tokenizer = WordTokens.of(path)
     for i in range(0, len(texts), at_once):
