@@ -66,7 +66,6 @@ def _part(fp, first: int, width: int):
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-
 def variants(fp, cuts: list[tuple[int, int]], word: int = 0) -> Column:
     """An array of one key for each bit of ``fp``: its segment without that bit; keys of other bits or words differ."""
     keys = []
@@ -129,8 +128,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return join_groups(rows, labelled, "fp", "n", rows.count()).drop("n")
 
 
-def sketch(text: str, words: int, shingle: int, size: int) -> tuple[list[int], list[int]]:
-    """``words`` 64-bit SimHashes of the text's distinct words, and the ``size`` smallest hashes of its word shingles."""
+#: Bits of a parity sketch and rows of one variant beyond which a pair's parity sketches are compared in the join.
+PARITY, CROWD = 512, 64
+
+
+def sketch(text: str, words: int, shingle: int, size: int) -> tuple[list[int], list[int], list[int]]:
+    """``words`` 64-bit SimHashes of the text's distinct words, the ``size`` smallest hashes of its word shingles, and
+    of these a parity sketch: bit i of PARITY says whether an odd number of them is i modulo PARITY."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     digest = xxhash.xxh64_intdigest
     fps = []
@@ -139,8 +143,9 @@ def sketch(text: str, words: int, shingle: int, size: int) -> tuple[list[int], l
         ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         fps.append(int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64)))
     runs = {b" ".join(parts[i : i + shingle]) for i in range(max(1, len(parts) - shingle + 1))}
-    low = np.sort(np.fromiter((xxhash.xxh32_intdigest(r) for r in runs), dtype=np.uint32, count=len(runs)))[:size]
-    return fps, low.astype(np.int64).tolist()
+    low = np.unique(np.fromiter((xxhash.xxh32_intdigest(r) for r in runs), dtype=np.uint32, count=len(runs)))[:size]
+    odd = np.bincount(low % PARITY, minlength=PARITY).astype(np.uint8) & 1
+    return fps, low.astype(np.int64).tolist(), np.packbits(odd).view(np.int64).tolist()
 
 
 def similarity(a, b, size: int) -> Column:
@@ -149,6 +154,19 @@ def similarity(a, b, size: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), low)) / F.size(low)
 
 
+def may_be_similar(a, b, n_a, n_b, size: int, least: float) -> Column:
+    """Whether the parity sketches ``a`` and ``b`` of sets of ``n_a`` and ``n_b`` smallest hashes leave ``least`` possible.
+
+    No pair of that similarity is refused. The sketches differ in at most as many bits as the sets have unshared
+    elements, d. A union within ``size`` has (n_a + n_b + d) / 2 elements of which d are unshared, so that
+    d <= (n_a + n_b) (1 - least) / (1 + least); in a larger one ``least * size`` are shared, so that
+    d <= n_a + n_b - 2 least size.
+    """
+    both = n_a + n_b
+    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY // 64)), F.lit(0))
+    return apart <= F.greatest(both * F.lit((1 - least) / (1 + least)), both - F.lit(2 * least * size)) + F.lit(1e-6)
+
+
 def similar_groups(docs: DataFrame, words: int = 2, distance: int = 8, shingle: int = 5, size: int = 200, least: float = 0.8) -> DataFrame:
     """key, group: for every doc_id as key, the smallest doc_id it is linked to through near copies (itself included).
 
@@ -156,16 +174,17 @@ def similar_groups(docs: DataFrame, words: int = 2, distance: int = 8, shingle:
     which one differs by at most one bit (sure up to 5 bits; with two words and 8 bits over 99 % of the pairs at a
     similarity of 0.8); they are verified by the Jaccard similarity of ``shingle``-word shingles. Large groups aren't
     expanded into pairs: first every fingerprint meets the smallest of each variant only, and the groups found so are
-    then contracted, so the full join of all variants only returns pairs between different groups.
+    then contracted, and the second join takes only variants in which different groups meet. Where over CROWD rows meet
+    at one, the join also compares parity sketches, which refuse most dissimilar pairs and none of ``least`` or more.
     """
-    schema = "fps array<bigint>, low array<bigint>"
+    schema = "fps array<bigint>, low array<bigint>, odd array<bigint>"
 
     @F.pandas_udf(schema)
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([sketch(t, words, shingle, size) for t in texts], columns=["fps", "low"])
+            yield pd.DataFrame([sketch(t, words, shingle, size) for t in texts], columns=["fps", "low", "odd"])
 
-    rows = docs.select(F.col("doc_id").alias("key"), sketches(text_of()).alias("s")).select("key", "s.fps", "s.low").where("key is not null")
+    rows = docs.select(F.col("doc_id").alias("key"), sketches(text_of()).alias("s")).select("key", "s.fps", "s.low", "s.odd").where("key is not null")
     rows = stage(rows.dropDuplicates(["key"]), "sketches")
     cuts = segments(4)
     bare = rows.select("key", "fps")
@@ -187,12 +206,20 @@ def similar_groups(docs: DataFrame, words: int = 2, distance: int = 8, shingle:
     led = led.where((F.col("key") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= distance))
     stars = stage(verified(led.select(F.col("lead").alias("a"), F.col("key").alias("b"))), "stars")
     named = bare.join(components(stars).withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    left = index(stage(named, "contracted"))
-    a = left.select("variant", F.col("key").alias("a"), F.col("fp").alias("fp_a"), F.col("label").alias("label_a"))
-    b = left.select("variant", F.col("key").alias("b"), F.col("fp").alias("fp_b"), F.col("label").alias("label_b"))
-    apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    near = (F.col("label_a") < F.col("label_b")) & (F.bit_count(apart) <= distance) & is_first_meeting(F.col("variant"), apart, cuts)
-    rest = verified(a.join(b.hint("merge"), "variant").where(near).select("a", "b"))
+    whole = Window.partitionBy("variant")
+    mixed = index(stage(named, "contracted")).withColumns({"n": F.count("*").over(whole), "one": F.min("label").over(whole), "other": F.max("label").over(whole)})
+    meetings = stage(mixed.where("one < other").drop("one", "other"), "meetings")
+
+    def meeting_pairs(rows_at: DataFrame, more: list[str], fits) -> DataFrame:
+        """Pairs (a, b) of rows of different labels that meet at a variant, are close, and pass ``fits``."""
+        a, b = (rows_at.select("variant", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "fp", "label", *more)]) for side in "ab")
+        apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+        near = (F.col("label_a") < F.col("label_b")) & (F.bit_count(apart) <= distance) & is_first_meeting(F.col("variant"), apart, cuts)
+        return a.join(b.hint("merge"), "variant").where(near & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+    crowd = meetings.where(F.col("n") > CROWD).join(rows.select("key", "odd", F.size("low").alias("size")), "key")
+    likely = may_be_similar(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b"), size, least)
+    rest = verified(meeting_pairs(meetings.where(F.col("n") <= CROWD), [], F.lit(True)).unionByName(meeting_pairs(crowd, ["odd", "size"], likely)))
     found = components(stars.unionByName(rest)).withColumnsRenamed({"node": "key", "label": "group"})
     return rows.select("key").join(found, "key", "left").select("key", F.coalesce("group", "key").alias("group"))
 

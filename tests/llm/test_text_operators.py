@@ -112,6 +112,29 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert simhash.deduplicate(docs.limit(0)).collect() == []
 
 
+def test_parity_sketches_refuse_no_similar_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for n in (40, 150, 210, 420):
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for i in range(14):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 1 + n // 30)):
+                copy[rng.randrange(n)] = "x" + str(rng.randrange(10**6))
+            rows.append((1000 * n + i, " ".join(copy)))
+    sets = {k: simhash.sketch(t, 1, 5, 200) for k, t in rows}
+    pairs = [(a, b, sets[a][1], sets[b][1], sets[a][2], sets[b][2]) for a in sets for b in sets if a < b]
+    df = spark.createDataFrame(pairs, "a long, b long, x array<bigint>, y array<bigint>, p array<bigint>, q array<bigint>")
+    F = simhash.F
+    tried = df.select(simhash.similarity(F.col("x"), F.col("y"), 200).alias("s"), simhash.may_be_similar(F.col("p"), F.col("q"), F.size("x"), F.size("y"), 200, 0.8).alias("m"))
+    got = [(r.s >= 0.8, r.m) for r in tried.collect()]
+    assert (True, False) not in got and got.count((True, True)) > 20 and got.count((False, False)) > 1000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(simhash.similar_groups(docs).collect())
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    assert sorted(simhash.similar_groups(docs).collect()) == want
+
+
 def test_exact_dedup_and_its_index(spark, docs, none):
     rows = awkward_rows()
     texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows]
