@@ -15,6 +15,7 @@ no other id is in it; repeated rows are repeated in the result; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,13 +129,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return join_groups(rows, labelled, "fp", "n", rows.count()).drop("n")
 
 
-#: Bits of a parity sketch and rows of one variant beyond which a pair's parity sketches are compared in the join.
+#: Bits of a parity sketch and rows of one shingle beyond which a pair's parity sketches are compared in the join.
 PARITY, CROWD = 512, 64
+#: A size no set has.
+WHOLE = 1 << 31
+#: About as many texts are read for shingles that many texts share, and so many of those are put last; no result depends on them.
+ORDERED_BY, COMMON = 10_000, 20_000
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the text's distinct word shingles."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    runs = {b" ".join(parts[i : i + shingle]) for i in range(max(1, len(parts) - shingle + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), dtype=np.uint64, count=len(runs)).view(np.int64))
+
+
+def parity(items: np.ndarray) -> list[int]:
+    """Bit i of PARITY says whether an odd number of ``items`` is i modulo PARITY."""
+    odd = np.bincount(items % PARITY, minlength=PARITY).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def sketch(text: str, words: int, shingle: int, size: int) -> tuple[list[int], list[int], list[int]]:
     """``words`` 64-bit SimHashes of the text's distinct words, the ``size`` smallest hashes of its word shingles, and
-    of these a parity sketch: bit i of PARITY says whether an odd number of them is i modulo PARITY."""
+    of these a parity sketch."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     digest = xxhash.xxh64_intdigest
     fps = []
@@ -142,14 +160,12 @@ def sketch(text: str, words: int, shingle: int, size: int) -> tuple[list[int], l
         hashes = np.array([digest(w, SEED + 1 + word) for w in set(parts)], dtype=">u8")
         ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         fps.append(int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64)))
-    runs = {b" ".join(parts[i : i + shingle]) for i in range(max(1, len(parts) - shingle + 1))}
-    low = np.unique(np.fromiter((xxhash.xxh32_intdigest(r) for r in runs), dtype=np.uint32, count=len(runs)))[:size]
-    odd = np.bincount(low % PARITY, minlength=PARITY).astype(np.uint8) & 1
-    return fps, low.astype(np.int64).tolist(), np.packbits(odd).view(np.int64).tolist()
+    low = shingle_set(text, shingle)[:size]
+    return fps, low.tolist(), parity(low)
 
 
 def similarity(a, b, size: int) -> Column:
-    """Jaccard similarity of two shingle sets from their smallest hashes; exact where both sets have at most ``size``."""
+    """Jaccard similarity of two shingle sets from their smallest hashes; exact where their union has at most ``size``."""
     low = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
     return F.size(F.array_intersect(F.array_intersect(a, b), low)) / F.size(low)
 
@@ -167,59 +183,85 @@ def may_be_similar(a, b, n_a, n_b, size: int, least: float) -> Column:
     return apart <= F.greatest(both * F.lit((1 - least) / (1 + least)), both - F.lit(2 * least * size)) + F.lit(1e-6)
 
 
-def similar_groups(docs: DataFrame, words: int = 2, distance: int = 8, shingle: int = 5, size: int = 200, least: float = 0.8) -> DataFrame:
+def head(items: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first items, ``common`` ones last, of which two sets of similarity ``least`` share one whatever else they have.
+
+    Such sets share ``least`` of the items of each, so the first shared one has fewer than the others before it.
+    """
+    often = np.zeros(len(items), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, items), len(common) - 1)
+        often = np.where(common[at] == items, counts[at], 0)
+    return items[np.lexsort((items, often))[: len(items) - math.ceil(least * len(items) - 1e-9) + 1]]
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of shingles that many texts share, from a sample of texts chosen by a hash."""
+
+    @F.pandas_udf("array<bigint>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, shingle) for t in texts])
+
+    step = max(1, docs.count() // ORDERED_BY)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", text_of()), F.lit(step)) == 0)
+    counted = chosen.select(F.explode(sets(text_of())).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where("n > 2")
+    rows = sorted(tuple(r) for r in counted.orderBy(F.desc("n"), "item").limit(COMMON).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, size: int = 200, least: float = 0.8) -> DataFrame:
     """key, group: for every doc_id as key, the smallest doc_id it is linked to through near copies (itself included).
 
-    Candidates are SimHashes over distinct words, ``words`` of them with other seeds, each cut in three segments of
-    which one differs by at most one bit (sure up to 5 bits; with two words and 8 bits over 99 % of the pairs at a
-    similarity of 0.8); they are verified by the Jaccard similarity of ``shingle``-word shingles. Large groups aren't
-    expanded into pairs: first every fingerprint meets the smallest of each variant only, and the groups found so are
-    then contracted, and the second join takes only variants in which different groups meet. Where over CROWD rows meet
-    at one, the join also compares parity sketches, which refuse most dissimilar pairs and none of ``least`` or more.
+    Candidates are the pairs that share one of the first shingles of both, in an order that puts common ones last: every
+    pair with a Jaccard similarity of ``least`` on ``shingle``-word shingles is one (``head``). They are verified by
+    that similarity. Large groups aren't expanded into pairs: first every text meets the smallest doc_id of each shingle
+    only, and the groups found so are then contracted, and the second join takes only shingles in which different groups
+    meet, and pairs that have enough shingles left after the one they meet at. Where over CROWD rows meet at one, the
+    join also compares parity sketches; these refuse most dissimilar pairs and none of ``least`` or more.
     """
-    schema = "fps array<bigint>, low array<bigint>, odd array<bigint>"
+    common, counts = common_shingles(docs, shingle)
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("head array<bigint>, low array<bigint>, odd array<bigint>, size int")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([sketch(t, words, shingle, size) for t in texts], columns=["fps", "low", "odd"])
+            sets = [shingle_set(t, shingle) for t in texts]
+            yield pd.DataFrame([(head(s, common, counts, least), s[:size], parity(s), len(s)) for s in sets], columns=["head", "low", "odd", "size"])
 
-    rows = docs.select(F.col("doc_id").alias("key"), sketches(text_of()).alias("s")).select("key", "s.fps", "s.low", "s.odd").where("key is not null")
+    rows = docs.select(F.col("doc_id").alias("key"), sketches(text_of()).alias("s")).select("key", "s.*").where("key is not null")
     rows = stage(rows.dropDuplicates(["key"]), "sketches")
-    cuts = segments(4)
-    bare = rows.select("key", "fps")
+    bare = rows.select("key", "odd", "size")
 
     def index(table: DataFrame) -> DataFrame:
-        """key, fp, variant and what else ``table`` has, for every word."""
-        keys = F.array(*[F.struct(F.col("fps")[w].alias("fp"), variants(F.col("fps")[w], cuts, w).alias("vs")) for w in range(words)])
-        each = table.select("*", F.explode(keys).alias("k")).drop("fps")
-        return each.select(*[c for c in each.columns if c != "k"], "k.fp", F.explode("k.vs").alias("variant"))
+        """The columns of ``table``, its key's first shingles and their places."""
+        return table.join(rows.select("key", "size", "head"), "key").select(*table.columns, "size", F.posexplode("head").alias("place", "item"))
+
+    def likely(a, b, n_a, n_b) -> Column:
+        return may_be_similar(a, b, n_a, n_b, WHOLE, least)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = rows.select(F.col("key").alias("a"), F.col("low").alias("low_a"))
-        b = rows.select(F.col("key").alias("b"), F.col("low").alias("low_b"))
-        both = pairs.distinct().join(a, "a").join(b, "b")
+        a, b = (rows.select(*[F.col(c).alias(n) for c, n in (("key", x), ("low", f"low_{x}"), ("odd", f"odd_{x}"), ("size", f"size_{x}"))]) for x in "ab")
+        both = pairs.distinct().join(a, "a").join(b, "b").where(likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b")))
         return both.where(similarity(F.col("low_a"), F.col("low_b"), size) >= least).select("a", "b")
 
-    first = Window.partitionBy("variant").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    led = index(bare).select("key", "fp", F.first("key").over(first).alias("lead"), F.first("fp").over(first).alias("lead_fp"))
-    led = led.where((F.col("key") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= distance))
+    first = Window.partitionBy("item").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    led = index(rows.select("key")).select("key", F.first("key").over(first).alias("lead")).where("key <> lead")
     stars = stage(verified(led.select(F.col("lead").alias("a"), F.col("key").alias("b"))), "stars")
-    named = bare.join(components(stars).withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    whole = Window.partitionBy("variant")
+    named = rows.select("key").join(components(stars).withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    whole = Window.partitionBy("item")
     mixed = index(stage(named, "contracted")).withColumns({"n": F.count("*").over(whole), "one": F.min("label").over(whole), "other": F.max("label").over(whole)})
     meetings = stage(mixed.where("one < other").drop("one", "other"), "meetings")
 
     def meeting_pairs(rows_at: DataFrame, more: list[str], fits) -> DataFrame:
-        """Pairs (a, b) of rows of different labels that meet at a variant, are close, and pass ``fits``."""
-        a, b = (rows_at.select("variant", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "fp", "label", *more)]) for side in "ab")
-        apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-        near = (F.col("label_a") < F.col("label_b")) & (F.bit_count(apart) <= distance) & is_first_meeting(F.col("variant"), apart, cuts)
-        return a.join(b.hint("merge"), "variant").where(near & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-
-    crowd = meetings.where(F.col("n") > CROWD).join(rows.select("key", "odd", F.size("low").alias("size")), "key")
-    likely = may_be_similar(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b"), size, least)
-    rest = verified(meeting_pairs(meetings.where(F.col("n") <= CROWD), [], F.lit(True)).unionByName(meeting_pairs(crowd, ["odd", "size"], likely)))
+        """Pairs (a, b) of rows of different labels that meet at a shingle, have enough left there, and pass ``fits``."""
+        a, b = (rows_at.select("item", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "label", "size", "place", *more)]) for side in "ab")
+        left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+        near = (F.col("label_a") < F.col("label_b")) & (left >= (F.col("size_a") + F.col("size_b")) * F.lit(least / (1 + least)) - F.lit(1e-6))
+        return a.join(b.hint("merge"), "item").where(near & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+    crowd = meetings.where(F.col("n") > CROWD).join(bare.select("key", "odd"), "key")
+    alike = likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b"))
+    rest = verified(meeting_pairs(meetings.where(F.col("n") <= CROWD), [], F.lit(True)).unionByName(meeting_pairs(crowd, ["odd"], alike)))
     found = components(stars.unionByName(rest)).withColumnsRenamed({"node": "key", "label": "group"})
     return rows.select("key").join(found, "key", "left").select("key", F.coalesce("group", "key").alias("group"))
 

@@ -268,3 +268,36 @@ def test_exchanges_beat_best_fit():
         bins.add(b, items)
     packing.improve(bins, 3)
     assert sum(1 for x in bins.items if x) == 3 and max(sum(bins.lengths[i] for i in x) for x in bins.items) <= 10
+
+
+def changed_copies(rng, n, base_words):
+    """Texts and copies of them with text appended, cut off at the end, and words changed."""
+    rows = []
+    for g in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(base_words(rng))]
+        k = len(base)
+        for c, copy in enumerate((base, base + [f"a{rng.randrange(9999)}" for _ in range(rng.randrange(k // 5))], base[: k - rng.randrange(k // 5)], [w if rng.random() > 0.018 else "c" + w for w in base])):
+            rows.append((10 * g + c, " ".join(copy)))
+    return rows
+
+
+def jaccard(a, b, shingle=5):
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def brute_groups(rows, least=0.8):
+    label = {k: k for k, _ in rows}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if a // 10 == b // 10 and label[a] != label[b] and jaccard(x, y) >= least:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def test_appended_and_cut_copies_are_all_found(spark):
+    rows = changed_copies(random.Random(3), 150, lambda rng: rng.randrange(60, 190))
+    got = dict(tuple(r) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = brute_groups(rows)
+    assert len(set(want.values())) < 400 and {k for k in want if got[k] > want[k]} == set()
