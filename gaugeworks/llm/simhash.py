@@ -144,6 +144,15 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), dtype=np.uint64, count=len(runs)).view(np.int64))
 
 
+def shingle_sets(shingle: int):
+    @F.pandas_udf("array<bigint>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, shingle) for t in texts])
+
+    return of
+
+
 def parity(items: np.ndarray) -> list[int]:
     """Bit i of PARITY says whether an odd number of ``items`` is i modulo PARITY."""
     odd = np.bincount(items % PARITY, minlength=PARITY).astype(np.uint8) & 1
@@ -170,6 +179,12 @@ def similarity(a, b, size: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), low)) / F.size(low)
 
 
+def jaccard(a, b) -> Column:
+    """Jaccard similarity of two whole shingle sets."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
+
+
 def may_be_similar(a, b, n_a, n_b, size: int, least: float) -> Column:
     """Whether the parity sketches ``a`` and ``b`` of sets of ``n_a`` and ``n_b`` smallest hashes leave ``least`` possible.
 
@@ -198,35 +213,30 @@ def head(items: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of shingles that many texts share, from a sample of texts chosen by a hash."""
 
-    @F.pandas_udf("array<bigint>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(t, shingle) for t in texts])
-
     step = max(1, docs.count() // ORDERED_BY)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", text_of()), F.lit(step)) == 0)
-    counted = chosen.select(F.explode(sets(text_of())).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where("n > 2")
+    counted = chosen.select(F.explode(shingle_sets(shingle)(text_of())).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where("n > 2")
     rows = sorted(tuple(r) for r in counted.orderBy(F.desc("n"), "item").limit(COMMON).collect())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, size: int = 200, least: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """key, group: for every doc_id as key, the smallest doc_id it is linked to through near copies (itself included).
 
     Candidates are the pairs that share one of the first shingles of both, in an order that puts common ones last: every
-    pair with a Jaccard similarity of ``least`` on ``shingle``-word shingles is one (``head``). They are verified by
-    that similarity. Large groups aren't expanded into pairs: first every text meets the smallest doc_id of each shingle
+    pair with a Jaccard similarity of ``least`` on ``shingle``-word shingles is one (``head``). Those that the parity
+    sketches leave possible are verified by that similarity of the whole sets, made again for these texts only. Large groups aren't expanded into pairs: first every text meets the smallest doc_id of each shingle
     only, and the groups found so are then contracted, and the second join takes only shingles in which different groups
     meet, and pairs that have enough shingles left after the one they meet at. Where over CROWD rows meet at one, the
     join also compares parity sketches; these refuse most dissimilar pairs and none of ``least`` or more.
     """
     common, counts = common_shingles(docs, shingle)
 
-    @F.pandas_udf("head array<bigint>, low array<bigint>, odd array<bigint>, size int")
+    @F.pandas_udf("head array<bigint>, odd array<bigint>, size int")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame([(head(s, common, counts, least), s[:size], parity(s), len(s)) for s in sets], columns=["head", "low", "odd", "size"])
+            yield pd.DataFrame([(head(s, common, counts, least), parity(s), len(s)) for s in sets], columns=["head", "odd", "size"])
 
     rows = docs.select(F.col("doc_id").alias("key"), sketches(text_of()).alias("s")).select("key", "s.*").where("key is not null")
     rows = stage(rows.dropDuplicates(["key"]), "sketches")
@@ -240,9 +250,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, size: int = 200, least: fl
         return may_be_similar(a, b, n_a, n_b, WHOLE, least)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (rows.select(*[F.col(c).alias(n) for c, n in (("key", x), ("low", f"low_{x}"), ("odd", f"odd_{x}"), ("size", f"size_{x}"))]) for x in "ab")
-        both = pairs.distinct().join(a, "a").join(b, "b").where(likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b")))
-        return both.where(similarity(F.col("low_a"), F.col("low_b"), size) >= least).select("a", "b")
+        a, b = (bare.select(*[F.col(c).alias(f"{n}_{x}" if n else x) for c, n in (("key", ""), ("odd", "odd"), ("size", "size"))]) for x in "ab")
+        possible = pairs.distinct().join(a, "a").join(b, "b").where(likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b")))
+        possible = stage(possible.select("a", "b"), "candidates")
+        needed = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        texts = docs.select(F.col("doc_id").alias("key"), text_of().alias("text")).join(needed.hint("merge"), "key").dropDuplicates(["key"])
+        sets = stage(texts.select("key", shingle_sets(shingle)("text").alias("items")), "shingles")
+        a, b = (sets.select(F.col("key").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+        both = possible.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+        return both.where(jaccard(F.col("items_a"), F.col("items_b")) >= least).select("a", "b")
 
     first = Window.partitionBy("item").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     led = index(rows.select("key")).select("key", F.first("key").over(first).alias("lead")).where("key <> lead")

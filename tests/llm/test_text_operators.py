@@ -301,3 +301,9 @@ def test_appended_and_cut_copies_are_all_found(spark):
     got = dict(tuple(r) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     want = brute_groups(rows)
     assert len(set(want.values())) < 400 and {k for k in want if got[k] > want[k]} == set()
+
+
+def test_long_copies_are_decided_by_their_whole_shingle_sets(spark):
+    rows = changed_copies(random.Random(4), 120, lambda rng: rng.randrange(300, 900))
+    got = dict(tuple(r) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_groups(rows)
