@@ -283,13 +283,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their near-copy group, with all their columns.
+    """The rows of ``docs`` that are the first of their near-copy group by doc_id (nulls last), with all their columns.
 
-    Rows of one doc_id are one document, of which one stays; rows with a null doc_id stay.
+    Rows are compared by numbers of their own, so those with a null doc_id or one that others have are, too.
     """
-    kept = similar_groups(docs, **options).where(F.col("key") == F.col("group")).select(F.col("key").alias("_kept_key"))
-    found = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept_key")).dropDuplicates(["_kept_key"]).drop("_kept_key")
-    return found.unionByName(docs.where("doc_id is null"))
+    ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64(text_of()))
+    numbered = stage(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = similar_groups(numbered.select(F.col("_row").alias("doc_id"), "text"), **options)
+    kept = groups.where(F.col("key") == F.col("group")).select(F.col("key").alias("_kept_row"))
+    return numbered.join(kept.hint("merge"), F.col("_row") == F.col("_kept_row")).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

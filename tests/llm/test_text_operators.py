@@ -307,3 +307,11 @@ def test_long_copies_are_decided_by_their_whole_shingle_sets(spark):
     rows = changed_copies(random.Random(4), 120, lambda rng: rng.randrange(300, 900))
     got = dict(tuple(r) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     assert got == brute_groups(rows)
+
+
+def test_near_copies_of_null_and_repeated_doc_ids(spark):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(None, text), (None, text.replace("a50", "x")), (None, other + " end"), (7, other), (7, third), (8, third + " end"), (None, "alone")]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("7", "b"), ("7", "c"), ("None", "a"), ("None", "a")]
+    assert (None, "alone") in got
