@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -220,6 +220,19 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
+def at_items(places: DataFrame, *about: Column) -> DataFrame:
+    """The rows of ``places`` whose ``item`` more than one has, with ``about`` its rows and their number ``n``; no task has all rows of a hot item."""
+    met = stage(places.groupBy("item").agg(*about, F.count("*").alias("n")).where("n > 1"), "items")
+    return join_groups(places, met, "item", "n", met.agg(F.sum("n")).first()[0] or 0)
+
+
+def attach(pairs: DataFrame, table: DataFrame, side: str, counted: DataFrame) -> DataFrame:
+    """Attach the columns of ``table`` to the key in ``side`` of ``pairs``, which are at most those of ``counted``, though many may share it."""
+    own = table.select(*[F.col(c).alias(side if c == "key" else f"{c}_{side}") for c in table.columns])
+    groups = counted.groupBy(side).agg(F.count("*").alias("uses")).join(own.hint("merge"), side)
+    return join_groups(pairs, groups, side, "uses", counted.count()).drop("uses")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """key, group: for every doc_id as key, the smallest doc_id it is linked to through near copies (itself included).
 
@@ -242,31 +255,26 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     rows = stage(rows.dropDuplicates(["key"]), "sketches")
     bare = rows.select("key", "odd", "size")
 
-    def index(table: DataFrame) -> DataFrame:
-        """The columns of ``table``, its key's first shingles and their places."""
-        return table.join(rows.select("key", "size", "head"), "key").select(*table.columns, "size", F.posexplode("head").alias("place", "item"))
-
     def likely(a, b, n_a, n_b) -> Column:
         return may_be_similar(a, b, n_a, n_b, WHOLE, least)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (bare.select(*[F.col(c).alias(f"{n}_{x}" if n else x) for c, n in (("key", ""), ("odd", "odd"), ("size", "size"))]) for x in "ab")
-        possible = pairs.distinct().join(a, "a").join(b, "b").where(likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b")))
+        pairs = stage(pairs.distinct(), "pairs")
+        both = attach(attach(pairs, bare, "a", pairs), bare, "b", pairs)
+        possible = both.where(likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b")))
         possible = stage(possible.select("a", "b"), "candidates")
         needed = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         texts = docs.select(F.col("doc_id").alias("key"), text_of().alias("text")).join(needed.hint("merge"), "key").dropDuplicates(["key"])
         sets = stage(texts.select("key", shingle_sets(shingle)("text").alias("items")), "shingles")
-        a, b = (sets.select(F.col("key").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-        both = possible.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+        both = attach(attach(possible, sets, "a", possible), sets, "b", possible)
         return both.where(jaccard(F.col("items_a"), F.col("items_b")) >= least).select("a", "b")
 
-    first = Window.partitionBy("item").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    led = index(rows.select("key")).select("key", F.first("key").over(first).alias("lead")).where("key <> lead")
-    stars = stage(verified(led.select(F.col("lead").alias("a"), F.col("key").alias("b"))), "stars")
-    named = rows.select("key").join(components(stars).withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    whole = Window.partitionBy("item")
-    mixed = index(stage(named, "contracted")).withColumns({"n": F.count("*").over(whole), "one": F.min("label").over(whole), "other": F.max("label").over(whole)})
-    meetings = stage(mixed.where("one < other").drop("one", "other"), "meetings")
+    places = rows.select("key", "size", F.posexplode("head").alias("place", "item"))
+    shared = stage(at_items(places, F.min("key").alias("lead")), "shared")
+    stars = stage(verified(shared.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))), "stars")
+    named = shared.drop("lead", "n").join(components(stars).withColumnRenamed("node", "key").hint("merge"), "key", "left")
+    named = stage(named.withColumn("label", F.coalesce("label", "key")), "contracted")
+    meetings = stage(at_items(named, F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").drop("one", "other"), "meetings")
 
     def meeting_pairs(rows_at: DataFrame, more: list[str], fits) -> DataFrame:
         """Pairs (a, b) of rows of different labels that meet at a shingle, have enough left there, and pass ``fits``."""

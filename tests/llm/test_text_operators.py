@@ -315,3 +315,15 @@ def test_near_copies_of_null_and_repeated_doc_ids(spark):
     got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("7", "b"), ("7", "c"), ("None", "a"), ("None", "a")]
     assert (None, "alone") in got
+
+
+def test_rows_of_a_hot_shingle_are_not_in_one_task(spark):
+    F = simhash.F
+    places = spark.range(6000).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 997).alias("item")).repartition(4)
+    got = simhash.at_items(places, F.min("key").alias("lead"))
+    assert {tuple(r) for r in got.where("item = -1").select("lead", "n").distinct().collect()} == {(0, 2000)} and got.count() == 6000
+    per_task = [r.n for r in got.where("item = -1").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(per_task) < 1000
+    pairs = places.where("item = -1").select(F.lit(0).cast("long").alias("a"), F.col("key").alias("b"))
+    met = simhash.attach(pairs, places, "a", pairs)
+    assert met.count() == 2000 and max(r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 1000
