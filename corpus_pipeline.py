@@ -1,7 +1,7 @@
 """The corpus pipeline: drop toxic documents, exact copies and near copies, redact personal data, pack into sequences.
 
 Each stage takes all rows that the one before kept; all but the last return the columns of ``documents``. Rows with a
-null doc_id pass every stage but the exact dedup by text; empty tables give empty results.
+null doc_id pass every stage but the dedups by text; empty tables give empty results.
 """
 
 from __future__ import annotations
