@@ -29,7 +29,8 @@ SAMPLE = 200
 ROUNDS = 12
 
 #: Elements of HTML by what they do to text.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "select", "object", "canvas", "math", "audio", "video")
+RAW = ("script", "style", "noscript", "iframe", "textarea", "title")
+OUTSIDE = frozenset("template svg select object canvas math audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head nav footer aside form button menu dialog fieldset".split())
@@ -48,6 +49,7 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 DEFAULT = {"word": 1.0, "word-a": 0.2, "word-out": -0.5}
 DEFAULT_TAG = -2.0
@@ -71,16 +73,17 @@ def never_content(name: str, own: dict[str, str], inside_article: bool) -> bool:
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(kind, word, marked) of every word and tag in page order; tags have no word.
 
-    A word with a leading space starts apart from the one before. ``marked``: inside the page's own article.
+    A word with a leading space starts apart from the one before. ``marked``: inside the page's own article. Elements
+    of OUTSIDE give no tokens; without an end tag they end with what encloses them, self-closed svg and math at once.
     """
     found: list[tuple[str, str, bool]] = []
     open_tags: list[tuple[str, bool, bool]] = []  # name, never content, article
-    never = article = links = 0
+    never = article = links = outside = 0
     apart, at = True, 0
     while at < len(page):
         tag = TAG.search(page, at)
         chunk = html.unescape(page[at : tag.start() if tag else len(page)])
-        if chunk:
+        if chunk and not outside:
             kind = "word-out" if never else "word-a" if links else "word"
             words = chunk.split()
             for n, word in enumerate(words):
@@ -93,16 +96,23 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         name = (tag[3] or tag[6] or "").lower()
         if not name:
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in OUTSIDE and not outside:
             apart = True
         if tag[2] or tag[5]:
             if any(x[0] == name for x in open_tags):
                 while True:  # closes what was left open inside, too
                     last = open_tags.pop()
                     never, article, links = never - last[1], article - last[2], links - (last[0] == "a")
+                    outside -= last[0] in OUTSIDE
                     if last[0] == name:
                         break
-            found.append((f"/{name}", "", article > 0))
+            if name not in OUTSIDE and not outside:
+                found.append((f"/{name}", "", article > 0))
+            continue
+        if outside or name in OUTSIDE:
+            if name not in VOID and not (name in ("svg", "math") and SELF_CLOSED.search(tag[4] or tag[7] or "")):
+                open_tags.append((name, False, False))
+                outside, links = outside + (name in OUTSIDE), links + (name == "a")
             continue
         own = attributes(tag[4] or tag[7] or "")
         out = never_content(name, own, article > 0)

@@ -216,6 +216,21 @@ def test_likeness_and_differing_paragraphs(spark):
         assert [tuple(x) for x in r.d] == places and (near is None or r.l == near)
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p>one <svg class="i"/> two</p><p>three</p>', "one two three"),
+        ("<p>one <math/> two</p>", "one two"),
+        ("<p>one <svg><path d='x'/><path/><text>no</text></svg> two</p>", "one two"),
+        ("<aside><select><option>no</aside><p>one two three four five six</p>", "one two three four five six"),
+        ("<div><object data=x>no</div><p>one two three four five six</p>", "one two three four five six"),
+    ],
+)
+def test_elements_without_content_end_with_what_encloses_them(page, want):
+    found = extraction.tokens(page)
+    assert " ".join("".join(w for k, w, _ in found if k != "word-out").split()) == want
+
+
 # --- pipeline
 
 
