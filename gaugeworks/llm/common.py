@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A group with more than one part in HOT_PARTS of all rows is hot, so at most HOT_PARTS groups are.
 HOT_PARTS = 1000
+#: Keys that ``pick`` and ``omit`` broadcast at most (some 20 MB); more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,12 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share, as the cluster names it; one of our own only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,10 +47,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables of one call, each deleted once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_path(spark, name)
+        self.places: dict[int, str] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        place = f"{self.path}/{name}-{len(self.places)}"
+        df.write.parquet(place)
+        found = self.spark.read.schema(df.schema).parquet(place)
+        self.places[id(found)] = place
+        found._scratch = self  # the place is known as long as the table is
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``table`` gave."""
+        for df in tables:
+            delete(self.spark, self.places[id(df)])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Attach to each row the row of its group, though one group may hold a third of all rows.
 
-    ``groups`` has one row per ``key`` with its number of rows in ``size``; together they hold ``total`` rows.
+    ``groups`` has one short row per ``key`` with its number of rows in ``size``; together they hold ``total`` rows.
     Groups over ``total / HOT_PARTS`` rows are at most HOT_PARTS, so they are broadcast; the rest is joined by
     a shuffle in which no key is hot.
     """
@@ -53,3 +85,42 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = F.broadcast(groups.where(F.col(size) > limit))
     cold = groups.where(F.col(size) <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key))
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """Join ``rows``, at most ``total``, with the one row of ``table`` for each ``key``; that row may be long.
+
+    Keys with over ``total / HOT_PARTS`` rows, of which there are fewer than HOT_PARTS, are dealt by the column ``by``
+    over as many parts as they need, and the table's row is copied to each part; only those keys and numbers are
+    broadcast.
+    """
+    limit = max(1, total // HOT_PARTS)
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    parts = F.broadcast(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    many = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), many).cast("int")).drop("_parts")
+    copies = table.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts")
+    return dealt.join(copies.hint("merge"), [key, "_part"]).drop("_part")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys`` with a broadcast if they are few, else with a sort-merge join."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+
+
+def pick(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose columns ``by`` are in the staged table ``keys``; null equals null."""
+    return _chosen(rows, keys, by, "left_semi")
+
+
+def omit(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose columns ``by`` aren't in the staged table ``keys``; null equals null."""
+    return _chosen(rows, keys, by, "left_anti")
+
+
+def _chosen(rows: DataFrame, keys: DataFrame, by: list[str], how: str) -> DataFrame:
+    right = _few(keys.select(*[F.col(c).alias(f"_of_{c}") for c in by]))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(right, same, how)

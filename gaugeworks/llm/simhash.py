@@ -15,7 +15,6 @@ no other id is in it; repeated rows are repeated in the result; an empty table g
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gaugeworks.llm.common import documents, join_groups, stage, text_of
+from gaugeworks.llm.common import Scratch, documents, join_groups, join_spread, omit, pick, stage, text_of
+from gaugeworks.llm.shingles import SEED, common_shingles, head, jaccard, may_be_similar, parity, shingle_set
 
 BITS = 64
-SEED = 42
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Bits set in over half of the 64-bit hashes, as a signed number."""
+    ones = np.unpackbits(hashes.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -42,9 +47,7 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = ends - [len(w) + 1 for w in words]
     spans = zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return simhash(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64).view(np.int64)) & (1 << BITS) - 1
 
 
 def fingerprint_column(shingle: int):
@@ -102,7 +105,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps until nothing changes, about log2 of the largest diameter rounds.
     """
-    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    edges = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -110,7 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        scratch.drop(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -129,177 +134,136 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return join_groups(rows, labelled, "fp", "n", rows.count()).drop("n")
 
 
-#: Bits of a parity sketch and rows of one shingle beyond which a pair's parity sketches are compared in the join.
-PARITY, CROWD = 512, 64
-#: A size no set has.
-WHOLE = 1 << 31
-#: About as many texts are read for shingles that many texts share, and so many of those are put last; no result depends on them.
-ORDERED_BY, COMMON = 10_000, 20_000
-
-
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The sorted 64-bit hashes of the text's distinct word shingles."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    runs = {b" ".join(parts[i : i + shingle]) for i in range(max(1, len(parts) - shingle + 1))}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), dtype=np.uint64, count=len(runs)).view(np.int64))
-
-
-def shingle_sets(shingle: int):
-    @F.pandas_udf("array<bigint>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(t, shingle) for t in texts])
-
-    return of
-
-
-def parity(items: np.ndarray) -> list[int]:
-    """Bit i of PARITY says whether an odd number of ``items`` is i modulo PARITY."""
-    odd = np.bincount(items % PARITY, minlength=PARITY).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64).tolist()
-
-
-def sketch(text: str, words: int, shingle: int, size: int) -> tuple[list[int], list[int], list[int]]:
-    """``words`` 64-bit SimHashes of the text's distinct words, the ``size`` smallest hashes of its word shingles, and
-    of these a parity sketch."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    fps = []
-    for word in range(words):
-        hashes = np.array([digest(w, SEED + 1 + word) for w in set(parts)], dtype=">u8")
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        fps.append(int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64)))
-    low = shingle_set(text, shingle)[:size]
-    return fps, low.tolist(), parity(low)
-
-
-def similarity(a, b, size: int) -> Column:
-    """Jaccard similarity of two shingle sets from their smallest hashes; exact where their union has at most ``size``."""
-    low = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    return F.size(F.array_intersect(F.array_intersect(a, b), low)) / F.size(low)
-
+#: Rows of one shingle beyond which parity sketches are compared inside the join.
+CROWD = 64
 
-def jaccard(a, b) -> Column:
-    """Jaccard similarity of two whole shingle sets."""
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
 
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance: int = 4) -> DataFrame:
+    """doc_id, mark, stays_id, stays: every row's near-copy group, named by the row that stays.
 
-def may_be_similar(a, b, n_a, n_b, size: int, least: float) -> Column:
-    """Whether the parity sketches ``a`` and ``b`` of sets of ``n_a`` and ``n_b`` smallest hashes leave ``least`` possible.
+    Near copies have a Jaccard similarity of ``least`` or more on ``shingle``-word shingles, and a group is what such
+    links connect. Candidates come in three passes, each verified by the similarity of the whole shingle sets:
 
-    No pair of that similarity is refused. The sketches differ in at most as many bits as the sets have unshared
-    elements, d. A union within ``size`` has (n_a + n_b + d) / 2 elements of which d are unshared, so that
-    d <= (n_a + n_b) (1 - least) / (1 + least); in a larger one ``least * size`` are shared, so that
-    d <= n_a + n_b - 2 least size.
-    """
-    both = n_a + n_b
-    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY // 64)), F.lit(0))
-    return apart <= F.greatest(both * F.lit((1 - least) / (1 + least)), both - F.lit(2 * least * size)) + F.lit(1e-6)
-
-
-def head(items: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first items, ``common`` ones last, of which two sets of similarity ``least`` share one whatever else they have.
+    1. SimHash fingerprints of the shingle sets within ``distance`` bits, by deletion variants as in ``links``.
+    2. Fingerprints alone miss about half of the pairs near 0.8, which differ in ten bits on average, so every text
+       also meets the first text of each of its first shingles, in an order that puts common ones last: all pairs of
+       ``least`` or more share one of these (``shingles.head``).
+    3. The groups found so are contracted, and texts of different groups that still meet at a shingle are compared.
 
-    Such sets share ``least`` of the items of each, so the first shared one has fewer than the others before it.
+    So large groups aren't expanded into pairs. Before whole sets are joined in, parity sketches refuse most pairs that
+    aren't similar, and none that is. Texts are told apart by ``mark``, a 64-bit hash; equal texts are one node. Of a
+    group the row with the smallest doc_id stays (nulls last, then the smallest mark).
     """
-    often = np.zeros(len(items), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, items), len(common) - 1)
-        often = np.where(common[at] == items, counts[at], 0)
-    return items[np.lexsort((items, often))[: len(items) - math.ceil(least * len(items) - 1e-9) + 1]]
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of shingles that many texts share, from a sample of texts chosen by a hash."""
-
-    step = max(1, docs.count() // ORDERED_BY)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", text_of()), F.lit(step)) == 0)
-    counted = chosen.select(F.explode(shingle_sets(shingle)(text_of())).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where("n > 2")
-    rows = sorted(tuple(r) for r in counted.orderBy(F.desc("n"), "item").limit(COMMON).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-
-
-def at_items(places: DataFrame, *about: Column) -> DataFrame:
-    """The rows of ``places`` whose ``item`` more than one has, with ``about`` its rows and their number ``n``; no task has all rows of a hot item."""
-    met = stage(places.groupBy("item").agg(*about, F.count("*").alias("n")).where("n > 1"), "items")
-    return join_groups(places, met, "item", "n", met.agg(F.sum("n")).first()[0] or 0)
-
-
-def attach(pairs: DataFrame, table: DataFrame, side: str, counted: DataFrame) -> DataFrame:
-    """Attach the columns of ``table`` to the key in ``side`` of ``pairs``, which are at most those of ``counted``, though many may share it."""
-    own = table.select(*[F.col(c).alias(side if c == "key" else f"{c}_{side}") for c in table.columns])
-    groups = counted.groupBy(side).agg(F.count("*").alias("uses")).join(own.hint("merge"), side)
-    return join_groups(pairs, groups, side, "uses", counted.count()).drop("uses")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
 
+    @F.pandas_udf("array<bigint>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, shingle) for t in texts])
 
-def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """key, group: for every doc_id as key, the smallest doc_id it is linked to through near copies (itself included).
+    total = docs.count()
+    common, counts = common_shingles(docs, sets, total)
 
-    Candidates are the pairs that share one of the first shingles of both, in an order that puts common ones last: every
-    pair with a Jaccard similarity of ``least`` on ``shingle``-word shingles is one (``head``). Those that the parity
-    sketches leave possible are verified by that similarity of the whole sets, made again for these texts only. Large groups aren't expanded into pairs: first every text meets the smallest doc_id of each shingle
-    only, and the groups found so are then contracted, and the second join takes only shingles in which different groups
-    meet, and pairs that have enough shingles left after the one they meet at. Where over CROWD rows meet at one, the
-    join also compares parity sketches; these refuse most dissimilar pairs and none of ``least`` or more.
-    """
-    common, counts = common_shingles(docs, shingle)
-
-    @F.pandas_udf("head array<bigint>, odd array<bigint>, size int")
+    @F.pandas_udf("fp bigint, head array<bigint>, odd array<bigint>, size int")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame([(head(s, common, counts, least), parity(s), len(s)) for s in sets], columns=["head", "odd", "size"])
+            found = [shingle_set(t, shingle) for t in texts]
+            yield pd.DataFrame([(simhash(s), head(s, common, counts, least), parity(s), len(s)) for s in found], columns=["fp", "head", "odd", "size"])
+
+    marked = docs.select("doc_id", text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
+    numbered = marked.select("doc_id", "mark", F.monotonically_increasing_id().alias("key"), sketches("text").alias("s"))
+    every = scratch.table(numbered.select("doc_id", "mark", "key", "s.*"), "sketches")
+    texts = every.groupBy("mark").agg(F.min("key").alias("key"))
+    repeated = every.select("mark").distinct().count() < total
+    rows = every.join(texts.select("key").hint("merge"), "key") if repeated else every
+    bare = rows.select("key", "odd", "size", "mark")
 
-    rows = docs.select(F.col("doc_id").alias("key"), sketches(text_of()).alias("s")).select("key", "s.*").where("key is not null")
-    rows = stage(rows.dropDuplicates(["key"]), "sketches")
-    bare = rows.select("key", "odd", "size")
+    def likely(a: str, b: str) -> Column:
+        return may_be_similar(F.col(f"odd{a}"), F.col(f"odd{b}"), F.col(f"size{a}"), F.col(f"size{b}"), least)
 
-    def likely(a, b, n_a, n_b) -> Column:
-        return may_be_similar(a, b, n_a, n_b, WHOLE, least)
+    def attach(pairs: DataFrame, table: DataFrame, side: str, n: int, *columns: str, key: str = "key") -> DataFrame:
+        own = table.select(*[F.col(c).alias(side if c == key else f"{c}_{side[-1]}") for c in (key, *columns)])
+        return join_spread(pairs, own, side, f"{side[:-1]}{'b' if side[-1] == 'a' else 'a'}", n)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs.distinct(), "pairs")
-        both = attach(attach(pairs, bare, "a", pairs), bare, "b", pairs)
-        possible = both.where(likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b")))
-        possible = stage(possible.select("a", "b"), "candidates")
-        needed = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        texts = docs.select(F.col("doc_id").alias("key"), text_of().alias("text")).join(needed.hint("merge"), "key").dropDuplicates(["key"])
-        sets = stage(texts.select("key", shingle_sets(shingle)("text").alias("items")), "shingles")
-        both = attach(attach(possible, sets, "a", possible), sets, "b", possible)
-        return both.where(jaccard(F.col("items_a"), F.col("items_b")) >= least).select("a", "b")
+        """The pairs (a, b) of keys of which the whole shingle sets are similar."""
+        pairs = scratch.table(pairs.distinct(), "pairs")
+        n = pairs.count()
+        both = attach(attach(pairs, bare, "a", n, "odd", "size", "mark"), bare, "b", n, "odd", "size", "mark")
+        possible = scratch.table(both.where(likely("_a", "_b")).select("a", "b", "mark_a", "mark_b"), "possible")
+        scratch.drop(pairs)
+        needed = scratch.table(possible.select(F.explode(F.array("mark_a", "mark_b")).alias("mark")).distinct(), "needed")
+        chosen = pick(marked.select("mark", "text"), needed, ["mark"])
+        whole = chosen.dropDuplicates(["mark"]) if repeated else chosen
+        whole = scratch.table(whole.select("mark", sets("text").alias("items")), "shingles")
+        n = possible.count()
+        both = attach(attach(possible, whole, "mark_a", n, "items", key="mark"), whole, "mark_b", n, "items", key="mark")
+        found = scratch.table(both.where(jaccard(F.col("items_a"), F.col("items_b")) >= least).select("a", "b"), "links")
+        scratch.drop(possible, needed, whole)
+        return found
+
+    prints = rows.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n"))
+    firsts = prints.select("fp", "low")
+    near = links(firsts.select("fp"), distance)
+    near = near.join(firsts.withColumnsRenamed({"fp": "a", "low": "x"}), "a").join(firsts.withColumnsRenamed({"fp": "b", "low": "y"}), "b")
+    equal = join_groups(rows.select("key", "fp"), prints.where("n > 1"), "fp", "n", total).where("key <> low")
+    found = verified(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(equal.select(F.col("low").alias("a"), F.col("key").alias("b"))))
 
     places = rows.select("key", "size", F.posexplode("head").alias("place", "item"))
-    shared = stage(at_items(places, F.min("key").alias("lead")), "shared")
-    stars = stage(verified(shared.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))), "stars")
-    named = shared.drop("lead", "n").join(components(stars).withColumnRenamed("node", "key").hint("merge"), "key", "left")
-    named = stage(named.withColumn("label", F.coalesce("label", "key")), "contracted")
-    meetings = stage(at_items(named, F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").drop("one", "other"), "meetings")
-
-    def meeting_pairs(rows_at: DataFrame, more: list[str], fits) -> DataFrame:
+    shared = scratch.table(meeting(scratch, places, "key"), "shared")
+    linked = components(found)
+    leads = shared.select(F.col("low").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
+    known = linked.select("node", "label")
+    leads = leads.join(known.select(F.col("node").alias("a"), F.col("label").alias("of_a")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("of_b")), "b", "left")
+    stars = verified(leads.where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b"))
+    found = found.unionByName(stars)
+
+    named = shared.drop("low", "n").join(components(found).withColumnRenamed("node", "key").hint("merge"), "key", "left")
+    named = scratch.table(named.withColumn("label", F.coalesce("label", "key")), "named")
+    meetings = scratch.table(meeting(scratch, named, "label").drop("low"), "meetings")
+    scratch.drop(shared, named)
+
+    def pairs_of(at: DataFrame, *more: str, fits: Column) -> DataFrame:
         """Pairs (a, b) of rows of different labels that meet at a shingle, have enough left there, and pass ``fits``."""
-        a, b = (rows_at.select("item", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "label", "size", "place", *more)]) for side in "ab")
+        a, b = (at.select("item", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "label", "size", "place", *more)]) for side in "ab")
         left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-        near = (F.col("label_a") < F.col("label_b")) & (left >= (F.col("size_a") + F.col("size_b")) * F.lit(least / (1 + least)) - F.lit(1e-6))
-        return a.join(b.hint("merge"), "item").where(near & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        enough = (F.col("label_a") < F.col("label_b")) & (left >= (F.col("size_a") + F.col("size_b")) * F.lit(least / (1 + least)) - F.lit(1e-6))
+        return a.join(b.hint("merge"), "item").where(enough & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
     crowd = meetings.where(F.col("n") > CROWD).join(bare.select("key", "odd"), "key")
-    alike = likely(F.col("odd_a"), F.col("odd_b"), F.col("size_a"), F.col("size_b"))
-    rest = verified(meeting_pairs(meetings.where(F.col("n") <= CROWD), [], F.lit(True)).unionByName(meeting_pairs(crowd, ["odd"], alike)))
-    found = components(stars.unionByName(rest)).withColumnsRenamed({"node": "key", "label": "group"})
-    return rows.select("key").join(found, "key", "left").select("key", F.coalesce("group", "key").alias("group"))
+    rest = verified(pairs_of(meetings.where(F.col("n") <= CROWD), fits=F.lit(True)).unionByName(pairs_of(crowd, "odd", fits=likely("_a", "_b"))))
+    scratch.drop(meetings)
+    names = components(found.unionByName(rest)).withColumnRenamed("node", "key")
+    texts = rows.select("key", "mark").join(names, "key", "left").select("mark", F.coalesce("label", "key").alias("label"))
+    members = every.select("doc_id", "mark")
+    if repeated:
+        members = join_groups(members, texts.join(members.groupBy("mark").agg(F.count("*").alias("n")), "mark"), "mark", "n", total).drop("n")
+    else:
+        members = every.select("doc_id", "mark", "key").join(names, "key", "left").select("doc_id", "mark", F.coalesce("label", "key").alias("label"))
+    members = scratch.table(members, "members")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark"))
+    chosen = members.groupBy("label").agg(best.alias("best"), F.count("*").alias("n"))
+    named = join_groups(members, chosen, "label", "n", total)
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    return named.select("doc_id", "mark", F.col("best.doc_id").alias("stays_id"), stays.alias("stays"))
+
+
+def meeting(scratch: Scratch, places: DataFrame, name: str) -> DataFrame:
+    """The rows of ``places`` at items where ``name`` has several values, with its smallest as ``low`` and the number ``n`` of rows; no task has all rows of a hot item."""
+    met = places.groupBy("item").agg(F.min(name).alias("low"), F.max(name).alias("_high"), F.count("*").alias("n")).where("low < _high")
+    met = scratch.table(met.drop("_high"), "items")
+    return join_groups(places, met, "item", "n", met.agg(F.sum("n")).first()[0] or 0)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their near-copy group by doc_id (nulls last), with all their columns.
+    """The rows of ``docs`` that stay of their near-copy groups, with all their columns (``similar_groups``).
 
-    Rows are compared by numbers of their own, so those with a null doc_id or one that others have are, too.
+    Rows with equal doc_id and text are one document and share its fate.
     """
-    ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64(text_of()))
-    numbered = stage(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = similar_groups(numbered.select(F.col("_row").alias("doc_id"), "text"), **options)
-    kept = groups.where(F.col("key") == F.col("group")).select(F.col("key").alias("_kept_row"))
-    return numbered.join(kept.hint("merge"), F.col("_row") == F.col("_kept_row")).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "copies")
+    gone = scratch.table(similar_groups(docs, **options).where("not stays").select(F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark")).distinct(), "gone")
+    own = docs.select("*", F.col("doc_id").alias("_near_id"), F.xxhash64(text_of()).alias("_near_mark"))
+    return omit(own, gone, ["_near_id", "_near_mark"]).select(*[own[c] for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from gaugeworks.llm import byte_bpe, exact_dedup, packing, sharding, simhash, token_file, word_tokens
-from gaugeworks.llm.common import new_path
+from gaugeworks.llm import byte_bpe, exact_dedup, packing, sharding, shingles, simhash, token_file, word_tokens
+from gaugeworks.llm.common import Scratch, join_spread, new_path
 from tokenizers import Tokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, digest string, n int, label int, pid int, shard int"
@@ -115,19 +115,20 @@ def test_near_copies_keep_one_of_each_group(spark):
 def test_parity_sketches_refuse_no_similar_pair(spark, monkeypatch):
     rng = random.Random(9)
     rows = []
-    for n in (40, 150, 210, 420):
+    for n in (40, 150, 210, 420, 505, 530, 1030):
         base = [f"w{rng.randrange(3000)}" for _ in range(n)]
         for i in range(14):
             copy = list(base)
             for _ in range(rng.randrange(0, 1 + n // 30)):
                 copy[rng.randrange(n)] = "x" + str(rng.randrange(10**6))
-            rows.append((1000 * n + i, " ".join(copy)))
-    sets = {k: simhash.sketch(t, 1, 5, 200) for k, t in rows}
-    pairs = [(a, b, sets[a][1], sets[b][1], sets[a][2], sets[b][2]) for a in sets for b in sets if a < b]
-    df = spark.createDataFrame(pairs, "a long, b long, x array<bigint>, y array<bigint>, p array<bigint>, q array<bigint>")
+            rows.append((1000 * n + i, " ".join(copy + base[: rng.randrange(n // 8)])))
+    sets = {k: shingles.shingle_set(t, 5) for k, t in rows}
+    odd = {k: shingles.parity(s).tolist() for k, s in sets.items()}
+    assert {len(x) for x in odd.values()} == {8, 16, 32}
+    pairs = [(len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8, odd[a], odd[b], len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b]
     F = simhash.F
-    tried = df.select(simhash.similarity(F.col("x"), F.col("y"), 200).alias("s"), simhash.may_be_similar(F.col("p"), F.col("q"), F.size("x"), F.size("y"), 200, 0.8).alias("m"))
-    got = [(r.s >= 0.8, r.m) for r in tried.collect()]
+    df = spark.createDataFrame(pairs, "near boolean, p array<bigint>, q array<bigint>, n int, m int")
+    got = [tuple(r) for r in df.select("near", shingles.may_be_similar(*map(F.col, "pqnm"), 0.8)).collect()]
     assert (True, False) not in got and got.count((True, True)) > 20 and got.count((False, False)) > 1000
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = sorted(simhash.similar_groups(docs).collect())
@@ -298,14 +299,14 @@ def brute_groups(rows, least=0.8):
 
 def test_appended_and_cut_copies_are_all_found(spark):
     rows = changed_copies(random.Random(3), 150, lambda rng: rng.randrange(60, 190))
-    got = dict(tuple(r) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    got = {r.doc_id: r.stays_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     want = brute_groups(rows)
-    assert len(set(want.values())) < 400 and {k for k in want if got[k] > want[k]} == set()
+    assert len(set(want.values())) < 400 and got == want
 
 
 def test_long_copies_are_decided_by_their_whole_shingle_sets(spark):
     rows = changed_copies(random.Random(4), 120, lambda rng: rng.randrange(300, 900))
-    got = dict(tuple(r) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    got = {r.doc_id: r.stays_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_groups(rows)
 
 
@@ -320,10 +321,19 @@ def test_near_copies_of_null_and_repeated_doc_ids(spark):
 def test_rows_of_a_hot_shingle_are_not_in_one_task(spark):
     F = simhash.F
     places = spark.range(6000).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 997).alias("item")).repartition(4)
-    got = simhash.at_items(places, F.min("key").alias("lead"))
-    assert {tuple(r) for r in got.where("item = -1").select("lead", "n").distinct().collect()} == {(0, 2000)} and got.count() == 6000
+    got = simhash.meeting(Scratch(spark, "met"), places, "key")
+    assert {tuple(r) for r in got.where("item = -1").select("low", "n").distinct().collect()} == {(0, 2000)} and got.count() == 6000
     per_task = [r.n for r in got.where("item = -1").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert max(per_task) < 1000
     pairs = places.where("item = -1").select(F.lit(0).cast("long").alias("a"), F.col("key").alias("b"))
-    met = simhash.attach(pairs, places, "a", pairs)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    met = join_spread(pairs, places.withColumnRenamed("key", "a"), "a", "b", 2000)
     assert met.count() == 2000 and max(r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 1000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_repeated_rows_share_the_fate_of_their_group(spark):
+    text = " ".join(f"a{i}" for i in range(100))
+    rows = [(3, text), (3, text), (4, text), (9, text + " end"), (1, "other"), (None, ""), (None, None)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert keyed(got) == keyed([(3, text), (3, text), (1, "other"), (None, ""), (None, None)])
