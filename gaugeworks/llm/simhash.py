@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gaugeworks.llm.common import Scratch, documents, join_groups, join_spread, omit, pick, stage, text_of
-from gaugeworks.llm.shingles import SEED, common_shingles, head, jaccard, may_be_similar, parity, shingle_set
+from gaugeworks.llm.common import Scratch, documents, free, join_groups, join_spread, omit, pick, stage, text_of
+from gaugeworks.llm.shingles import AT_ONCE, SEED, common_shingles, head, jaccard, may_be_similar, parity, shingle_set
 
 BITS = 64
 
@@ -159,7 +159,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, distan
     @F.pandas_udf("array<bigint>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingle_set(t, shingle) for t in texts])
+            for i in range(0, len(texts), AT_ONCE):
+                yield pd.Series([shingle_set(t, shingle) for t in texts[i : i + AT_ONCE]])
 
     total = docs.count()
     common, counts = common_shingles(docs, sets, total)
@@ -167,8 +168,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, distan
     @F.pandas_udf("fp bigint, head array<bigint>, odd array<bigint>, size int")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame([(simhash(s), head(s, common, counts, least), parity(s), len(s)) for s in found], columns=["fp", "head", "odd", "size"])
+            for i in range(0, len(texts), AT_ONCE):
+                found = (shingle_set(t, shingle) for t in texts[i : i + AT_ONCE])
+                yield pd.DataFrame([(simhash(s), head(s, common, counts, least), parity(s), len(s)) for s in found], columns=["fp", "head", "odd", "size"])
 
     marked = docs.select("doc_id", text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
     numbered = marked.select("doc_id", "mark", F.monotonically_increasing_id().alias("key"), sketches("text").alias("s"))
@@ -260,10 +262,10 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Rows with equal doc_id and text are one document and share its fate.
     """
-    scratch = Scratch(docs.sparkSession, "copies")
-    gone = scratch.table(similar_groups(docs, **options).where("not stays").select(F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark")).distinct(), "gone")
-    own = docs.select("*", F.col("doc_id").alias("_near_id"), F.xxhash64(text_of()).alias("_near_mark"))
-    return omit(own, gone, ["_near_id", "_near_mark"]).select(*[own[c] for c in docs.columns])
+    scratch, (one, mark) = Scratch(docs.sparkSession, "copies"), free(docs, "near_id", "near_mark")
+    gone = scratch.table(similar_groups(docs, **options).where("not stays").select(F.col("doc_id").alias(one), F.col("mark").alias(mark)).distinct(), "gone")
+    own = docs.select("*", F.col("doc_id").alias(one), F.xxhash64(text_of()).alias(mark))
+    return omit(own, gone, [one, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
