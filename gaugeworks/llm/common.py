@@ -23,6 +23,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it; one of our own only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)

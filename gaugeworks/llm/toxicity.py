@@ -5,8 +5,8 @@ hashed), so unseen words with known parts are understood. A text is scored in ov
 STRIDE apart, over its whole length; two gated recurrent layers read each window in both directions, attention pools
 their states, and the highest window decides.
 
-Only texts are inputs. Labels are learned from a bounded sample: SAMPLE labelled documents of each class at most, of
-those whose crc32(doc_id) mod FOLDS is not 0. Windows have no labels of their own, so training picks, in each round, the
+Only texts are inputs. Labels are learned from a bounded sample: SAMPLE labelled documents of each class at most, none
+over LONGEST bytes, of those whose crc32(doc_id) mod FOLDS is not 0. Windows have no labels of their own, so training picks, in each round, the
 window that now scores highest in every document.
 
 Defined cases: a null text counts as empty; a text without words is one empty window and gets the score of the bias;
@@ -29,18 +29,21 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import documents
 
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 13, 1 << 13, 16, 8
-WINDOW, STRIDE = 32, 24
-SAMPLE, FOLDS, ROUNDS, SEED = 1000, 5, 14, 7
+WINDOW, STRIDE = 32, 16
+#: Labelled documents of each class that a fit takes at most, and their longest text in bytes.
+SAMPLE, LONGEST = 1000, 50_000
+FOLDS, ROUNDS, SEED = 5, 14, 7
 #: Words whose inputs a worker keeps, and windows scored at once.
-KEPT, AT_ONCE = 200_000, 2048
-WORD = re.compile(r"\w+")
+KEPT, AT_ONCE = 100_000, 2048
+#: A word; longer runs, as in scripts without spaces, are several words.
+WORD = re.compile(r"\w{1,40}")
 
 _readers: dict[int, Reader] = {}
 
 
 def features(word: str) -> tuple[int, list[int]]:
     """Hashed places of a word and of its character trigrams, ends marked."""
-    data = f"^{word[:40]}$"
+    data = f"^{word}$"
     return zlib.crc32(data.encode("utf-8", "surrogatepass")) % WORDS, [zlib.crc32(data[i : i + 3].encode("utf-8", "surrogatepass"), 1) % GRAMS for i in range(len(data) - 2)]
 
 
@@ -211,7 +214,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     step = 0
     for turn in range(rounds):
         if turn == 0:
-            chosen = rng.permutation(len(at))[: 8 * len(texts)]
+            chosen = rng.permutation(len(at))
         else:
             logits = []
             for i in range(0, len(at), AT_ONCE):
@@ -250,11 +253,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``sample`` documents of each class outside the held-out fold, chosen by a hash."""
+    """Texts and labels of at most ``sample`` documents of each class outside the held-out fold, chosen by a hash.
+
+    Of rows that share a doc_id the smallest text counts, and the document is toxic if any of its labels says so.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])  # 2 * sample rows at most
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(ids), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()  # 2 * sample * LONGEST bytes at most
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 
