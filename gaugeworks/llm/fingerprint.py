@@ -1,82 +1,143 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and chunks of a text.
 
-A text is cut at blank lines (two newlines) into sections, a section at newlines into paragraphs; both cuts lose
-nothing. A paragraph's node is the SHA-256 of its text, a section's that of its paragraphs' nodes, the root that of the
-sections' nodes, so equal roots mean equal texts. Under a paragraph, chunks of CHUNK code points are the leaves by which
-edits are located and texts compared: the likeness of two trees is the Dice coefficient of their leaf sets,
-about the part of the text that stayed.
+A text is cut at blank lines (two newlines) into sections, a section at newlines into paragraphs, and a paragraph after
+certain letters that end a word into chunks, the leaves; all cuts lose nothing. Where chunks end depends on the
+letters near them, so that cuts after an edit fall as before it. A leaf's node is the SHA-256 of its text, a
+paragraph's that of its leaves' nodes, a section's that of its paragraphs' nodes, the root that of the sections'
+nodes, so equal roots mean equal texts.
+
+The fingerprint writes the tree down: the root, and the nodes of sections (the first 16 digits), of paragraphs (16) and
+leaves (8) below them. Two fingerprints are compared from the top: branches with equal nodes are left out, and only
+under differing ones the next level is looked at. The likeness is the part of distinct leaves that isn't in a differing
+branch; it is 1 for equal texts only.
 
 Defined cases: a null text counts as empty; empty texts are equal (likeness 1) and unlike any other (0); null doc_ids
-come last in descending order; rows of one doc_id are ordered by text; an only row is its own next; an empty table
-gives no rows; other columns are ignored.
+come last in descending order, by a hash of the text; rows of one doc_id are ordered by text; an only row is its own
+next; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import documents, text_of
 
-CHUNK = 32
+#: Leaves have so many code points at least, and at most where no word ends fittingly.
+SHORTEST, LONGEST = 24, 256
+CHUNK = rf"(?s).{{{SHORTEST},{LONGEST}}}?(?:[aenrst.,][\x20\t]|[、。]|\z)|.{{1,{LONGEST}}}"
+#: Digits of the nodes that a fingerprint has below its root: sections and paragraphs, leaves.
+NODE, LEAF = 16, 8
+#: Bytes of text in a block of ``with_next``, and blocks at most.
+BLOCK_BYTES, BLOCKS = 32 << 20, 20_000
 LOWEST = -(1 << 63)
 
 
-def sections(text: Column) -> Column:
-    """The text as an array of sections, each an array of paragraphs."""
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.split(s, "\n", -1))
+def _sha(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def tree(text: Column) -> Column:
+    """The fingerprint: root, ``:``, sections joined by ``;``. A section is node, ``=`` and its paragraphs joined by
+    ``,``; a paragraph is node and its leaves, each after a ``.``."""
+
+    def paragraph(p: Column) -> Column:
+        leaves = F.transform(F.regexp_extract_all(p, F.lit(CHUNK), F.lit(0)), _sha)
+        short = F.transform(leaves, lambda x: F.concat(F.lit("."), F.substring(x, 1, LEAF)))
+        return F.struct(_sha(F.array_join(leaves, ".")).alias("node"), F.array_join(short, "").alias("below"))
+
+    def section(s: Column) -> Column:
+        return F.transform(F.split(s, "\n", -1), paragraph)
+
+    def node(parts: Column) -> Column:
+        return _sha(F.array_join(F.transform(parts, lambda p: p["node"]), ","))
+
+    def written(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p: F.concat(F.substring(p["node"], 1, NODE), p["below"])), ",")
+
+    nodes = F.transform(F.transform(F.split(text, "\n\n", -1), section), lambda s: F.struct(node(s).alias("node"), written(s).alias("below")))
+    # bound once by a one-row transform, so that the tree isn't computed again for each use
+    root = lambda all_: F.concat(_sha(F.array_join(F.transform(all_, lambda s: s["node"]), ";")), F.lit(":"), F.array_join(F.transform(all_, lambda s: F.concat(F.substring(s["node"], 1, NODE), F.lit("="), s["below"])), ";"))
+    return F.get(F.transform(F.array(nodes), root), F.lit(0))
+
+
+def root_of(tree: Column) -> Column:
+    return F.substring(tree, 1, 64)
 
 
-def root(parts: Column) -> Column:
-    """The root over what ``sections`` gives, 64 hex digits."""
-    section = lambda paragraphs: F.sha2(F.array_join(F.transform(paragraphs, lambda p: F.sha2(p, 256)), ","), 256)
-    return F.sha2(F.array_join(F.transform(parts, section), ";"), 256)
+def _sections(tree: Column) -> Column:
+    return F.split(F.substring(tree, F.lit(66), F.length(tree)), ";", -1)
 
 
-def leaves(parts: Column) -> Column:
-    """The set of chunk hashes under all paragraphs."""
-    chunks = F.transform(F.flatten(parts), lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
-    return F.array_distinct(F.transform(F.flatten(chunks), lambda c: F.xxhash64(c)))
+def _paragraphs(sections: Column) -> Column:
+    return F.flatten(F.transform(sections, lambda s: F.split(F.substring(s, F.lit(NODE + 2), F.length(s)), ",", -1)))
 
 
-def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    """1 for equal roots, else twice the leaves that both have over the leaves of each together."""
-    both = F.size(F.array_intersect(leaves_a, leaves_b))
-    total = F.size(leaves_a) + F.size(leaves_b)
-    return F.when(root_a == root_b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2 * both / total)
+def _leaves(paragraphs: Column) -> Column:
+    return F.flatten(F.transform(paragraphs, lambda p: F.filter(F.split(F.substring(p, F.lit(NODE + 1), F.length(p)), r"\.", -1), lambda x: x != "")))
 
 
-def differing(parts_a: Column, parts_b: Column) -> Column:
-    """Where two trees branch: (section, paragraph) places, from 0, whose paragraphs differ or that one lacks."""
-    n = F.greatest(F.size(parts_a), F.size(parts_b))
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two fingerprints, 0 to 1, and 1 for equal roots only."""
+
+    def only(x: Column, y: Column) -> Column:
+        return F.struct(F.array_except(x, y).alias("a"), F.array_except(y, x).alias("b"))
+
+    def then(pair: Column, below) -> Column:
+        return F.get(F.transform(F.array(pair), lambda p: only(below(p["a"]), below(p["b"]))), F.lit(0))
+
+    sections = only(_sections(a), _sections(b))
+    leaves = then(then(sections, _paragraphs), _leaves)
+
+    def part(both: Column) -> Column:
+        gone = F.size(both["leaves"]["a"]) + F.size(both["leaves"]["b"])
+        return 1 - F.greatest(gone, F.lit(1)) / F.greatest(both["n"], F.lit(1))
+
+    def count(t: Column) -> Column:
+        return F.size(F.array_distinct(_leaves(_paragraphs(_sections(t)))))
+
+    both = F.struct(leaves.alias("leaves"), (count(a) + count(b)).alias("n"))
+    return F.when(root_of(a) == root_of(b), F.lit(1.0)).otherwise(F.greatest(F.get(F.transform(F.array(both), part), F.lit(0)), F.lit(0.0)))
+
+
+def edits(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, section, paragraph (from 0): places of the new fingerprints whose paragraphs the old ones don't have.
+
+    Both have ``key`` and ``fingerprint``. Documents with equal roots are left out first, and so are equal sections
+    before paragraphs are compared.
+    """
+    roots = old.select(key, root_of(F.col("fingerprint")).alias("root"))
+    changed = new.withColumn("root", root_of(F.col("fingerprint"))).join(roots, [key, "root"], "left_anti")
 
-    def places(i):
-        a, b = F.coalesce(F.get(parts_a, i), F.array().cast("array<string>")), F.coalesce(F.get(parts_b, i), F.array().cast("array<string>"))
-        m = F.greatest(F.size(a), F.size(b))
-        own = F.filter(F.sequence(F.lit(0), m - 1), lambda j: ~F.get(a, j).eqNullSafe(F.get(b, j)))
-        return F.transform(F.when(m > 0, own).otherwise(F.array().cast("array<int>")), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+    def sections(rows: DataFrame) -> DataFrame:
+        return rows.select(key, F.posexplode(_sections(F.col("fingerprint"))).alias("section", "text"))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), places))
+    branches = sections(changed).join(sections(old).select(key, "text"), [key, "text"], "left_anti")
+    known = sections(old).select(key, F.explode(_paragraphs(F.array("text"))).alias("node")).distinct()
+    return branches.select(key, "section", F.posexplode(_paragraphs(F.array("text"))).alias("paragraph", "node")).join(known, [key, "node"], "left_anti").select(key, "section", "paragraph")
 
 
 def trees(docs: DataFrame) -> DataFrame:
-    """doc_id, root and leaves of every row of ``docs``."""
-    parts = docs.select("doc_id", sections(text_of()).alias("parts"))
-    return parts.select("doc_id", root(F.col("parts")).alias("root"), leaves(F.col("parts")).alias("leaves"))
+    """doc_id and fingerprint of every row of ``docs``."""
+    return docs.select("doc_id", tree(text_of()).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and the next row's text (``after``) in descending doc_id order; after the last comes the first.
 
-    The ids alone give block bounds (approximate percentiles, a few for each shuffle partition) and each block's
-    first row; a row that is first in its block is also sent to the block before, so one shuffle of the texts by
-    block is enough to see every row's next.
+    The ids alone give block bounds (approximate percentiles; a block has about BLOCK_BYTES of text, or less for
+    parallelism) and each block's first row; a row that is first in its block is also sent to the block before, so one
+    shuffle of the texts by block is enough to see every row's next. Null doc_ids are keyed far below all others by a
+    hash of their text, so that they are spread over blocks too.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LOWEST)).cast("long").alias("key"))
-    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mark = F.xxhash64(text_of())
+    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(mark, 3) + F.lit(LOWEST)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = min(BLOCKS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES))
     asked = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("key", asked, 10 * blocks)).first()[0] or []))
+    bounds = sorted(set(keyed.agg(F.percentile_approx("key", asked, 10 * blocks)).first()[0] or []))
     depth = max(1, len(bounds)).bit_length()
     padded = F.lit([*bounds, *[(1 << 63) - 1] * ((1 << depth) - len(bounds))]).cast("array<bigint>")
     strides = F.lit([1 << (depth - 1 - i) for i in range(depth)])
@@ -85,14 +146,16 @@ def with_next(docs: DataFrame) -> DataFrame:
         return F.when(F.element_at(padded, low + stride) < F.col("key"), low + stride).otherwise(low)
 
     block = F.aggregate(strides, F.lit(0), step)
-    firsts = sorted((r.block, r.first) for r in ids.withColumn("block", block).groupBy("block").agg(F.max("key").alias("first")).collect())  # a row a block
+    firsts = sorted((r.block, r.first) for r in keyed.withColumn("block", block).groupBy("block").agg(F.max("key").alias("first")).collect())  # a row a block
     before = {b: firsts[(i + 1) % len(firsts)][0] for i, (b, _) in enumerate(firsts)}
-    first_of = F.create_map(*[F.lit(x) for pair in firsts for x in pair]) if firsts else F.create_map(F.lit(0), F.lit(0))
-    before_of = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if firsts else F.create_map(F.lit(0), F.lit(0))
-    rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(F.col("doc_id"), F.lit(LOWEST)).cast("long").alias("key")).withColumn("block", block)
+    # by block, from 0; blocks without rows have none
+    places = range(1 + max((b for b, _ in firsts), default=0))
+    first_of = F.lit([dict(firsts).get(b, LOWEST) for b in places]).cast("array<bigint>")
+    before_of = F.lit([before.get(b, 0) for b in places]).cast("array<int>")
+    rows = keyed.select("doc_id", text_of().alias("text"), "key").withColumn("block", block)
     own = F.struct(F.col("block").alias("to"), F.lit(False).alias("extra"))
-    also = F.struct(F.element_at(before_of, F.col("block")).alias("to"), F.lit(True).alias("extra"))
-    sent = F.when(F.col("key") == F.element_at(first_of, F.col("block")), F.array(own, also)).otherwise(F.array(own))
+    also = F.struct(F.get(before_of, F.col("block")).alias("to"), F.lit(True).alias("extra"))
+    sent = F.when(F.col("key") == F.get(first_of, F.col("block")), F.array(own, also)).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", "key", F.explode(sent).alias("s")).select("doc_id", "text", "key", "s.to", "s.extra")
     order = Window.partitionBy("to").orderBy("extra", F.desc("key"), "text")
     return dealt.withColumn("after", F.lead("text").over(order)).where("not extra").select("doc_id", "text", "after")
@@ -103,7 +166,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.expr("cast(n_chars div 3 as int)")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("after", F.lit(1), cut))
     rows = rows.withColumn("edited", edited)
-    parts = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sections(F.col("text")).alias("own"), sections(F.col("edited")).alias("new"), sections(F.col("after")).alias("next"))
-    nodes = parts.select("doc_id", "n_chars", "edited_sha256", *[f(F.col(c)).alias(f"{c}_{n}") for c in ("own", "new", "next") for n, f in (("root", root), ("leaves", leaves))])
-    near = lambda other: likeness(F.col("own_root"), F.col("own_leaves"), F.col(f"{other}_root"), F.col(f"{other}_leaves"))
-    return nodes.select("doc_id", "n_chars", "edited_sha256", F.col("own_root").alias("fingerprint"), F.col("new_root").alias("edited_fingerprint"), near("new").alias("near_edited"), near("next").alias("near_next"))
+    found = rows.select("doc_id", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), *[tree(F.col(c)).alias(n) for c, n in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("after", "next_fingerprint"))])
+    near = lambda other: likeness(F.col("fingerprint"), F.col(other))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))

@@ -1,11 +1,11 @@
-"""Packing documents into sequences: best fit, then swap-based local search.
+"""Packing documents into sequences by swap-based local search.
 
 Only documents longer than a sequence are cut. The pieces (no ids, a few numbers each) are dealt evenly over groups of
-about GROUP pieces; each group is packed by itself, which costs at most about one sequence a group.
+about GROUP pieces; each group is packed by itself, and the emptiest sequences of all groups are packed again together.
 
-Inside a group, best fit in descending length gives a start. The local search then takes the emptiest sequences and
-moves a piece, exchanges one for one, or one for two with fuller ones, always raising the sum of squared fills, until
-they are empty, nothing improves, or the number of sequences is the least possible.
+Inside a group, pieces in the order they come give a poor start. The local search then takes the emptiest sequences
+and moves a piece, exchanges one for one, or two for one with fuller ones, always raising the sum of squared fills,
+until they are empty, nothing improves, or the number of sequences is the least possible.
 
 Defined cases: a null text counts as empty and is one piece of the end id; repeated rows are packed each; null
 doc_ids stay; an empty table gives no rows; other columns are ignored.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, stage
+from gaugeworks.llm.common import Scratch, documents, stage
 from gaugeworks.llm.word_tokens import encoded, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
-GROUP = 100_000
+#: Pieces that are packed together, and one in how many sequences of a group is packed again with those of others.
+GROUP, LOOSE = 100_000, 50
+#: Pieces of a sequence up to which exchanges of two are tried.
+PAIRED = 64
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -51,7 +55,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
 
 class Bins:
-    """Sequences of pieces, findable by the room they have."""
+    """Sequences of pieces, findable by the room they have and by the lengths of pieces in sequences of a room."""
 
     def __init__(self, lengths: list[int], capacity: int):
         self.lengths, self.capacity = lengths, capacity
@@ -59,133 +63,192 @@ class Bins:
         self.room: list[int] = []
         self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.rooms = 0  # bit r: some sequence has room r
+        self.held = [0] * (capacity + 1)  # bit n of held[r]: some sequence of room r has a piece of length n
+        self.holders: dict[tuple[int, int], set[int]] = {}  # (room, length): those sequences
 
     def _file(self, b: int, room: int) -> None:
         self.room[b] = room
         self.by_room[room].add(b)
         self.rooms |= 1 << room
+        for n in {self.lengths[i] for i in self.items[b]} if room else ():
+            self.held[room] |= 1 << n
+            self.holders.setdefault((room, n), set()).add(b)
 
     def _unfile(self, b: int) -> None:
         room = self.room[b]
         self.by_room[room].discard(b)
         if not self.by_room[room]:
             self.rooms &= ~(1 << room)
+        for n in {self.lengths[i] for i in self.items[b]} if room else ():
+            self.holders[room, n].discard(b)
+            if not self.holders[room, n]:
+                self.held[room] &= ~(1 << n)
 
-    def add(self, b: int, items: list[int]) -> None:
+    def change(self, b: int, out: list[int] = (), into: list[int] = ()) -> None:
+        """Take pieces out of a sequence and put others into it."""
         self._unfile(b)
-        self.items[b].update(items)
-        self._file(b, self.room[b] - sum(self.lengths[i] for i in items))
-
-    def remove(self, b: int, items: list[int]) -> None:
-        self._unfile(b)
-        self.items[b].difference_update(items)
-        self._file(b, self.room[b] + sum(self.lengths[i] for i in items))
-
-    def tightest(self, length: int, besides: int = -1) -> int:
-        """The sequence with the least room for ``length``, or -1."""
-        open_rooms = self.rooms >> length
-        while open_rooms:
-            step = (open_rooms & -open_rooms).bit_length() - 1
-            found = next((b for b in self.by_room[length + step] if b != besides and self.items[b]), -1)
+        self.items[b].difference_update(out)
+        self.items[b].update(into)
+        self._file(b, self.room[b] + sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in into))
+
+    def open(self) -> int:
+        self.items.append(set())
+        self.room.append(self.capacity)
+        self._file(len(self.room) - 1, self.capacity)
+        return len(self.room) - 1
+
+    def tightest(self, length: int, most: int, besides: int = -1) -> int:
+        """The sequence with the least room for ``length``, and no more than ``most``, or -1."""
+        fitting = self.rooms >> length
+        while fitting:
+            room = length + (fitting & -fitting).bit_length() - 1
+            if room > most:
+                break
+            found = next((b for b in self.by_room[room] if b != besides and self.items[b]), -1)
             if found >= 0:
                 return found
-            open_rooms &= open_rooms - 1
+            fitting &= fitting - 1
         return -1
 
     def fit(self, item: int) -> None:
-        b = self.tightest(self.lengths[item])
-        if b < 0:
-            b = len(self.items)
-            self.items.append(set())
-            self.room.append(self.capacity)
-            self._file(b, self.capacity)
-        self.add(b, [item])
-
-
-def improve(bins: Bins, least: int, tries: int = 200) -> None:
-    """Empty the emptiest sequences by moves, one-for-one and two-for-one exchanges with fuller ones.
-
-    ``tries`` bounds the fuller sequences looked at for one exchange; a move looks at all.
+        b = self.tightest(self.lengths[item], self.capacity)
+        self.change(self.open() if b < 0 else b, into=[item])
+
+    def partner(self, b: int, length: int) -> tuple[int, int, int]:
+        """(gain, sequence, length) of the piece that a fuller sequence best gives for ``length`` from ``b``; gain 0: none.
+
+        The gain is what ``b`` loses, at most the room there. All sequences are covered: rooms are gone through from
+        the largest, and each room's lengths are one number of bits.
+        """
+        best = (0, -1, 0)
+        rooms = self.rooms & ((1 << (self.room[b] + 1)) - 1)
+        while rooms:
+            room = rooms.bit_length() - 1
+            if min(room, length - 1) <= best[0]:
+                break
+            rooms ^= 1 << room
+            low = max(1, length - room)
+            while low < length:
+                fitting = self.held[room] >> low
+                back = low + (fitting & -fitting).bit_length() - 1 if fitting else length
+                if length - back <= best[0]:
+                    break
+                to = next((x for x in self.holders[room, back] if x != b), -1)
+                if to >= 0:
+                    best = (length - back, to, back)
+                    break
+                low = back + 1
+        return best
+
+
+def improve(bins: Bins, least: int) -> int:
+    """Empty sequences, the emptiest first, by moves, one-for-one and two-for-one exchanges with fuller ones.
+
+    Every step raises the sum of squared fills, so the search ends: when a pass over all underfull sequences changes
+    nothing, or their number is ``least``. Gives the number of sequences that it emptied.
     """
     lengths = bins.lengths
     used = sum(1 for x in bins.items if x)
-    order = sorted((b for b in range(len(bins.items)) if bins.room[b] and bins.items[b]), key=lambda b: -bins.room[b])
-    for b in order:
-        if used <= least:
-            return
-        changed = True
-        while changed and bins.items[b]:
-            changed = False
-            for i in sorted(bins.items[b], key=lambda i: -lengths[i]):
-                to = bins.tightest(lengths[i], besides=b)
-                if to >= 0 and bins.room[to] <= bins.room[b]:
-                    bins.remove(b, [i])
-                    bins.add(to, [i])
-                    changed = True
-            if not changed and bins.items[b]:
-                changed = exchange(bins, b, tries)
-        used -= not bins.items[b]
-
-
-def exchange(bins: Bins, b: int, tries: int) -> bool:
-    """One exchange that fills a fuller sequence from ``b`` with more than it gives back."""
-    lengths = bins.lengths
+    emptied, changed = 0, True
+    while changed and used - emptied > least:
+        changed = False
+        for b in sorted((b for b in range(len(bins.items)) if bins.room[b] and bins.items[b]), key=lambda b: -bins.room[b]):
+            while bins.items[b] and (move(bins, b, lengths) or exchange(bins, b, lengths)):
+                changed = True
+            emptied += not bins.items[b]
+            if used - emptied <= least:
+                break
+    return emptied
+
+
+def move(bins: Bins, b: int, lengths: list[int]) -> bool:
+    """Move what fits from ``b`` into fuller sequences, long pieces first."""
+    moved = False
+    for i in sorted(bins.items[b], key=lambda i: -lengths[i]):
+        to = bins.tightest(lengths[i], bins.room[b], besides=b)
+        if to >= 0:
+            bins.change(b, out=[i])
+            bins.change(to, into=[i])
+            moved = True
+    return moved
+
+
+def exchange(bins: Bins, b: int, lengths: list[int]) -> bool:
+    """The best exchange of one piece of ``b``, or else of two, for a shorter one of a fuller sequence."""
+    one = {lengths[i]: [i] for i in bins.items[b]}
     own = sorted(bins.items[b], key=lambda i: -lengths[i])
-    seen = 0
-    for room in range(1, bins.room[b]):
-        for to in list(bins.by_room[room]):
-            if to == b or not bins.items[to]:
-                continue
-            seen += 1
-            if seen > tries:
-                return False
-            for back in sorted(bins.items[to], key=lambda i: lengths[i]):
-                most = lengths[back] + room
-                one = next((i for i in own if lengths[back] < lengths[i] <= most), -1)
-                give = [one] if one >= 0 else next(([i, j] for n, i in enumerate(own) for j in own[n + 1 :] if lengths[back] < lengths[i] + lengths[j] <= most), [])
-                if give:
-                    bins.remove(b, give)
-                    bins.remove(to, [back])
-                    bins.add(to, give)
-                    bins.add(b, [back])
-                    return True
+    for give in (one, {lengths[i] + lengths[j]: [i, j] for n, i in enumerate(own) for j in own[n + 1 :]}):
+        best = max(((*bins.partner(b, n), n) for n in give), default=(0,))
+        if best[0] > 0:
+            _, to, back, n = best
+            other = next(i for i in bins.items[to] if lengths[i] == back)
+            bins.change(b, out=give[n], into=[other])
+            bins.change(to, out=[other], into=give[n])
+            return True
+        if len(own) > PAIRED:
+            break  # sequences of many short pieces are emptied by moves and single exchanges
     return False
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
-    """The sequence of each piece, numbered from 0."""
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], int]:
+    """The sequence of each piece, numbered from 0, the room of each sequence, and how many the search emptied.
+
+    The start puts pieces in the order they come into the tightest open sequence; the local search does the rest.
+    """
     bins = Bins(lengths, capacity)
-    for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+    for item in range(len(lengths)):
         bins.fit(item)
-    improve(bins, -(-sum(lengths) // capacity))
-    found = [0] * len(lengths)
-    for number, items in enumerate(x for x in bins.items if x):
+    emptied = improve(bins, -(-sum(lengths) // capacity))
+    found, rooms = [0] * len(lengths), []
+    for items, room in zip(bins.items, bins.room, strict=True):
         for i in items:
-            found[i] = number
-    return found
+            found[i] = len(rooms)
+        if items:
+            rooms.append(room)
+    return found, rooms, emptied
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to every piece of a written table of pieces."""
+def _packed(parts: DataFrame, capacity: int, groups: int, level: int) -> DataFrame:
+    """Pieces with sequence_id, offset and ``loose``, each group packed by itself."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = list(batches)  # about ``group`` rows of numbers
+        own = list(batches)  # about GROUP rows of numbers
         if not own:
             return
         table = pa.Table.from_batches(own)
         lengths = table["length"].to_pylist()
-        numbers, offsets, filled = pack_lengths(lengths, capacity), [], {}
+        numbers, rooms, _ = pack_lengths(lengths, capacity)
+        offsets, filled = [], [0] * len(rooms)
         for number, length in zip(numbers, lengths, strict=True):
-            offsets.append(filled.get(number, 0))
-            filled[number] = offsets[-1] + length
-        ids = pc.add(pa.array(numbers, pa.int64()), TaskContext.get().partitionId() << 32)
-        yield from table.append_column("sequence_id", ids).append_column("offset", pa.array(offsets, pa.int64())).to_batches()
-
-    groups = max(1, -(-parts.count() // group))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id bigint, offset bigint"
+            offsets.append(filled[number])
+            filled[number] += length
+        emptiest = set(sorted(range(len(rooms)), key=lambda n: -rooms[n])[: -(-len(rooms) // LOOSE)]) if groups > 1 else set()
+        ids = pc.add(pa.array(numbers, pa.int64()), (level << 56) + (TaskContext.get().partitionId() << 32))
+        table = table.append_column("sequence_id", ids).append_column("offset", pa.array(offsets, pa.int64()))
+        yield from table.append_column("loose", pa.array([n in emptiest for n in numbers])).to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id bigint, offset bigint, loose boolean"
     return parts.repartition(groups).mapInArrow(rows, schema)
 
 
+def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """Add sequence_id and offset to every piece of a written table of pieces.
+
+    Groups of about ``group`` pieces are packed apart. One in LOOSE sequences of each group, the emptiest, is opened
+    again and its pieces are packed with those of the other groups, until a single group is left. So what groups lose
+    by being apart is made good but for about a sequence a level, and there are few levels.
+    """
+    scratch, level, done = Scratch(parts.sparkSession, "packed"), 0, []
+    columns, groups = [*parts.columns, "sequence_id", "offset"], 1 << 40
+    while True:
+        groups = max(1, min(-(-parts.count() // group), groups // 2))  # fewer at each level, however short the pieces
+        found = scratch.table(_packed(parts, capacity, groups, level), "pieces") if groups > 1 else _packed(parts, capacity, 1, level)
+        done.append(found.where("not loose").select(*columns))
+        if groups == 1:
+            return reduce(DataFrame.unionByName, done)
+        parts, level = found.where("loose").select(*parts.columns), level + 1
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
     return pack(stage(pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity, group)

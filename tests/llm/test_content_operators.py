@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from gaugeworks.llm import extraction, fingerprint, pii, toxicity
+from gaugeworks.llm import exact_dedup, extraction, fingerprint, pii, simhash, toxicity
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -106,13 +107,75 @@ def test_labelers_teach_the_classifier(spark):
         rows.append((i, f'some words token = "{key}" and more'))
     rows += [(100 + i, f"the file report_{i}_of_the_year_2020_final was sent, fine") for i in range(60)] + [(None, None), (500, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: [m.hit for m in r._secret] for r in pii.find(docs).collect()}
+    got = {r.doc_id: [m.hit for m in r.spans.secret] for r in pii.find(docs).collect()}
     assert [got[i] for i in range(60)] == [[k] for k in keys] and not any(got[100 + i] for i in range(60)) and got[None] == got[500] == []
     clean = pii.redact(docs)
     assert clean.columns == docs.columns and clean.where("doc_id = 3").first().text == 'some words token = "[SECRET]" and more'
     assert clean.where("doc_id is null").first().text is None and pii.redact(docs.limit(0)).collect() == []
 
 
+def number_texts(n):
+    """(text, the personal number in it or None), in many shapes."""
+    rng, rows = random.Random(12), []
+    for i in range(n):
+        a, b, c = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999)
+        if i % 2:
+            hit = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}-{b % 90 + 10}-{c}"])
+            rows.append((f"We met. {rng.choice(['Call me at', 'phone:', 'my ssn is', 'Fax', 'mobile no.'])} {hit} some day.", hit))
+        else:
+            other = rng.choice([f"on 20{b % 90 + 10}-11-{b % 18 + 10}", f"for ${a} {b} {a % 90 + 10}", f"pages {c} {c + 9} of it", f"about {c}-{c + 80} years", f"part {c}.{a}.{b % 90 + 10}"])
+            rows.append((f"It was {other} as they said.", None))
+    return rows
+
+
+def test_numbers_found_on_rows_that_were_not_fitted(spark):
+    rows = number_texts(600)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    models = pii.train(docs.where("doc_id < 300"))
+    held = docs.where("doc_id >= 300").select("doc_id", pii.added_spans(F.col("text"), "number", models["number"]).alias("found")).collect()
+    hits = [([m.hit for m in r.found], rows[r.doc_id][1]) for r in held]
+    right = sum(want in got for got, want in hits if want)
+    assert right / sum(want is not None for _, want in hits) > 0.9 and right / max(1, sum(len(got) for got, _ in hits)) > 0.9
+    report = {(r.kind, r.labeler): r for r in pii.reliability_report(spark, models).collect()}
+    assert len(report) == 3 and all(0 < r.rate_false < r.rate_true < 1 for r in report.values() if r.labeler != "context")
+
+
+def test_reliabilities_come_near_the_true_ones():
+    rng, counts, true = random.Random(3), {}, [(0.9, 0.05), (0.7, 0.1), (0.6, 0.2)]
+    for _ in range(20000):
+        y = rng.random() < 0.3
+        v = tuple(-1 if rng.random() < 0.1 else int(rng.random() < (t if y else f)) for t, f in true)
+        counts[v] = counts.get(v, 0) + 1
+    prior, rates, posterior = pii.reliabilities(counts)
+    assert abs(prior - 0.3) < 0.05 and all(abs(a - x) < 0.06 and abs(b - y) < 0.06 for (a, b), (x, y) in zip(rates, true, strict=True))
+    assert posterior[1, 1, 1] > 0.95 and posterior[0, 0, 0] < 0.1
+
+
+def test_spans_of_a_text_cost_about_their_number(spark):
+    def seconds(n):
+        text = " ".join(f"4111111111111111 me{i}@x.org" for i in range(n))
+        docs = spark.createDataFrame([(1, text, len(text))], "doc_id bigint, text string, n_chars bigint").select("*")
+        took = []
+        for _ in range(2):
+            began = time.monotonic()
+            got = pii.redact(docs).first()
+            took.append(time.monotonic() - began)
+        assert got.text == " ".join(["[CARD] [EMAIL]"] * n)
+        return min(took)
+
+    seconds(100)
+    assert seconds(8000) < 3 * seconds(4000) + 1
+
+
+def test_clashing_names_are_no_trouble(spark):
+    names = ["doc_id", "text", "spans", "clean", "_email", "_secret", "near_id", "near_mark", "exact_id", "exact_mark", "mark", "key", "label", "n"]
+    docs = spark.createDataFrame([(1, "me@x.org", *range(12)), (2, "me@x.org", *range(12)), (2, "me@x.org", *range(12)), (None, None, *range(12))], ", ".join(f"{c} {'string' if c == 'text' else 'bigint'}" for c in names))
+    for step in (pii.redact, simhash.deduplicate, exact_dedup.deduplicate):
+        got = step(docs)
+        assert got.columns == docs.columns and {r.n for r in got.collect()} == {11}
+    assert exact_dedup.deduplicate(docs).count() == 2
+
+
 def test_redaction_of_overlaps_and_n_chars(spark):
     docs = spark.createDataFrame([(1, "é 4111111111111111 me@x.org +4111111111111", 9), (2, "none", 4)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}
@@ -143,6 +206,34 @@ def test_gradients_equal_finite_differences():
         net.p[k][i] = old
 
 
+def test_all_of_a_long_word_is_read():
+    long = "ab" * 30
+    split = lambda w: toxicity.WORD.findall(w)
+    assert "".join(split(long)) == long and [toxicity.features(w) for w in split(long + "x")] != [toxicity.features(w) for w in split(long + "y")]
+
+
+def test_scores_are_those_of_the_network_over_all_windows(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    texts = ["", "one", *[" ".join(rng.choice(words) for _ in range(rng.randrange(1, 400))) for _ in range(20)], " ".join(rng.choice(words) for _ in range(30000))]
+    params = toxicity.train(texts[:12], [0, 1] * 6, rounds=2)
+    network, want = toxicity.Network(), []
+    network.p = params
+    for text in texts:
+        parts, best = toxicity.WORD.findall(text.lower()), -np.inf
+        for a in toxicity.windows(len(parts)):
+            own = parts[a : a + toxicity.WINDOW]
+            x = np.zeros((1, toxicity.WINDOW, toxicity.WIDTH))
+            for k, (w, grams) in enumerate(map(toxicity.features, own)):
+                x[0, k] = params["E"][w] + params["C"][grams].mean(axis=0)
+            mask = np.array([[1.0] * len(own) + [0.0] * (toxicity.WINDOW - len(own))])
+            best = max(best, float(network.run({d: x @ params[f"W{d}"] + params[f"b{d}"] for d in "fb"}, mask)[0]))
+        want.append(1 / (1 + np.exp(-best)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, params).collect()}
+    assert all(abs(got[i] - w) < 1e-4 for i, w in enumerate(want))
+
+
 @pytest.mark.parametrize("n", [0, 1, 32, 33, 56, 57, 500])
 def test_windows_cover_every_word(n):
     covered = {i for a in toxicity.windows(n) for i in range(a, min(n, a + toxicity.WINDOW))}
@@ -188,32 +279,93 @@ def test_toxicity_without_labels(spark):
 # --- fingerprints
 
 
-def test_trees_and_order(spark):
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def brute_tree(text):
+    """(root, sections), a section (node, paragraphs), a paragraph (node, leaves)."""
+    sections = []
+    for s in text.split("\n\n"):
+        paragraphs = []
+        for p in s.split("\n"):
+            leaves, at = [], 0
+            while at < len(p):
+                ends = [e for e in range(at + 25, min(len(p), at + 257) + 1) if e == len(p) or p[e - 1] in "、。"] + [e for e in range(at + 26, min(len(p), at + 258) + 1) if p[e - 1] in " \t" and p[e - 2] in "aenrst.,"]
+                if len(p) - at in range(24, 257):
+                    ends.append(len(p))
+                end = min(ends, default=min(len(p), at + 256))
+                leaves.append(sha(p[at:end]))
+                at = end
+            paragraphs.append((sha(".".join(leaves)), leaves))
+        sections.append((sha(",".join(n for n, _ in paragraphs)), paragraphs))
+    return sha(";".join(n for n, _ in sections)), sections
+
+
+def written(tree):
+    return tree[0] + ":" + ";".join(n[:16] + "=" + ",".join(m[:16] + "".join("." + x[:8] for x in leaves) for m, leaves in ps) for n, ps in tree[1])
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    below = lambda nodes: [c for _, cs in nodes for c in cs]
+    key = lambda node: repr(node)
+    only = lambda x, y: [n for n in x if key(n) not in {key(m) for m in y}]
+    pa, pb = below(only(a[1], b[1])), below(only(b[1], a[1]))
+    la, lb = set(below(only(pa, pb))), set(below(only(pb, pa)))
+    n = sum(len(set(below(below(t[1])))) for t in (a, b))
+    return max(0.0, 1 - max(1, len(la - lb) + len(lb - la)) / max(1, n))
+
+
+def fingerprint_rows():
     rng = random.Random(3)
-    rows = [(i, "\n".join("".join(rng.choice("ab \n") for _ in range(50)) for _ in range(rng.randrange(6))), "x") for i in rng.sample(range(10**6), 60)]
-    rows += [(7, "same", "x"), (8, "same", "x"), (-5, None, "x"), (-6, "", "x"), (None, "null id", "x"), (9, "é\U0001f600" * 40, "x")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, after string").repartition(5)
-    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    want = [(r[0], r[1] or "", ordered[(i + 1) % len(ordered)][1] or "") for i, r in enumerate(ordered)]
-    assert keyed(fingerprint.with_next(docs).collect()) == keyed(want)
-    trees = {r.doc_id: r for r in fingerprint.trees(docs).collect()}
-    assert trees[7].root == trees[8].root and trees[-5].root == trees[-6].root
-    texts = {r[0]: r[1] or "" for r in rows}
-    assert len({t.root for t in trees.values()}) == len(set(texts.values()))
-    for i in (9, 7, -6):
-        parts = [[p for p in s.split("\n")] for s in texts[i].split("\n\n")]
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        assert trees[i].root == sha(";".join(sha(",".join(sha(p) for p in s)) for s in parts))
-    assert fingerprint.with_next(docs.limit(0)).collect() == [] and [tuple(r) for r in fingerprint.with_next(docs.where("doc_id = 7")).collect()] == [(7, "same", "same")]
-
-
-def test_likeness_and_differing_paragraphs(spark):
-    rows = [("a\nb\n\nc", "a\nB\n\nc", [(0, 1)], None), ("a", "a", [], 1.0), ("", "x" * 90, [(0, 0)], 0.0), ("a\n\nb", "a", [(1, 0)], None), ("x" * 32 + "y" * 32, "x" * 32 + "z" * 32, [(0, 0)], 0.5)]
-    for a, b, places, near in rows:
-        df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.sections(F.col("a")).alias("a"), fingerprint.sections(F.col("b")).alias("b"))
-        tree = lambda c: (fingerprint.root(F.col(c)), fingerprint.leaves(F.col(c)))
-        r = df.select(fingerprint.differing(F.col("a"), F.col("b")).alias("d"), fingerprint.likeness(*tree("a"), *tree("b")).alias("l")).first()
-        assert [tuple(x) for x in r.d] == places and (near is None or r.l == near)
+    words = ["the", "stone", "Ämt", "in", "of。", "walks", "x", "一二、三", "end."]
+    make = lambda: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(rng.randrange(60)))
+    rows = [(i, make(), "x") for i in rng.sample(range(10**6), 50)] + [(i, " ".join(rng.choice(words) for _ in range(4000)), "x") for i in (10**7, 10**7 + 1)]
+    return rows + [(7, "same", "x"), (8, "same", "x"), (-5, None, "x"), (-6, "", "x"), (9, "é\U0001f600" * 400, "x"), (10, "\n\n\n", "x")]
+
+
+def test_op10_equals_brute_force(spark, tmp_path):
+    rows = fingerprint_rows()
+    spark.createDataFrame(rows, "doc_id bigint, text string, after string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    ordered = sorted(rows, key=lambda r: -r[0])
+    want = []
+    for i, (doc_id, text, _) in enumerate(ordered):
+        text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        own, new, other = map(brute_tree, (text, edited, after))
+        want.append((doc_id, len(text), sha(edited), written(own), written(new), round(brute_likeness(own, new), 9), round(brute_likeness(own, other), 9)))
+    got = [(*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprint.op10_fingerprints(spark, str(tmp_path)).collect()]
+    assert keyed(got) == keyed(want)
+    long = [r for r in got if r[1] > 10000]
+    assert len(long) == 2 and all(0.3 < r[5] < 0.9 for r in long)
+
+
+def test_order_of_null_and_only_rows(spark):
+    docs = spark.createDataFrame([(None, f"null {i}") for i in range(40)] + [(3, "three"), (7, "same"), (7, "a")], "doc_id bigint, text string").repartition(3)
+    got = fingerprint.with_next(docs).collect()
+    after = {(r.doc_id, r.text): r.after for r in got}
+    assert len(got) == 43 and sorted(r.after for r in got) == sorted(r.text for r in got)
+    assert after[7, "a"] == "same" and after[7, "same"] == "three" and after[3, "three"].startswith("null") and sum(v == "a" for v in after.values()) == 1
+    assert fingerprint.with_next(docs.limit(0)).collect() == [] and [tuple(r) for r in fingerprint.with_next(docs.where("doc_id = 3")).collect()] == [(3, "three", "three")]
+
+
+def test_likeness_of_moved_and_shifted_paragraphs(spark):
+    rng = random.Random(5)
+    p, q = (" ".join("".join(rng.choice("abcdenrst") for _ in range(6)) for _ in range(90)) for _ in "pq")
+    cases = [(f"{p}\n{q}", f"{q}\n{p}", 0.9, 0.999), (p, "X" + p, 0.8, 0.999), (f"{p}\n\n{q}", f"{p}\n\n{q}", 1, 1), (p, q, 0, 0), ("", p, 0, 0), ("", "", 1, 1), ("a", "b", 0, 0), ("a\nb", "a\n\nb", 0.4, 0.8)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(cases)], "i int, a string, b string")
+    for r in df.select("i", fingerprint.likeness(fingerprint.tree(F.col("a")), fingerprint.tree(F.col("b"))).alias("x"), fingerprint.likeness(fingerprint.tree(F.col("b")), fingerprint.tree(F.col("a"))).alias("y")).collect():
+        assert cases[r.i][2] <= r.x <= cases[r.i][3] and r.x == r.y, cases[r.i]
+
+
+def test_edits_are_located_by_differing_branches(spark):
+    make = lambda rows: fingerprint.trees(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    old = make([(1, "a\nb\n\nc"), (2, "same"), (3, "x\n\ny\nz")])
+    new = make([(1, "a\nB\n\nc"), (2, "same"), (3, "new\n\nx\n\ny\nz"), (4, "only here")])
+    assert keyed(fingerprint.edits(old, new).collect()) == [(1, 0, 1), (3, 0, 0), (4, 0, 0)]
 
 
 @pytest.mark.parametrize(

@@ -146,14 +146,27 @@ def test_exact_dedup_and_its_index(spark, docs, none):
     for r, t in zip(rows, texts, strict=True):
         keep = min((x for x in groups[t] if x is not None), default=None)
         want.append((hashlib.sha256(t.encode()).hexdigest(), r[0], keep, len(groups[t]), r[0] == keep))
-    got = exact_dedup.verdicts(docs, "index_a")
-    assert keyed((bytes(r.digest).hex(), r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == keyed(want)
-    kept = exact_dedup.deduplicate(docs, "index_b")
-    assert kept.columns == docs.columns and kept.count() == len(groups)
-    later = spark.createDataFrame([(1000, "again"), (1001, "brand new"), (999, "brand  new")], "doc_id bigint, text string")
-    assert [(r.doc_id, r.text) for r in exact_dedup.deduplicate(later, "index_b").collect()] == [(999, "brand  new")]
-    assert spark.table("index_b").count() == len(groups) + 1
-    assert exact_dedup.verdicts(none, "index_c").collect() == []
+    index = lambda name: exact_dedup.DigestIndex(spark, new_path(spark, name))
+    for got in (exact_dedup.verdicts(docs, index("a")), exact_dedup.verdicts_of_batches(docs, index("b")), exact_dedup.verdicts_of_batches(docs, index("c"), 1)):
+        assert keyed((bytes(r.digest).hex(), r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == keyed(want)
+    assert exact_dedup.verdicts(none, index("d")).collect() == [] == exact_dedup.verdicts_of_batches(none, index("e")).collect()
+
+
+def test_index_lasts_over_batches_and_sessions(spark, docs, none):
+    path = new_path(spark, "kept-index")
+    groups = len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in awkward_rows()})
+    kept = exact_dedup.deduplicate(docs, exact_dedup.DigestIndex(spark, path, 8), "first")
+    assert kept.columns == docs.columns and kept.count() == groups
+    later = spark.createDataFrame([(1000, "again"), (1001, "brand new"), (999, "brand  new"), (999, "brand new"), (999, "brand new"), (None, "null id")], "doc_id bigint, text string")
+    other = spark.newSession()
+    other.sql(f"DROP TABLE {exact_dedup.DigestIndex(spark, path).name}")  # a session that doesn't know it
+    index = exact_dedup.DigestIndex(other, path)
+    assert index.buckets == 8 and index.rows().count() == groups
+    found = exact_dedup.deduplicate(later, index, "second").collect()
+    assert [r.doc_id for r in found] == [999] and found[0].text.split() == ["brand", "new"]
+    assert exact_dedup.deduplicate(later, index, "second").collect() == found  # the batch again, as after a failure
+    assert exact_dedup.deduplicate(later, index).collect() == [] == exact_dedup.deduplicate(docs, index).collect()
+    assert index.rows().count() == groups + 1 and exact_dedup.deduplicate(none, index).collect() == []
 
 
 @pytest.mark.parametrize("shards", [1, 7, 40])
@@ -262,15 +275,49 @@ def test_packing_is_whole_and_tight(docs, none, group):
 
 def test_exchanges_beat_best_fit():
     bins = packing.Bins([6, 4, 5, 5, 3, 3, 4], 10)
-    for b, items in enumerate([[0, 4], [1, 5], [2, 3], [6]]):
-        bins.items.append(set())
-        bins.room.append(10)
-        bins._file(b, 10)
-        bins.add(b, items)
-    packing.improve(bins, 3)
+    for items in ([0, 4], [1, 5], [2, 3], [6]):
+        bins.change(bins.open(), into=items)
+    assert packing.improve(bins, 3) == 1
     assert sum(1 for x in bins.items if x) == 3 and max(sum(bins.lengths[i] for i in x) for x in bins.items) <= 10
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every way."""
+    best = [len(lengths)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= lengths[i]:
+                put(i + 1, rooms[:k] + [rooms[k] - lengths[i]] + rooms[k + 1 :])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_of_few_pieces_is_as_tight_as_enumeration():
+    rng, more = random.Random(4), []
+    for _ in range(300):
+        lengths = [rng.randrange(1, 21) for _ in range(rng.randrange(1, 9))]
+        more.append(len(packing.pack_lengths(lengths, 20)[1]) - fewest(lengths, 20))
+    assert min(more) == 0 and max(more) <= 1 and sum(more) <= 3
+
+
+def test_search_empties_sequences_down_to_the_bound():
+    rng = random.Random(2)
+    lengths = [min(2048, int(rng.lognormvariate(5.5, 1.1)) + 1) for _ in range(6000)]
+    found, rooms, emptied = packing.pack_lengths(lengths)
+    filled = [0] * len(rooms)
+    for b, n in zip(found, lengths, strict=True):
+        filled[b] += n
+    assert emptied > 0 and len(rooms) == -(-sum(lengths) // 2048) and [2048 - n for n in filled] == rooms
+
+
 def changed_copies(rng, n, base_words):
     """Texts and copies of them with text appended, cut off at the end, and words changed."""
     rows = []
