@@ -25,6 +25,11 @@ def out_of_limits(y: Column, low: Column, high: Column) -> Column:
     return F.coalesce((y > high) | (y < low), F.lit(False)) & low.isNotNull() & high.isNotNull()
 
 
+def later(actual: Column, planned: Column) -> Column:
+    """Whether one time's text is after another's; false where either is blank."""
+    return F.coalesce((F.trim(actual) != "") & (F.trim(planned) != "") & (actual > planned), F.lit(False))
+
+
 def cpk(mean: Column, sigma: Column, low: Column, high: Column) -> Column:
     """Two-sided; null unless both limits are known and sigma is positive."""
     return F.when((sigma > 0) & low.isNotNull() & high.isNotNull(), F.least((high - mean) / (3 * sigma), (mean - low) / (3 * sigma)))

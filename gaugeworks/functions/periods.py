@@ -33,16 +33,27 @@ def day_key(day: Column) -> Column:
     return F.date_format(day, "yyyyMMdd")
 
 
-def grains(day: Column) -> Column:
+KEYS = {"D": day_key, "W": week_key, "M": month_key}
+
+
+def grains(day: Column, kinds: str = "DWM") -> Column:
     """An array of (kind, key) for the day, week and month of a date; empty for a null date."""
-    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    both = F.array(pair("D", day_key(day)), pair("W", week_key(day)), pair("M", month_key(day)))
-    return F.filter(both, lambda p: p["key"].isNotNull())
+    every = F.array(*[F.struct(F.lit(kind).alias("kind"), KEYS[kind](day).alias("key")) for kind in kinds])
+    return F.filter(every, lambda p: p["key"].isNotNull())
 
 
-def by_grain(facts: DataFrame, day: str = "day") -> DataFrame:
+def by_grain(facts: DataFrame, day: str = "day", kinds: str = "DWM") -> DataFrame:
     """One row for each grain, so that one aggregation serves all three."""
-    return facts.withColumn("_p", F.explode(grains(F.col(day)))).select("*", "_p.kind", "_p.key").drop("_p")
+    return facts.withColumn("_p", F.explode(grains(F.col(day), kinds))).select("*", "_p.kind", "_p.key").drop("_p")
+
+
+def shifted(kind: Column, key: Column) -> Column:
+    """The key that a report names beside another: a week before, by ISO weeks at the turn of a year, or two days before."""
+    year, week = F.left(key, F.lit(4)).cast("int"), F.right(key, F.lit(2)).cast("int")
+    last = F.weekofyear(F.make_date(year - 1, F.lit(12), F.lit(28)))
+    before = F.when(week > 1, F.concat(year.cast("string"), F.lpad((week - 1).cast("string"), 2, "0"))).otherwise(F.concat((year - 1).cast("string"), F.lpad(last.cast("string"), 2, "0")))
+    days = F.date_format(F.date_sub(F.to_date(key, "yyyyMMdd"), 2), "yyyyMMdd")
+    return F.when(kind == "W", before).when(kind == "D", days).otherwise(key)
 
 
 def label(kind: Column, key: Column) -> Column:

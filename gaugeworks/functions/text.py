@@ -45,15 +45,43 @@ def holds_number(text: Column, value: Column) -> Column:
     return F.regexp_like(F.replace(text, F.lit(","), F.lit("")), F.concat(F.lit("(^|[^0-9])"), value.cast("string"), F.lit("($|[^0-9])")))
 
 
-def tokens(text: Column, synonyms: dict[str, str] | None = None) -> Column:
+#: Words that the classifier reads as others.
+SYNONYMS = {"VIS": "VISUAL", "VSL": "VISUAL", "FUNC": "FUNCTION"}
+#: What a defect label holds if it tells of a criterion that a unit may fail and still pass.
+CRITERIA = ("moving", "deform", " ok", "oqc")
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def compared(text: Column, normal: bool = False) -> Column:
+    """The text by which names are compared: trimmed, and normalised if asked."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return normalize(trimmed) if normal else trimmed
+
+
+def classified(text: Column) -> Column:
+    """The text by which the classifier compares: normalised, upper case, signs but dashes as single spaces."""
+    return F.trim(F.regexp_replace(F.upper(compared(text, True)), r"[^A-Z0-9-]+", " "))
+
+
+def tokens(text: Column, synonyms: dict[str, str] = SYNONYMS) -> Column:
     """Upper-case tokens of letters and digits, synonyms replaced, all-digit tokens dropped, each once in order."""
-    words = F.split(F.regexp_replace(F.upper(text), "[^A-Z0-9]+", " "), " ")
-    if synonyms:
-        table = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
-        words = F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w))
+    words = F.split(classified(text), "[ -]+")
+    table = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
+    words = F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w))
     return F.array_distinct(F.filter(words, lambda w: (w != "") & ~F.regexp_like(w, F.lit("^[0-9]+$"))))
 
 
+def criterion_label(text: Column) -> Column:
+    """Whether a defect label names a criterion."""
+    return F.coalesce(F.regexp_like(F.lower(text), F.lit("|".join(CRITERIA))), F.lit(False))
+
+
+def month_name(key: Column) -> Column:
+    """The short name of M1 to M12; other keys as they are."""
+    table = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS) for x in (f"M{i + 1}", name)])
+    return F.coalesce(F.element_at(table, key), key)
+
+
 def fenced_json(text: Column) -> Column:
     """The part of a model's answer that is JSON: inside a fence, or from the first brace to the last."""
     inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
@@ -61,13 +89,37 @@ def fenced_json(text: Column) -> Column:
     return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
-def parse_date(text: Column, year: int, formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "MM/dd/yyyy", "yyyy.MM.dd")) -> Column:
-    """The first format that fits; texts without a year take ``year``, a parameter so that results don't change by day."""
-    found = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    found += [F.try_to_timestamp(F.concat(F.lit(f"{year}/"), text), F.lit(f)) for f in ("yyyy/MM/dd", "yyyy/MM-dd")]
+#: Date formats in the order they are tried; those without a year take one as a parameter.
+DATES = ("yyyy-M-d", "yyyy/M/d", "M-d", "M/d", "d-MMM", "d-MMM-yyyy", "d/MMM")
+#: The last of the hundred years that two digits can mean.
+LAST_SHORT_YEAR = 2049
+
+
+def parse_date(text: Column, year: int) -> Column:
+    """The first format that fits; texts without a year take ``year``, a parameter so that results don't change by day.
+
+    Days and months may have one digit or two, but the numbers of dates that begin with a year are whole. Two digits
+    after a month's name are a year up to LAST_SHORT_YEAR.
+    """
+    short = F.regexp_extract(F.trim(text), "^[0-9]{1,2}-[A-Za-z]{3}-([0-9]{2})$", 1)
+    century = F.when(short.try_cast("int") <= LAST_SHORT_YEAR % 100, str(LAST_SHORT_YEAR // 100)).otherwise(str(LAST_SHORT_YEAR // 100 - 1))
+    trimmed = F.when(short != "", F.concat(F.regexp_replace(F.trim(text), "[0-9]{2}$", ""), century, short)).otherwise(F.trim(text))
+    found = []
+    for f in DATES:
+        if "y" in f:
+            whole = F.regexp_like(trimmed, F.lit("^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}$")) if f.startswith("y") else F.regexp_like(trimmed, F.lit("-[0-9]{4}$"))
+            found.append(F.when(whole, F.try_to_timestamp(trimmed, F.lit(f))))
+        else:
+            found.append(F.try_to_timestamp(F.concat(F.lit(f"{year} "), trimmed), F.lit(f"yyyy {f}")))
     return F.coalesce(*found).cast("date")
 
 
+def same_date(a: Column, b: Column, year: int) -> Column:
+    """Whether two texts are equal but for case and outer space, or are the same date."""
+    left, right = (F.trim(F.coalesce(c, F.lit(""))) for c in (a, b))
+    return (F.lower(left) == F.lower(right)) | F.coalesce(parse_date(left, year) == parse_date(right, year), F.lit(False))
+
+
 def process_type(text: Column, keep_unknown: bool = True) -> Column:
     """The four process types by their names; others as they are, or empty."""
     upper = F.upper(F.trim(text))
@@ -75,5 +127,11 @@ def process_type(text: Column, keep_unknown: bool = True) -> Column:
     return kinds.otherwise(text if keep_unknown else F.lit(""))
 
 
+def material_of(material: Column, line_shift: Column) -> Column:
+    """The material, or where it is blank the line shift's part before its last underscore, or all of it if that is none."""
+    before = F.regexp_extract(line_shift, "(?s)^(.+)_[^_]*$", 1)
+    return F.coalesce(F.nullif(material, F.lit("")), F.nullif(before, F.lit("")), line_shift)
+
+
 def process_rank(kind: Column) -> Column:
     return F.when(kind.startswith("SUB"), 1).when(kind == "MAIN", 2).when(kind == "FUNCTION", 3).when(kind == "VISUAL", 4).otherwise(5)

@@ -5,26 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.text import normalize
 
-def _resolve(later: Column, earlier: Column) -> Column:
-    """Of two records of a key: the larger input; at the same input the one with defects, and their sum if both have."""
-    total = F.struct(later["input"].alias("input"), (later["ng_qty"] + earlier["ng_qty"]).alias("ng_qty"), later["rid"].alias("rid"))
-    same = F.when((earlier["ng_qty"] == later["ng_qty"]) | (earlier["ng_qty"] == 0), later).when(later["ng_qty"] == 0, earlier).otherwise(total)
+
+def _resolve(later: Column, earlier: Column, also: tuple[str, ...]) -> Column:
+    """Of two records of a key: the larger input; at the same input the one with defects, and their sum if both have.
+
+    Records that agree in their defects and in what ``also`` names are the same, and the later one stands.
+    """
+    total = F.struct(*[(later["ng_qty"] + earlier["ng_qty"] if c == "ng_qty" else later[c]).alias(c) for c in ("input", "ng_qty", "rid", *also)])
+    equal = earlier["ng_qty"] == later["ng_qty"]
+    for c in also:
+        equal = equal & earlier[c].eqNullSafe(later[c])
+    same = F.when(equal | (earlier["ng_qty"] == 0), later).when(later["ng_qty"] == 0, earlier).otherwise(total)
     return F.when(earlier["input"] > later["input"], earlier).when(earlier["input"] < later["input"], later).otherwise(same)
 
 
-def fold(rows: DataFrame, key: list[str]) -> DataFrame:
+def fold(rows: DataFrame, key: list[str], names: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """One record a key: the pairwise rule applied from the last arrival (``rid``) to the first.
 
-    Only records with the key's largest input can matter, so the others go before anything is gathered; a key's
-    remaining records are its true duplicates, few by nature.
+    Key columns in ``names`` are compared and given normalised, other texts trimmed. Only records with the key's largest
+    input can matter: records are gathered by key and input, and of a key the list with the largest input is taken, so
+    that one shuffle by key serves both; a key's records of one input are its true duplicates, few by nature.
     """
-    top = Window.partitionBy(*key)
-    best = rows.withColumn("_top", F.max("input").over(top)).where("input = _top").groupBy(*key)
-    records = best.agg(F.reverse(F.array_sort(F.collect_list(F.struct("rid", "input", "ng_qty")))).alias("r"))
-    ordered = F.transform("r", lambda x: F.struct(x["input"].alias("input"), x["ng_qty"].alias("ng_qty"), x["rid"].alias("rid")))
-    folded = F.aggregate(F.slice(ordered, 2, F.size(ordered)), F.get(ordered, 0), lambda acc, x: _resolve(acc, x))
-    return records.select(*key, folded.alias("f")).select(*key, "f.input", "f.ng_qty", "f.rid")
+    kinds = dict(rows.dtypes)
+    keyed = rows.withColumns({c: normalize(F.col(c)) if c in names else F.trim(c) for c in key if kinds[c] == "string"})
+    columns = ["input", "ng_qty", "rid", *also]
+    lists = keyed.groupBy(*key, "input").agg(F.collect_list(F.struct("rid", *[c for c in columns if c not in ("rid", "input")])).alias("r"))
+    best = lists.groupBy(*key).agg(F.max_by(F.struct("input", "r"), "input").alias("b"))
+    record = lambda x: F.struct(*[(F.col("b.input") if c == "input" else x[c]).alias(c) for c in columns])
+    records = best.select(*key, F.transform(F.reverse(F.array_sort("b.r")), record).alias("r"))
+    folded = F.aggregate(F.slice("r", 2, F.size("r")), F.get("r", F.lit(0)), lambda acc, x: _resolve(acc, x, also))
+    return records.select(*key, folded.alias("f")).select(*key, *[f"f.{c}" for c in columns])
 
 
 def merge_repeats(rows: DataFrame, key: list[str], first: list[str], rid: str = "rid") -> DataFrame:

@@ -8,31 +8,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.text import normalize
+
 ROUTE = ["material", "code", "process"]
 
 
 def route_with_fallback(rows: DataFrame, routing: DataFrame) -> DataFrame:
-    """process_type by material, code and process, else by code and process; the first duplicate wins; else ''."""
-    exact = routing.groupBy(*ROUTE).agg(F.min("process_type").alias("_exact"))
-    loose = routing.groupBy("code", "process").agg(F.min_by("process_type", "material").alias("_loose"))
+    """process_type by material, code and normalised process name, else by code and name of any material; else ''.
+
+    The first arrival (``rid``) of a key counts. Names of ``rows`` are normalised already; rows that have a process_type keep it.
+    """
+    named = routing.select("material", "code", normalize(F.col("process")).alias("process"), "process_type", "rid")
+    exact = named.groupBy(*ROUTE).agg(F.min_by("process_type", "rid").alias("_exact"))
+    loose = named.groupBy("code", "process").agg(F.min_by("process_type", "rid").alias("_loose"))
     found = rows.join(exact, ROUTE, "left").join(loose, ["code", "process"], "left")
-    return found.withColumn("process_type", F.coalesce("_exact", "_loose", F.lit(""))).drop("_exact", "_loose")
+    own = [F.nullif(F.col("process_type"), F.lit(""))] if "process_type" in rows.columns else []
+    return found.withColumn("process_type", F.coalesce(*own, "_exact", "_loose", F.lit(""))).drop("_exact", "_loose")
 
 
 def route_exact(rows: DataFrame, routing: DataFrame) -> DataFrame:
-    """process_type by the whole key; the last duplicate wins; else ''."""
-    exact = routing.groupBy(*ROUTE).agg(F.max("process_type").alias("process_type"))
+    """process_type by the whole key with names as they are; the last arrival (``rid``) counts; else ''."""
+    exact = routing.groupBy(*ROUTE).agg(F.max_by("process_type", "rid").alias("process_type"))
     return rows.join(exact, ROUTE, "left").fillna("", ["process_type"])
 
 
-def reason(rows: DataFrame, reasons: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """reason by process and defect name; '' if there is none."""
-    fold = F.lower if ignore_case else (lambda c: F.col(c))
-    keys = reasons.groupBy(fold("process").alias("_p"), fold("ng").alias("_n")).agg(F.min("reason").alias("reason"))
-    found = rows.withColumns({"_p": fold("process"), "_n": fold("ng")}).join(keys, ["_p", "_n"], "left")
+def reason(rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    """reason by process and defect name, regardless of case; the first arrival (``rid``) counts; '' if there is none."""
+    named = reasons.where("process <> '' and ng <> ''")
+    keys = named.groupBy(F.lower("process").alias("_p"), F.lower("ng").alias("_n")).agg(F.min_by("reason", "rid").alias("reason"))
+    found = rows.withColumns({"_p": F.lower("process"), "_n": F.lower("ng")}).join(keys, ["_p", "_n"], "left")
     return found.drop("_p", "_n").fillna("", ["reason"])
 
 
+def reason_exact(rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    """reason by process and defect name as they are; the last arrival (``rid``) counts; '' if there is none."""
+    keys = reasons.groupBy("process", "ng").agg(F.max_by("reason", "rid").alias("reason"))
+    return rows.join(keys, ["process", "ng"], "left").fillna("", ["reason"])
+
+
 def update_from(rows: DataFrame, changes: DataFrame, key: list[str], column: str) -> DataFrame:
     """``column`` replaced where ``changes`` has the key; of duplicates the largest value."""
     new = changes.groupBy(*key).agg(F.max(column).alias("_new"))
@@ -59,11 +72,21 @@ def expand_groups(rows: DataFrame, members: DataFrame, key: str = "supplier") ->
     return rows.join(members, key, "left").withColumn("grp", F.coalesce("grp", "line_shift"))
 
 
+def category(rows: DataFrame, categories: DataFrame, column: str) -> DataFrame:
+    """``category`` of a code regardless of case, the last arrival (``rid``) of a code; codes without one stand for themselves."""
+    known = categories.where("code <> ''").groupBy(F.lower("code").alias("_c")).agg(F.max_by("name", "rid").alias("_name"))
+    found = rows.withColumn("_c", F.lower(column)).join(known, "_c", "left")
+    return found.withColumn("category", F.coalesce("_name", column)).drop("_c", "_name")
+
+
 def replace_on_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old rows whose key isn't in ``new``, and all new rows."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
-def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """All old rows, and new ones of which the key isn't there."""
-    return old.unionByName(new.join(old.select(*key).distinct(), key, "left_anti"))
+def insert_missing(old: DataFrame, new: DataFrame, key: list[str], names: tuple[str, ...] = ()) -> DataFrame:
+    """All old rows, and the first of the new ones with a key that isn't there; columns in ``names`` are compared normalised."""
+    own = {f"_k{i}": normalize(F.col(c)) if c in names else F.col(c) for i, c in enumerate(key)}
+    known = old.select(*[c.alias(k) for k, c in own.items()]).distinct()
+    fresh = new.select("*", *[c.alias(k) for k, c in own.items()]).join(known, list(own), "left_anti")
+    return old.unionByName(fresh.select(*new.columns))

@@ -13,6 +13,7 @@ def reference_period(keys: DataFrame, column: str = "key") -> DataFrame:
 
 
 def in_reference(rows: DataFrame) -> DataFrame:
+    """Rows of the reference week; to be taken before rates are made of them."""
     weeks = rows.where("kind = 'W'")
     return weeks.join(F.broadcast(reference_period(weeks)), "key", "left_semi")  # one row
 
@@ -29,11 +30,12 @@ def top_by(rows: DataFrame, group: str, n: int, measure: str, ties: list[str]) -
 
 
 def newest(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Rows of the newest periods of each kind; the distinct periods alone are ranked."""
+    """Rows of the newest periods of each kind; the distinct periods alone are ranked, and only ``limits`` are broadcast."""
     keys = rows.select("kind", "key").distinct()
     keys = keys.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("key"))))
     most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    return rows.join(keys.where(F.col("_n") <= F.element_at(most, F.col("kind"))).drop("_n"), ["kind", "key"], "left_semi")
+    few = keys.where(F.col("_n") <= F.element_at(most, F.col("kind"))).drop("_n")
+    return rows.join(F.broadcast(few), ["kind", "key"], "left_semi")
 
 
 def fill(rows: DataFrame, group: str, order: str, column: str) -> DataFrame:
@@ -44,7 +46,9 @@ def fill(rows: DataFrame, group: str, order: str, column: str) -> DataFrame:
     return rows.withColumn(column, F.coalesce(before, after))
 
 
-def islands(days: DataFrame, column: str = "day") -> DataFrame:
-    """Runs of consecutive dates as first and last day; distinct days are few, so one window orders them."""
-    run = F.date_sub(F.col(column), F.row_number().over(Window.orderBy(column)))
-    return days.select(column).distinct().withColumn("_run", run).groupBy("_run").agg(F.min(column).alias("first_day"), F.max(column).alias("last_day")).drop("_run")
+def islands(days: DataFrame, column: str = "day", by: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of consecutive dates as first and last day, of each ``by``; distinct days are what is ordered."""
+    at = Window.partitionBy(*by).orderBy(column)
+    run = F.date_sub(F.col(column), F.row_number().over(at))
+    found = days.select(*by, column).distinct().withColumn("_run", run).groupBy(*by, "_run")
+    return found.agg(F.min(column).alias("first_day"), F.max(column).alias("last_day")).drop("_run")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.measures import ppm, ppm_unrounded
+from gaugeworks.operators.ranking import top_by
 
 
 def combo_ppm(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -35,11 +36,6 @@ def max_then_sum(rows: DataFrame, inner: list[str], by: list[str]) -> DataFrame:
     return each.groupBy(*middle).agg(F.max("i").alias("i"), F.sum("n").alias("n")).groupBy(*by).agg(F.sum("i").alias("input"), F.sum("n").alias("ng_qty"))
 
 
-def whole_quantities(rows: DataFrame, by: list[str], measure: str) -> DataFrame:
-    """Sums as whole numbers; keys without any are left out."""
-    return rows.groupBy(*by).agg(F.sum(measure).cast("long").alias(measure)).where(F.col(measure) > 0)
-
-
 def group_table(rows: DataFrame, by: list[str], first: list[str], rid: str = "rid") -> DataFrame:
     """Summed quantities; other columns from the first arrival."""
     return rows.groupBy(*by).agg(F.sum("input").alias("input"), F.sum("ng_qty").alias("ng_qty"), *[F.min_by(c, rid).alias(c) for c in first])
@@ -51,6 +47,30 @@ def recombined(rows: DataFrame, chosen: list[str], combo: list[str], by: list[st
     return each.groupBy(*by).agg(F.sum("ppm").alias("ppm"))
 
 
-def mean_of_positive(rows: DataFrame, combo: list[str], by: list[str]) -> DataFrame:
-    """Mean over members of their positive rates."""
-    return combo_ppm(rows, combo).groupBy(*by).agg(F.avg(F.when(F.col("ppm") > 0, F.col("ppm"))).alias("mean_ppm"))
+AGGREGATE = "trim(coalesce(defect_type, '')) = ''"
+
+
+def weighted_pct(measurements: DataFrame, by: list[str]) -> DataFrame:
+    """Defects in percent of the input over the aggregate rows (those without a defect kind); none without input."""
+    sums = measurements.where(AGGREGATE).groupBy(*by).agg(F.sum("ng_total").alias("ng"), F.sum("input").alias("input"))
+    return sums.where("input > 0").select(*by, (F.col("ng") * 100.0 / F.col("input")).alias("pct"))
+
+
+def best_and_worst(measurements: DataFrame, by: str) -> DataFrame:
+    """The tested variables with the lowest and highest mean rate of each ``by``, of at least two conditions."""
+    tests = measurements.where(AGGREGATE).where(F.lower("variable_group") == "test")
+    each = tests.groupBy(by, "variable", "variable_detail").agg(F.avg("ng_rate").alias("p"))
+    order = F.struct("p", "variable", "variable_detail")
+    found = each.groupBy(by).agg(F.count("*").alias("n"), F.min_by("variable", order).alias("best"), F.max_by("variable", order).alias("worst"))
+    return found.where("n >= 2").drop("n")
+
+
+def defect_summary(measurements: DataFrame, by: str, n: int = 5) -> DataFrame:
+    """A line for each ``by``: its highest rate and its ``n`` most frequent defects."""
+    named = measurements.where(f"not ({AGGREGATE}) and defect_count > 0").groupBy(by, "defect_type").agg(F.sum("defect_count").alias("n"))
+    best = top_by(named, by, n, "n", ["defect_type"])
+    each = F.transform(F.array_sort(F.collect_list(F.struct("rank", "defect_type", "n"))), lambda x: F.concat(x["defect_type"], F.lit("("), x["n"].cast("string"), F.lit(")")))
+    lists = best.groupBy(by).agg(F.array_join(each, ", ").alias("l"))
+    rates = measurements.groupBy(by).agg(F.max("ng_rate").alias("r"))
+    line = F.concat(F.lit("maxNgRate="), F.format_string("%.1f", "r"), F.lit("%, topDefects=["), F.coalesce("l", F.lit("none")), F.lit("]"))
+    return rates.join(lists, by, "left").select(by, line.alias("summary"))

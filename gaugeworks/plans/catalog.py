@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import measures, periods, text
 from gaugeworks.operators import datasets, dedup, enrich, quality, ranking, rates
-from gaugeworks.plans.binding import PPM, facts, members, reasons, routing, table, with_tables
+from gaugeworks.plans.binding import NORMAL, PPM, facts, members, reasons, routing, table, with_tables
 from gaugeworks.sources import readers
 from gaugeworks.streaming import daily
 
@@ -28,20 +28,28 @@ def query(name: str, sql: str | None = None, tables: str = ""):
     return put
 
 
-def grains(s, d):
-    return periods.by_grain(facts(s, d))
+def grains(s, d, kinds="DWM"):
+    return periods.by_grain(facts(s, d), kinds=kinds)
 
 
 def routed(s, d):
-    return enrich.route_with_fallback(grains(s, d), routing(s, d))
+    return enrich.route_with_fallback(facts(s, d), routing(s, d))
+
+
+def rated(s, d, kinds="DWM"):
+    """Quantities of each combination and period: summed by day first, so that fewer rows are copied to the grains."""
+    return periods.by_grain(rates.quantities(routed(s, d), ["process_type", "process", "ng", "day"]), kinds=kinds)
 
 
 def grouped(s, d):
     return enrich.expand_groups(facts(s, d), members(s, d))
 
 
-ROUTED = """WITH routed AS (SELECT f.*, coalesce(e.process_type, l.process_type, '') AS process_type FROM by_grain f LEFT JOIN routing e USING (material, code, process)
-  LEFT JOIN (SELECT code, process, arg_min(process_type, material) AS process_type FROM routing GROUP BY ALL) l USING (code, process))"""
+ROUTES = f"""named AS (SELECT material, code, {NORMAL.format("process")} AS name, process_type, rid FROM routing), e AS (SELECT material, code, name, arg_min(process_type, rid) AS pt FROM named GROUP BY ALL),
+  l AS (SELECT code, name, arg_min(process_type, rid) AS pt FROM named GROUP BY ALL)"""
+ROUTE = "LEFT JOIN e ON f.material = e.material AND f.code = e.code AND f.process = e.name LEFT JOIN l ON f.code = l.code AND f.process = l.name"
+ROUTED = f"WITH {ROUTES}, routed AS (SELECT f.*, coalesce(e.pt, l.pt, '') AS process_type FROM by_grain f {ROUTE})"
+REASONED = "LEFT JOIN reason_of r ON lower(f.process) = r.p AND lower(f.ng) = r.n"
 GROUPED = "WITH grouped AS (SELECT f.*, coalesce(m.grp, f.line_shift) AS grp FROM facts f LEFT JOIN members m USING (supplier))"
 ROUND = "round({}, 6)"
 
@@ -62,18 +70,17 @@ def _(s, d):
     return readers.union_like_first([table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k")), table(s, d, "region").select(F.col("r_name").alias("name"), F.lit(1).alias("other"))])
 
 
-@query("src06_days_to_fetch", """SELECT CAST(g AS DATE) AS day, CASE WHEN CAST(g AS DATE) > DATE '1998-02-25' OR c.day IS NULL THEN 'fetch' ELSE 'cache' END AS source
-  FROM generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-02-28', INTERVAL 1 DAY) t(g)
-  LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE day(o_orderdate) % 2 = 0) c ON c.day = CAST(g AS DATE)""")
+@query("src06_days_to_fetch", """SELECT CAST(g AS DATE) AS day, CASE WHEN CAST(g AS DATE) > DATE '1998-08-28' OR c.day IS NULL THEN 'fetch' ELSE 'cache' END AS source
+  FROM generate_series(TIMESTAMP '1998-07-01', TIMESTAMP '1998-08-31', INTERVAL 1 DAY) t(g)
+  LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) c ON c.day = CAST(g AS DATE)""")
 def _(s, d):
-    cached = table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).where("day(day) % 2 = 0")
-    return readers.days_to_fetch(cached, "1998-01-01", "1998-02-28", "1998-02-28")
+    return readers.days_to_fetch(table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")), "1998-07-01", "1998-08-31", "1998-08-31")
 
 
-@query("src07_islands", """WITH x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 7 = 0)
-  SELECT min(day) AS first_day, max(day) AS last_day FROM (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS run FROM x) GROUP BY run""")
+@query("src07_islands", """WITH x AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders)
+  SELECT o_custkey, min(day) AS first_day, max(day) AS last_day FROM (SELECT o_custkey, day, day - CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY day) AS INTEGER) AS run FROM x) GROUP BY o_custkey, run""")
 def _(s, d):
-    return ranking.islands(table(s, d, "orders").where("o_custkey % 7 = 0").select(F.to_date("o_orderdate").alias("day")))
+    return ranking.islands(table(s, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")), by=("o_custkey",))
 
 
 @query("src08_json_records", """SELECT n_name AS name, n_nationkey::VARCHAR AS id FROM nation""")
@@ -119,11 +126,15 @@ query("prj08_labels", """SELECT DISTINCT kind, key, CASE kind WHEN 'D' THEN key[
 query("prj11_process_rank", "SELECT DISTINCT process_type, CASE process_type WHEN 'SUB' THEN 1 WHEN 'MAIN' THEN 2 WHEN 'FUNCTION' THEN 3 ELSE 4 END AS rank FROM routing", "facts routing")(
     lambda s, d: routing(s, d).select("process_type").distinct().withColumn("rank", text.process_rank(F.col("process_type")))
 )
-query("prj12_process_type", """SELECT DISTINCT o_orderpriority AS name, CASE WHEN o_orderpriority LIKE 'SUB%' THEN 'SUB' ELSE o_orderpriority END AS kept, '' AS dropped FROM orders""")(
-    lambda s, d: table(s, d, "orders").select(F.col("o_orderpriority").alias("name")).distinct().select("name", text.process_type(F.col("name")).alias("kept"), text.process_type(F.col("name"), False).alias("dropped"))
+KINDS = "['sub line', 'Main', 'function test', ' Visual', 'packing'][p_size % 5 + 1]"
+query("prj12_process_type", f"""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'SUB' WHEN 1 THEN 'MAIN' WHEN 2 THEN 'FUNCTION' WHEN 3 THEN 'VISUAL' ELSE 'packing' END AS kept,
+  CASE p_size % 5 WHEN 0 THEN 'SUB' WHEN 1 THEN 'MAIN' WHEN 2 THEN 'FUNCTION' WHEN 3 THEN 'VISUAL' ELSE '' END AS dropped FROM (SELECT *, {KINDS} AS name FROM part)""")(
+    lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, ("sub line", "Main", "function test", " Visual", "packing"))), (F.col("p_size") % 5 + 1).cast("int")).alias("name")).select("p_partkey", text.process_type(F.col("name")).alias("kept"), text.process_type(F.col("name"), False).alias("dropped"))
 )
-query("prj14_material", "SELECT DISTINCT line_shift, regexp_extract(line_shift, '^(.+)_[^_]*$', 1) AS material FROM facts", "facts")(
-    lambda s, d: facts(s, d).select("line_shift").distinct().withColumn("material", F.regexp_extract("line_shift", "^(.+)_[^_]*$", 1))
+query("prj14_material", """SELECT DISTINCT line_shift, code, CASE WHEN code = 'P1' THEN material ELSE coalesce(nullif(regexp_extract(ls, '^(.+)_[^_]*$', 1), ''), ls) END AS material
+  FROM (SELECT *, CASE WHEN code = 'P3' THEN line ELSE line_shift END AS ls FROM facts)""", "facts")(
+    lambda s, d: facts(s, d).select("line_shift", "code", F.when(F.col("code") == "P1", F.col("material")).otherwise("").alias("m"), F.when(F.col("code") == "P3", F.col("line")).otherwise(F.col("line_shift")).alias("ls")).distinct()
+    .select("line_shift", "code", text.material_of(F.col("m"), F.col("ls")).alias("material"))
 )
 query("flt01_members", "SELECT count(*) AS n, sum(input) AS input FROM facts WHERE line_shift IN ('Brand#2_L1', 'Brand#3_L0')", "facts")(
     lambda s, d: facts(s, d).where(F.col("line_shift").isin("Brand#2_L1", "Brand#3_L0")).agg(F.count("*").alias("n"), F.sum("input").alias("input"))
@@ -143,15 +154,15 @@ query("flt09_overlap", "SELECT o_orderkey FROM orders WHERE o_orderdate + INTERV
 
 # --- joins ---------------------------------------------------------------------------------------------------------
 
-query("jn01_route_fallback", ROUTED + " SELECT process_type, count(*) AS n FROM routed GROUP BY 1", "facts routing by_grain")(lambda s, d: routed(s, d).groupBy("process_type").agg(F.count("*").alias("n")))
-query("jn02_route_exact", "SELECT coalesce(process_type, '') AS process_type, count(*) AS n FROM facts LEFT JOIN routing USING (material, code, process) GROUP BY 1", "facts routing")(
-    lambda s, d: enrich.route_exact(facts(s, d), routing(s, d)).groupBy("process_type").agg(F.count("*").alias("n"))
+query("jn01_route_fallback", f"WITH {ROUTES} SELECT f.code, coalesce(e.pt, l.pt, '') AS process_type, count(*) AS n FROM facts f {ROUTE} GROUP BY ALL", "facts routing")(lambda s, d: routed(s, d).groupBy("code", "process_type").agg(F.count("*").alias("n")))
+query("jn02_route_exact", "SELECT code, coalesce(pt, '') AS process_type, count(*) AS n FROM facts LEFT JOIN (SELECT material, code, process, arg_max(process_type, rid) AS pt FROM routing GROUP BY ALL) USING (material, code, process) GROUP BY ALL", "facts routing")(
+    lambda s, d: enrich.route_exact(facts(s, d), routing(s, d)).groupBy("code", "process_type").agg(F.count("*").alias("n"))
 )
-query("jn03_reason", "SELECT coalesce(reason, '') AS reason, count(*) AS n, sum(ng_qty) AS ng_qty FROM facts LEFT JOIN reasons USING (process, ng) GROUP BY 1", "facts reasons")(
-    lambda s, d: enrich.reason(facts(s, d), reasons(s, d)).groupBy("reason").agg(F.count("*").alias("n"), F.sum("ng_qty").alias("ng_qty"))
+query("jn03_reason", f"SELECT f.ng, coalesce(r.reason, '') AS reason, count(*) AS n, sum(ng_qty) AS ng_qty FROM facts f {REASONED} GROUP BY ALL", "facts reasons reason_of")(
+    lambda s, d: enrich.reason(facts(s, d), reasons(s, d)).groupBy("ng", "reason").agg(F.count("*").alias("n"), F.sum("ng_qty").alias("ng_qty"))
 )
-query("jn04_reason_exact", "SELECT coalesce(reason, '') AS reason, count(*) AS n FROM facts LEFT JOIN reasons USING (process, ng) GROUP BY 1", "facts reasons")(
-    lambda s, d: enrich.reason(facts(s, d), reasons(s, d), False).groupBy("reason").agg(F.count("*").alias("n"))
+query("jn04_reason_exact", "SELECT ng, coalesce(reason, '') AS reason, count(*) AS n FROM facts LEFT JOIN (SELECT process, ng, arg_max(reason, rid) AS reason FROM reasons GROUP BY ALL) USING (process, ng) GROUP BY ALL", "facts reasons")(
+    lambda s, d: enrich.reason_exact(facts(s, d), reasons(s, d)).groupBy("ng", "reason").agg(F.count("*").alias("n"))
 )
 query("jn05_update_from", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN (SELECT max(o_orderpriority) FROM orders WHERE o_custkey = c_custkey) ELSE c_mktsegment END AS tag FROM customer")(
     lambda s, d: enrich.update_from(table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("tag")), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("tag")), ["c_custkey"], "tag")
@@ -159,7 +170,7 @@ query("jn05_update_from", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_cu
 query("jn06_missing_routing", "SELECT DISTINCT material, code, process FROM facts ANTI JOIN routing USING (material, code, process)", "facts routing")(lambda s, d: enrich.missing_keys(facts(s, d), routing(s, d), enrich.ROUTE))
 query("jn07_missing_reasons", "SELECT DISTINCT process, ng FROM facts ANTI JOIN reasons USING (process, ng)", "facts reasons")(lambda s, d: enrich.missing_keys(facts(s, d), reasons(s, d), ["process", "ng"]))
 query("jn08_vl03_coverage", """SELECT count(*) FILTER (k) AS applied_rows, count(*) FILTER (k IS NULL) AS missing_rows, count(DISTINCT (material, code, process)) FILTER (k IS NULL) AS missing_keys
-  FROM facts LEFT JOIN (SELECT material, code, process, true AS k FROM routing) USING (material, code, process)""", "facts routing")(lambda s, d: enrich.coverage(facts(s, d), routing(s, d), enrich.ROUTE))
+  FROM facts LEFT JOIN (SELECT DISTINCT material, code, process, true AS k FROM routing) USING (material, code, process)""", "facts routing")(lambda s, d: enrich.coverage(facts(s, d), routing(s, d), enrich.ROUTE))
 query("jn11_count_children", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")(
     lambda s, d: table(s, d, "customer").join(table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
 )
@@ -168,19 +179,26 @@ query("jn13_scalar_subqueries", "SELECT s_suppkey, (SELECT count(*) FROM lineite
 )
 query("jn14_groups", GROUPED + " SELECT grp, count(*) AS n, sum(input) AS input FROM grouped GROUP BY 1", "facts members")(lambda s, d: grouped(s, d).groupBy("grp").agg(F.count("*").alias("n"), F.sum("input").alias("input")))
 query("jn17_same_files", "WITH f AS (SELECT url AS path, strlen(html) AS bytes, sha256(html) AS hash FROM pages), g AS (SELECT bytes, hash, min(path) AS first_path, count(*) AS copies FROM f GROUP BY ALL HAVING count(*) > 1) SELECT path, bytes, hash, first_path, copies FROM f JOIN g USING (bytes, hash)")(
-    lambda s, d: datasets.same_files(table(s, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("hash")))
+    lambda s, d: datasets.same_files(table(s, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("bytes"), F.col("html").cast("binary").alias("content")))
 )
 
 # --- duplicates ----------------------------------------------------------------------------------------------------
 
-KEY = ["line", "process", "ng", "month"]
+KEY = ["line", "code", "process", "ng", "material", "month", "shift"]
+FOLDED = """WITH x AS (SELECT *, strftime(day, '%Y%m') AS month FROM facts), best AS (SELECT * FROM x QUALIFY input = max(input) OVER (PARTITION BY {key})),
+  r AS (SELECT {key}, list({{'i': input, 'n': ng_qty, 's': shift}} ORDER BY rid DESC, input DESC, ng_qty DESC) AS l FROM best GROUP BY {key})
+  SELECT {key}, f.i AS input, f.n AS ng_qty FROM (SELECT *, list_reduce(l, lambda a, b: CASE WHEN (b.n = a.n{same}) OR b.n = 0 THEN a WHEN a.n = 0 THEN b ELSE {{'i': a.i, 'n': a.n + b.n, 's': a.s}} END) AS f FROM r)"""
+
+
+@query("dd01_dd02_fold", FOLDED.format(key=", ".join(KEY), same=""), "facts")
+def _(s, d):
+    rows = facts(s, d).withColumns({"month": periods.month_key(F.col("day")), "line": F.concat(F.lit(" "), "line"), "ng": F.concat(F.lit("'"), "ng", F.lit("' "))})
+    return dedup.fold(rows, KEY, ("process", "ng")).drop("rid")
 
 
-@query("dd01_dd02_fold", """WITH x AS (SELECT *, strftime(day, '%Y%m') AS month FROM facts), best AS (SELECT * FROM x QUALIFY input = max(input) OVER (PARTITION BY line, process, ng, month)),
-  r AS (SELECT line, process, ng, month, list({'i': input, 'n': ng_qty} ORDER BY rid DESC, input DESC, ng_qty DESC) AS l FROM best GROUP BY ALL)
-  SELECT line, process, ng, month, f.i AS input, f.n AS ng_qty FROM (SELECT *, list_reduce(l, lambda a, b: CASE WHEN b.n = a.n OR b.n = 0 THEN a WHEN a.n = 0 THEN b ELSE {'i': a.i, 'n': a.n + b.n} END) AS f FROM r)""", "facts")
+@query("dd03_fold_with_shift", FOLDED.format(key="line, process, ng, month", same=" AND a.s = b.s"), "facts")
 def _(s, d):
-    return dedup.fold(facts(s, d).withColumn("month", periods.month_key(F.col("day"))), KEY).drop("rid")
+    return dedup.fold(facts(s, d).withColumn("month", periods.month_key(F.col("day"))), ["line", "process", "ng", "month"], ("process", "ng"), ("shift",)).drop("rid", "shift")
 
 
 query("dd04_merge_repeats", "SELECT line, day, process, ng, ng_code, line_shift, avg(input) AS input, sum(ng_qty) AS ng_qty, arg_min(code, rid) AS code FROM facts GROUP BY ALL", "facts")(
@@ -195,12 +213,12 @@ query("dd06_keep_first", "SELECT c_custkey, c_mktsegment FROM customer QUALIFY r
 
 # --- rates ---------------------------------------------------------------------------------------------------------
 
-query("ag01_combo_ppm", ROUTED + f" SELECT process_type, process, ng, kind, key, {PPM} AS ppm FROM routed GROUP BY ALL", "facts routing by_grain")(lambda s, d: rates.combo_ppm(routed(s, d), COMBO))
+query("ag01_combo_ppm", ROUTED + f" SELECT process_type, process, ng, kind, key, {PPM} AS ppm FROM routed GROUP BY ALL", "facts routing by_grain")(lambda s, d: rates.combo_ppm(rated(s, d), COMBO))
 COMBOS = ROUTED + f", c AS (SELECT process_type, process, ng, kind, key, {PPM} AS ppm FROM routed GROUP BY ALL)"
 for _name, _by in (("ag02_type_ppm", ["process_type", "kind", "key"]), ("ag03_total_ppm", ["kind", "key"]), ("ag04_process_ppm", ["process_type", "process", "kind", "key"])):
-    query(_name, f"{COMBOS} SELECT {', '.join(_by)}, sum(ppm) AS ppm FROM c GROUP BY ALL", "facts routing by_grain")(lambda s, d, by=_by: rates.summed_ppm(routed(s, d), COMBO, by))
+    query(_name, f"{COMBOS} SELECT {', '.join(_by)}, sum(ppm) AS ppm FROM c GROUP BY ALL", "facts routing by_grain")(lambda s, d, by=_by: rates.summed_ppm(rated(s, d), COMBO, by))
 query("ag08_group_total", f"{COMBOS}, t AS (SELECT process_type, kind, key, sum(ppm) AS ppm FROM c WHERE process_type <> '' GROUP BY ALL) SELECT * FROM t UNION ALL SELECT 'TOTAL', kind, key, sum(ppm) FROM t GROUP BY kind, key", "facts routing by_grain")(
-    lambda s, d: rates.with_total(routed(s, d), COMBO, "process_type", ["kind", "key"])
+    lambda s, d: rates.with_total(rated(s, d), COMBO, "process_type", ["kind", "key"])
 )
 query("ag06_group_process_ppm", GROUPED + f" SELECT grp, process, sum(ppm) AS ppm FROM (SELECT grp, process, ng, {PPM} AS ppm FROM grouped GROUP BY ALL) GROUP BY ALL", "facts members")(
     lambda s, d: rates.summed_ppm(grouped(s, d), ["grp", "process", "ng"], ["grp", "process"])
@@ -214,19 +232,20 @@ query("ag10_group_detail", GROUPED + f" SELECT grp, process, ng, strftime(day, '
     lambda s, d: rates.combo_ppm(grouped(s, d).withColumn("key", periods.month_key(F.col("day"))), ["grp", "process", "ng", "key"])
 )
 query("ag11_line_detail", f"SELECT line_shift, process, ng, kind, key, {PPM} AS ppm FROM by_grain WHERE kind = 'M' GROUP BY ALL", "facts by_grain")(
-    lambda s, d: rates.combo_ppm(grains(s, d).where("kind = 'M'"), ["line_shift", "process", "ng", "kind", "key"])
+    lambda s, d: rates.combo_ppm(grains(s, d, "M"), ["line_shift", "process", "ng", "kind", "key"])
+)
+query("ag14_reason_ppm", f"SELECT coalesce(r.reason, '') AS reason, kind, key, {PPM} AS ppm FROM by_grain f {REASONED} GROUP BY ALL", "facts reasons reason_of by_grain")(
+    lambda s, d: rates.combo_ppm(periods.by_grain(rates.quantities(enrich.reason(facts(s, d), reasons(s, d)), ["reason", "day"])), ["reason", "kind", "key"])
 )
-query("ag12_input_quantity", GROUPED + " SELECT process, grp, day, sum(input)::BIGINT AS input FROM grouped GROUP BY ALL HAVING sum(input)::BIGINT > 0", "facts members")(lambda s, d: rates.whole_quantities(grouped(s, d), ["process", "grp", "day"], "input"))
-query("ag13_ng_quantity", GROUPED + " SELECT process, ng, grp, day, sum(ng_qty)::BIGINT AS ng_qty FROM grouped GROUP BY ALL HAVING sum(ng_qty)::BIGINT > 0", "facts members")(lambda s, d: rates.whole_quantities(grouped(s, d), ["process", "ng", "grp", "day"], "ng_qty"))
-query("ag14_reason_ppm", f"SELECT coalesce(reason, '') AS reason, kind, key, {PPM} AS ppm FROM by_grain LEFT JOIN reasons USING (process, ng) GROUP BY ALL", "facts reasons by_grain")(
-    lambda s, d: rates.combo_ppm(enrich.reason(grains(s, d), reasons(s, d)), ["reason", "kind", "key"])
+query("ag14_reason_group_ppm", f"SELECT coalesce(r.reason, '') AS reason, coalesce(m.grp, f.line_shift) AS grp, kind, key, {PPM} AS ppm FROM by_grain f {REASONED} LEFT JOIN members m USING (supplier) GROUP BY ALL", "facts reasons reason_of members by_grain")(
+    lambda s, d: rates.combo_ppm(periods.by_grain(rates.quantities(enrich.reason(grouped(s, d), reasons(s, d)), ["reason", "grp", "day"])), ["reason", "grp", "kind", "key"])
+)
+query("ag15_group_table", f"""WITH {ROUTES} SELECT f.process, f.ng, ng_code, day, sum(input) AS input, sum(ng_qty) AS ng_qty, arg_min(coalesce(e.pt, l.pt, ''), f.rid) AS process_type, arg_min(coalesce(r.reason, ''), f.rid) AS reason,
+  arg_min(month(day), f.rid)::INTEGER AS month, arg_min((dayofyear(day) - 1 + 7 - (isodow(day) - 1)) // 7 + 1, f.rid)::INTEGER AS week FROM facts f {ROUTE} {REASONED} GROUP BY ALL""", "facts routing reasons reason_of")(
+    lambda s, d: rates.group_table(enrich.reason(routed(s, d), reasons(s, d)).withColumns({"month": F.month("day"), "week": periods.week_after_monday(F.col("day"))}), ["process", "ng", "ng_code", "day"], ["process_type", "reason", "month", "week"])
 )
-query("ag15_group_table", "SELECT process, ng, ng_code, day, sum(input) AS input, sum(ng_qty) AS ng_qty, arg_min(code, rid) AS code FROM facts GROUP BY ALL", "facts")(lambda s, d: rates.group_table(facts(s, d), ["process", "ng", "ng_code", "day"], ["code"]))
 query("ag17_recombined", GROUPED + """ SELECT process, round(sum(ppm), 4) AS ppm FROM (SELECT process, ng, CASE WHEN sum(input) > 0 THEN sum(ng_qty) / sum(input) * 1e6 ELSE 0.0 END AS ppm
   FROM grouped WHERE grp IN ('ASIA', 'EUROPE') GROUP BY ALL) GROUP BY ALL""", "facts members")(lambda s, d: rates.recombined(grouped(s, d), ["ASIA", "EUROPE"], ["process", "ng"], ["process"]).withColumn("ppm", F.round("ppm", 4)))
-query("ag18_mean_of_positive", f"SELECT material, round(avg(ppm) FILTER (ppm > 0), 4) AS mean_ppm FROM (SELECT material, line, {PPM} AS ppm FROM facts GROUP BY ALL) GROUP BY ALL", "facts")(
-    lambda s, d: rates.mean_of_positive(facts(s, d), ["material", "line"], ["material"]).withColumn("mean_ppm", F.round("mean_ppm", 4))
-)
 NT = "SELECT material, process, max(input) FILTER (line = 'L0') AS normal, max(input) FILTER (line = 'L1') AS test FROM facts GROUP BY ALL"
 
 
@@ -238,13 +257,6 @@ query("ag20_prj17_improvement", f"SELECT *, CASE WHEN normal > 0 AND test IS NOT
 query("ag21_kpis", f"SELECT count(*) FILTER (i > 0) AS improved, count(*) FILTER (i < 0) AS regressed, count(*) FILTER (i IS NULL) AS no_data, count(DISTINCT material) AS materials, round(avg(i), 6) AS mean FROM (SELECT material, CASE WHEN normal > 0 AND test IS NOT NULL THEN (normal - test) / normal * 100 END AS i FROM ({NT}))", "facts")(
     lambda s, d: compared(s, d).agg(F.count_if(F.col("improvement") > 0).alias("improved"), F.count_if(F.col("improvement") < 0).alias("regressed"), F.count_if(F.col("improvement").isNull()).alias("no_data"), F.countDistinct("material").alias("materials"), r6(F.avg("improvement")).alias("mean"))
 )
-query("ag22_weighted_pct", "SELECT process, round(sum(ng_qty) * 100 / sum(input), 6) AS pct FROM facts GROUP BY 1", "facts")(lambda s, d: facts(s, d).groupBy("process").agg(r6(F.sum("ng_qty") * 100 / F.sum("input")).alias("pct")))
-query("ag23_best_worst", "SELECT arg_min(line, (p, line)) AS best, arg_max(line, (p, line)) AS worst FROM (SELECT line, avg(ng_qty / input) AS p FROM facts GROUP BY 1)", "facts")(
-    lambda s, d: facts(s, d).groupBy("line").agg(F.avg(F.col("ng_qty") / F.col("input")).alias("p")).agg(F.min_by("line", F.struct("p", "line")).alias("best"), F.max_by("line", F.struct("p", "line")).alias("worst"))
-)
-query("ag24_top_defects", "SELECT string_agg(ng || ':' || n, ', ' ORDER BY n DESC, ng) AS top FROM (SELECT ng, count(*) AS n FROM facts WHERE ng_qty > 0 GROUP BY 1 ORDER BY n DESC, ng LIMIT 5)", "facts")(
-    lambda s, d: ranking.top(facts(s, d).where("ng_qty > 0").groupBy("ng").agg(F.count("*").alias("n")), 5, "n", ["ng"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ng", "n"))), lambda x: F.concat_ws(":", x["ng"], x["n"].cast("string"))), ", ").alias("top"))
-)
 query("ag25_range", "SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM facts", "facts")(lambda s, d: facts(s, d).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n")))
 query("ag26_distinct_union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT p_type FROM part")(
     lambda s, d: table(s, d, "nation").select(F.col("n_name").alias("name")).unionByName(table(s, d, "region").select(F.col("r_name").alias("name"))).unionByName(table(s, d, "part").select(F.col("p_type").alias("name"))).distinct()
@@ -267,7 +279,7 @@ REF = ", w AS (SELECT * FROM c WHERE kind = 'W' AND key = (SELECT min(key) FROM
 
 
 def in_week(s, d, by):
-    return ranking.in_reference(rates.summed_ppm(routed(s, d), COMBO, [*by, "kind", "key"]))
+    return rates.summed_ppm(ranking.in_reference(rated(s, d, "W")), COMBO, [*by, "kind", "key"])
 
 
 query("wn01_wn02_top_processes", f"{COMBOS}{REF} SELECT process_type, process, key, ppm, row_number() OVER (ORDER BY ppm DESC, process_type, process)::INTEGER AS rank FROM (SELECT process_type, process, key, sum(ppm) AS ppm FROM w GROUP BY ALL) QUALIFY rank <= 10", "facts routing by_grain")(
@@ -276,28 +288,16 @@ query("wn01_wn02_top_processes", f"{COMBOS}{REF} SELECT process_type, process, k
 query("wn03_top_combos", f"{COMBOS}{REF} SELECT process_type, process, ng, key, ppm, row_number() OVER (ORDER BY ppm DESC, process_type, process, ng)::INTEGER AS rank FROM w QUALIFY rank <= 10", "facts routing by_grain")(
     lambda s, d: ranking.top(in_week(s, d, ["process_type", "process", "ng"]).drop("kind"), 10, "ppm", ["process_type", "process", "ng"])
 )
-query("wn04_wn07_worst_by_reason", f"SELECT reason, process, ng, ppm, row_number() OVER (PARTITION BY reason ORDER BY ppm DESC, process, ng)::INTEGER AS rank FROM (SELECT reason, process, ng, {PPM} AS ppm FROM facts JOIN reasons USING (process, ng) GROUP BY ALL HAVING sum(ng_qty) > 0) QUALIFY rank <= 5", "facts reasons")(
-    lambda s, d: ranking.top_by(rates.combo_ppm(enrich.reason(facts(s, d), reasons(s, d)).where("reason <> ''"), ["reason", "process", "ng"]).where("ppm > 0"), "reason", 5, "ppm", ["process", "ng"])
-)
-@query("wn05_worst_in_group", GROUPED + f", c AS (SELECT grp, process, ng, {PPM} AS ppm FROM grouped GROUP BY ALL), t AS (SELECT process, ng FROM c WHERE grp = 'ASIA' ORDER BY ppm DESC, process, ng LIMIT 5) SELECT grp, process, ng, ppm FROM c SEMI JOIN t USING (process, ng)", "facts members")
-def _(s, d):
-    each = rates.combo_ppm(grouped(s, d), ["grp", "process", "ng"])
-    worst = ranking.top(each.where("grp = 'ASIA'"), 5, "ppm", ["process", "ng"])
-    return each.join(F.broadcast(worst), ["process", "ng"], "left_semi")  # five rows
-
-
-query("wn08_rerank", GROUPED + f" SELECT process, ppm, row_number() OVER (ORDER BY ppm DESC, process)::INTEGER AS rank FROM (SELECT process, sum(ppm) AS ppm FROM (SELECT process, ng, {PPM} AS ppm FROM grouped WHERE grp = 'ASIA' GROUP BY ALL) GROUP BY ALL)", "facts members")(
-    lambda s, d: ranking.top(rates.summed_ppm(grouped(s, d).where("grp = 'ASIA'"), ["process", "ng"], ["process"]), 10, "ppm", ["process"])
-)
-query("wn09_row_numbers", "SELECT DISTINCT process, ng, dense_rank() OVER (ORDER BY process, ng)::INTEGER AS no FROM (SELECT DISTINCT process, ng FROM facts)", "facts")(
-    lambda s, d: facts(s, d).select("process", "ng").distinct().withColumn("no", F.dense_rank().over(Window.orderBy("process", "ng")))
+query("wn08_rerank", GROUPED + """ SELECT process, round(ppm, 4) AS ppm, row_number() OVER (ORDER BY ppm DESC, process)::INTEGER AS rank FROM (SELECT process, sum(ppm) AS ppm FROM
+  (SELECT process, ng, CASE WHEN sum(input) > 0 THEN sum(ng_qty) / sum(input) * 1e6 ELSE 0.0 END AS ppm FROM grouped WHERE grp IN ('ASIA', 'AFRICA') GROUP BY ALL) GROUP BY ALL) QUALIFY rank <= 4""", "facts members")(
+    lambda s, d: ranking.top(rates.recombined(grouped(s, d), ["ASIA", "AFRICA"], ["process", "ng"], ["process"]), 4, "ppm", ["process"]).withColumn("ppm", F.round("ppm", 4))
 )
 query("wn10_fill", """WITH x AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS t FROM events)
   SELECT user_id, event_id, coalesce(last_value(t IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(t IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS t FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")(
     lambda s, d: ranking.fill(table(s, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("t")), "user_id", "event_id", "t")
 )
 query("wn11_newest_periods", f"{COMBOS}, k AS (SELECT kind, key FROM (SELECT DISTINCT kind, key FROM c) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY key DESC) <= CASE kind WHEN 'D' THEN 10 WHEN 'W' THEN 4 ELSE 3 END) SELECT * FROM c SEMI JOIN k USING (kind, key)", "facts routing by_grain")(
-    lambda s, d: ranking.newest(rates.combo_ppm(routed(s, d), COMBO), {"D": 10, "W": 4, "M": 3})
+    lambda s, d: rates.combo_ppm(ranking.newest(rated(s, d), {"D": 10, "W": 4, "M": 3}), COMBO)
 )
 query("wn12_latest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 7")(lambda s, d: table(s, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(7))
 
@@ -309,26 +309,10 @@ query("set02_union_missing", "SELECT n_name AS name, n_nationkey AS a, NULL::INT
 query("set04_difference", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).join(table(s, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti")
 )
-YEARS = ("1999", "1998", "1997", "1996", "1995")
-query("rs01_rs03_pivot", "SELECT process, ng, " + ", ".join(f"coalesce(max(p) FILTER (y = '{y}'), 0.0) AS y{y}" for y in YEARS) + f" FROM (SELECT process, ng, year(day)::VARCHAR AS y, {PPM} AS p FROM facts GROUP BY ALL) GROUP BY ALL", "facts")(
-    lambda s, d: rates.combo_ppm(facts(s, d).withColumn("y", F.year("day").cast("string")), ["process", "ng", "y"]).groupBy("process", "ng").pivot("y", list(YEARS)).agg(F.first("ppm")).fillna(0.0).withColumnsRenamed({y: f"y{y}" for y in YEARS})
-)
-@query("rs02_detail_pivot", "SELECT process, " + ", ".join(f"coalesce(max(p) FILTER (line = 'L{i}'), 0.0) AS l{i}" for i in range(5)) + f" FROM (SELECT process, line, {PPM} AS p FROM facts GROUP BY ALL UNION ALL SELECT 'TOTAL', line, {PPM} FROM facts GROUP BY line) GROUP BY ALL", "facts")
-def _(s, d):
-    each = rates.combo_ppm(facts(s, d), ["process", "line"]).unionByName(rates.combo_ppm(facts(s, d), ["line"]).withColumn("process", F.lit("TOTAL")))
-    return each.groupBy("process").pivot("line", [f"L{i}" for i in range(5)]).agg(F.first("ppm")).fillna(0.0).withColumnsRenamed({f"L{i}": f"l{i}" for i in range(5)})
-
-
 query("rs05_long_form", "SELECT p_partkey, unnest(['p_retailprice', 'p_size']) AS name, unnest([p_retailprice, p_size::DOUBLE]) AS y FROM part")(
     lambda s, d: quality.long_form(table(s, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size")), ["p_partkey"], ["p_retailprice", "p_size"])
 )
-query("rs06_membership", "SELECT s_suppkey AS supplier, unnest(list_distinct([r_name, r_name || ' / ' || n_name, s_name])) AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")(
-    lambda s, d: table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("supplier"), F.explode(F.array_distinct(F.array("r_name", F.concat_ws(" / ", "r_name", "n_name"), "s_name"))).alias("grp"))
-)
-query("rs07_tree", "SELECT r_name AS grp, list(n_name ORDER BY n_name) AS children FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")(
-    lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("grp")).agg(F.array_sort(F.collect_list("n_name")).alias("children"))
-)
-query("rs08_rs10_json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda s, d: datasets.json_fields(table(s, d, "events"), "props", ["k"]).select("event_id", "k"))
+query("rs08_json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda s, d: datasets.json_fields(table(s, d, "events"), "props", ["k"]).select("event_id", "k"))
 query("rs09_drop_key", "SELECT event_id, '{}' AS props FROM events")(lambda s, d: table(s, d, "events").select("event_id", datasets.drop_json_key("props", "k").alias("props")))
 
 # --- text ----------------------------------------------------------------------------------------------------------
@@ -337,15 +321,25 @@ query("fn01_normalize", r"""SELECT doc_id, trim(regexp_replace(replace(replace(t
     lambda s, d: table(s, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
 )
 query("fn02_key", "SELECT p_partkey, upper(replace(trim(p_name, ' '), '  ', ' ')) AS k FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", text.normalize_key(F.col("p_name")).alias("k")))
-query("fn04_tokens", "SELECT p_partkey, list_sort(list_filter(list_distinct(split(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g'), ' ')), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))) AS t FROM part")(
-    lambda s, d: table(s, d, "part").select("p_partkey", F.array_sort(text.tokens(F.col("p_name"))).alias("t"))
+TOKENS = "list_filter(list_distinct(list_transform(regexp_split_to_array(trim(regexp_replace(upper({}), '[^A-Z0-9-]+', ' ', 'g')), '[ -]+'), lambda w: CASE w WHEN 'VIS' THEN 'VISUAL' WHEN 'VSL' THEN 'VISUAL' WHEN 'FUNC' THEN 'FUNCTION' ELSE w END)), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))"
+NAME = "p_name || CASE p_size % 4 WHEN 0 THEN '-vis/12' WHEN 1 THEN ' (func_VSL) 7' WHEN 2 THEN ' [x]+Test' ELSE '' END"
+
+
+def noisy_name():
+    """Part names with what the classifier has to read over."""
+    size = F.col("p_size") % 4
+    return F.concat("p_name", F.when(size == 0, "-vis/12").when(size == 1, " (func_VSL) 7").when(size == 2, " [x]+Test").otherwise(""))
+
+
+query("fn04_tokens", f"SELECT p_partkey, list_sort({TOKENS.format(NORMAL.format('n'))}) AS t FROM (SELECT p_partkey, {NAME} AS n FROM part)")(
+    lambda s, d: table(s, d, "part").select("p_partkey", F.array_sort(text.tokens(noisy_name())).alias("t"))
 )
 query("fn05_safe_name", "SELECT c_custkey, regexp_replace(regexp_replace(c_name, '[^A-Za-z0-9가-힣]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", text.safe_name(F.col("c_name")).alias("name")))
 query("fn10_holds_number", "SELECT c_custkey, regexp_matches(replace(c_name, ',', ''), '(^|[^0-9])' || c_custkey || '($|[^0-9])') AS held FROM customer")(
     lambda s, d: table(s, d, "customer").select("c_custkey", text.holds_number(F.col("c_name"), F.col("c_custkey")).alias("held"))
 )
-query("fn13_head_tail", "SELECT page_id, sha256(left(url, greatest(length(url) // 10, 1)::INTEGER) || right(url, greatest(length(url) // 10, 1)::INTEGER)) AS hash FROM pages")(
-    lambda s, d: table(s, d, "pages").select("page_id", datasets.head_tail_hash(F.col("url")).alias("hash"))
+query("fn13_head_tail", """SELECT page_id, sha256(CASE WHEN 2 * n >= length(h) THEN h ELSE left(h, n) || right(h, n) END) AS hash FROM (SELECT page_id, h, greatest(ceil(length(h) * 0.1), 1)::INTEGER AS n FROM (SELECT page_id, hex(html) AS h FROM pages))""")(
+    lambda s, d: table(s, d, "pages").select("page_id", datasets.head_tail_hash(F.hex(F.col("html").cast("binary")).cast("binary")).alias("hash"))
 )
 
 # --- statistics ----------------------------------------------------------------------------------------------------
@@ -371,8 +365,11 @@ query("st07_st08_by_day", f"{LIMITS} {STATS.format(by='name, floor(x)::BIGINT AS
 query("st03_st25_one_sided", f"{LIMITS} SELECT name, g, round(stddev_samp(y), 6) AS sigma, round((60.0 - avg(y)) / (3 * stddev_samp(y)), 6) AS cpk FROM v GROUP BY ALL")(
     lambda s, d: rounded(quality.one_sided_cpk(values(s, d).withColumn("low", F.lit(None).cast("double")), ["name", "g"]), "sigma", "cpk")
 )
-query("st04_st09_failures", f"{LIMITS} SELECT name, count(*) AS n, count(*) FILTER (bad) AS ng, round(count(*) FILTER (bad) / count(*) * 100, 6) AS ng_pct FROM (SELECT name, event_id % 100 AS r, bool_or(y > high OR y < low) AS bad FROM v GROUP BY ALL) GROUP BY 1")(
-    lambda s, d: rounded(quality.row_failures(values(s, d).withColumn("r", F.col("event_id") % 100), "r", ["name"]), "ng_pct")
+query("st04_failures", f"{LIMITS} SELECT name, count(*) AS n, count(*) FILTER (bad) AS ng, round(count(*) FILTER (bad) / count(*) * 100, 6) AS ng_pct FROM (SELECT name, event_id // 10 AS r, bool_or(y > high OR y < low) AS bad FROM v GROUP BY ALL) GROUP BY 1")(
+    lambda s, d: rounded(quality.row_failures(values(s, d).withColumn("r", F.floor(F.col("event_id") / 10)), "r", ["name"]), "ng_pct")
+)
+query("st09_failed_groups", f"{LIMITS} SELECT count(*) AS n, count(*) FILTER (bad) AS ng, round(count(*) FILTER (bad) / count(*) * 100, 6) AS ng_pct FROM (SELECT event_id // 7 AS r, bool_or(y > high OR y < low) AS bad FROM v GROUP BY ALL)")(
+    lambda s, d: rounded(quality.failed_groups(values(s, d).withColumn("r", F.floor(F.col("event_id") / 7)), "r"), "ng_pct")
 )
 query("st10_st11_regression", f"""{LIMITS} SELECT name, count(*) AS n, round(regr_slope(y, x), 4) AS slope, round(regr_r2(y, x), 4) AS r2, round(sqrt((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2)), 4) AS residual_sigma FROM v GROUP BY 1""")(
     lambda s, d: quality.regression(values(s, d), ["name"]).select("name", "n", *[F.round(c, 4).alias(c) for c in ("slope", "r2", "residual_sigma")])
@@ -380,46 +377,10 @@ query("st10_st11_regression", f"""{LIMITS} SELECT name, count(*) AS n, round(reg
 query("st13_jn15_pairwise", """SELECT 'q' AS x_name, 'p' AS y_name, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem UNION ALL SELECT 'q', 'd', count(*), round(regr_slope(l_discount, l_quantity), 4) FROM lineitem UNION ALL SELECT 'p', 'd', count(*), round(regr_slope(l_discount, l_extendedprice), 4) FROM lineitem""")(
     lambda s, d: quality.pairwise(table(s, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d")), ["q", "p", "d"]).select("x_name", "y_name", "n", F.round("slope", 4).alias("slope"))
 )
-query("st12_quadratic")(lambda s, d: quality.quadratic(values(s, d), ["name"]))
-query("st14_step_deltas", "SELECT i, round(m - lag(m) OVER (ORDER BY i), 6) AS delta FROM (SELECT l_linenumber AS i, avg(l_quantity) AS m FROM lineitem GROUP BY 1)")(
-    lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("i")).agg(F.avg("l_quantity").alias("m")).select("i", r6(F.col("m") - F.lag("m").over(Window.orderBy("i"))).alias("delta"))
-)
-query("st15_required_x")(lambda s, d: quality.required_x(quality.regression(values(s, d), ["name"]), 0.01))
-query("st16_inverse_normal")(lambda s, d: s.range(1, 1000).select((F.col("id") / 1000).alias("p"), measures.inverse_normal(F.col("id") / 1000).alias("z")))
-query("st17_limits", f"{LIMITS} SELECT name, round(min(m - 1.959964 * sd), 3) AS band_low, round(max(m + 1.959964 * sd), 3) AS band_high FROM (SELECT name, g, avg(y) AS m, stddev_pop(y) AS sd FROM v GROUP BY ALL) GROUP BY 1")(
-    lambda s, d: quality.recommended_limits(quality.column_stats(values(s, d), ["name", "g"]), ["name"], 0.95).select("name", F.round("band_low", 3).alias("band_low"), F.round("band_high", 3).alias("band_high"))
-)
-query("st18_density")(lambda s, d: quality.density(quality.column_stats(values(s, d), ["name"])).select("name", "i", "x", "density"))
-query("st19_st21_heat_map", "SELECT p_type || ' | ' || p_brand AS x, p_size AS y, round(avg(p_retailprice), 6) AS value FROM part GROUP BY ALL")(
-    lambda s, d: rounded(quality.heat_map(table(s, d, "part"), F.concat_ws(" | ", "p_type", "p_brand"), F.col("p_size"), F.col("p_retailprice")), "value")
-)
-query("st22_category_index", "SELECT p_type AS label, (dense_rank() OVER (ORDER BY min(p_partkey)) - 1)::INTEGER AS place FROM part GROUP BY 1")(
-    lambda s, d: table(s, d, "part").groupBy(F.col("p_type").alias("label")).agg(F.min("p_partkey").alias("m")).select("label", (F.dense_rank().over(Window.orderBy("m")) - 1).alias("place"))
-)
 query("st23_convex_hull")(lambda s, d: quality.convex_hull(values(s, d), "name"))
 query("st24_jitter", "SELECT event_id, round(value + ((event_id % 9) - 4) * 0.035, 6) AS x FROM events")(lambda s, d: table(s, d, "events").select("event_id", r6(F.col("value") + ((F.col("event_id") % 9) - 4) * 0.035).alias("x")))
-query("st26_type_sniff", "SELECT 'value' AS name, bool_and(try_cast(value::VARCHAR AS DOUBLE) IS NOT NULL) AS numeric FROM events UNION ALL SELECT 'event_type', bool_and(try_cast(event_type AS DOUBLE) IS NOT NULL) FROM events")(
-    lambda s, d: quality.long_form(table(s, d, "events").select("event_id", F.col("value").cast("string").alias("value"), "event_type"), ["event_id"], ["value", "event_type"]).groupBy("name").agg(F.bool_and(text.number(F.col("y")).isNotNull()).alias("numeric"))
-)
-
 # --- datasets ------------------------------------------------------------------------------------------------------
 
-query("vl01_issues", """SELECT o, input, total, counted, CASE WHEN total > input THEN 'contradict' WHEN total > 0 AND counted = 0 THEN 'missing' WHEN counted < total THEN 'undercount' END AS issue FROM
-  (SELECT l_orderkey AS o, max(l_quantity) AS input, max(l_tax * 100) AS total, sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END)::BIGINT AS counted FROM lineitem GROUP BY 1) WHERE issue IS NOT NULL""")(
-    lambda s, d: datasets.issues(table(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_quantity").alias("input"), (F.col("l_tax") * 100).alias("total"), F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).otherwise(0).alias("count")), ["o"])
-)
-TOKENS = "list_filter(list_distinct(split(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g'), ' ')), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))"
-@query("ml01_ml02_votes", f"""WITH t AS (SELECT p_type, unnest({TOKENS}) AS token FROM part WHERE p_partkey % 2 = 0), v AS (SELECT token, p_type, count(*) AS n FROM t GROUP BY ALL), pr AS (SELECT p_type, count(*) AS prior FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
-  q AS (SELECT p_name, unnest({TOKENS}) AS token FROM (SELECT DISTINCT p_name FROM part)), s AS (SELECT p_name, p_type, prior + 2 * sum(n) AS score FROM q JOIN v USING (token) JOIN pr USING (p_type) GROUP BY p_name, p_type, prior)
-  SELECT p_name, arg_min(p_type, (-score, p_type)) AS p_type, round(least(greatest(max(score) / sum(score), 0.55), 0.99), 6) AS confidence FROM s GROUP BY 1""")
-def _(s, d):
-    rows = table(s, d, "part")
-    return rounded(datasets.predict_votes(rows, "p_name", "p_type", *datasets.train_votes(rows.where("p_partkey % 2 = 0"), "p_name", "p_type")), "confidence")
-
-
-query("ml03_keywords", "SELECT DISTINCT p_name, CASE WHEN upper(p_name) LIKE '%VISUAL%' THEN 'VISUAL' WHEN upper(p_name) LIKE '%TEST%' THEN 'FUNCTION' WHEN upper(p_name) LIKE '%SUB%' THEN 'SUB' ELSE 'MAIN' END AS kind FROM part")(
-    lambda s, d: table(s, d, "part").select("p_name").distinct().withColumn("kind", datasets.keyword_type(F.col("p_name")))
-)
 query("stream_daily_rates", """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS input, count(*) FILTER (value > 50) AS ng_qty, round_even(count(*) FILTER (value > 50) / count(*) * 1e6, 0) AS ppm FROM events GROUP BY ALL""")(
     lambda s, d: daily.daily_rates(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 )
@@ -430,38 +391,12 @@ query("flt03_out_of_limits", "SELECT event_id FROM events WHERE value > 60 OR va
 query("flt04_date_range", "SELECT event_id FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-05'")(
     lambda s, d: table(s, d, "events").where(F.to_date("ts").between(F.lit("2024-01-03").cast("date"), F.lit("2024-01-05").cast("date"))).select("event_id")
 )
-query("flt08_later_as_text", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> '' AND o_orderpriority > '3-MEDIUM'")(lambda s, d: table(s, d, "orders").where("o_orderstatus <> '' and o_orderpriority > '3-MEDIUM'").select("o_orderkey"))
+query("flt08_later_as_text", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE strftime(l_shipdate, '%H:%M') <> '' AND l_returnflag > l_linestatus")(
+    lambda s, d: table(s, d, "lineitem").where(measures.later(F.col("l_returnflag"), F.col("l_linestatus"))).select("l_orderkey", "l_linenumber")
+)
 query("jn12_left_join", "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")(lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left"))
 
 
-@query("jn16_aligned_curves", """WITH c AS (SELECT event_type AS curve, round(event_id % 50 / 7.0, 2) AS x, avg(value) AS y FROM events GROUP BY ALL)
-  SELECT x, round(max(y) FILTER (curve = 'click'), 6) AS click, round(max(y) FILTER (curve = 'view'), 6) AS view FROM c GROUP BY x""")
-def _(s, d):
-    x = F.round((F.col("event_id") % 50) / 7.0, 2)
-    curves = table(s, d, "events").groupBy(F.col("event_type").alias("curve"), x.alias("x")).agg(F.avg("value").alias("y"))
-    return rounded(curves.groupBy("x").pivot("curve", ["click", "view"]).agg(F.max("y")), "click", "view")
-
-
-query("rs04_union_of_headers", "SELECT p_type AS name, count(*) AS a, NULL::BIGINT AS b FROM part GROUP BY 1 UNION ALL SELECT p_brand, NULL, count(*) FROM part GROUP BY 1")(
-    lambda s, d: table(s, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("a")).unionByName(table(s, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("b")), allowMissingColumns=True)
-)
-query("rs11_term_lines", """SELECT c_custkey, trim(t[1]) AS term, trim(t[2]) AS description FROM (SELECT c_custkey, regexp_extract(unnest(split('seg: ' || c_mktsegment || chr(10) || chr(10) || 'name: ' || c_name, chr(10))), '^([^:]+):(.*)$', ['1', '2']) AS g FROM customer) x,
-  LATERAL (SELECT [g."1", g."2"] AS t) WHERE trim(t[1]) <> ''""")(
-    lambda s, d: table(s, d, "customer").select("c_custkey", F.explode(F.split(F.concat(F.lit("seg: "), "c_mktsegment", F.lit("\n\nname: "), "c_name"), "\n")).alias("l")).select("c_custkey", F.trim(F.regexp_extract("l", "^([^:]+):(.*)$", 1)).alias("term"), F.trim(F.regexp_extract("l", "^([^:]+):(.*)$", 2)).alias("description")).where("term <> ''")
-)
 query("st05_without_x", "SELECT l_linenumber AS i, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sigma, min(l_quantity) AS lowest, max(l_quantity) AS highest FROM lineitem GROUP BY 1")(
     lambda s, d: rounded(quality.column_stats(table(s, d, "lineitem").select(F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("y"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")), ["i"]), "mean", "sigma").select("i", "n", "mean", "sigma", "lowest", "highest")
 )
-query("st06_shared_limits", f"{LIMITS} SELECT name, round(count(*) FILTER (y > high OR y < low) / count(*) * 1e6, 4) AS ppm, max(high) - min(high) < 1e-12 AS shared FROM v GROUP BY 1")(
-    lambda s, d: values(s, d).groupBy("name").agg(F.round(F.count_if(measures.out_of_limits(F.col("y"), F.col("low"), F.col("high"))) / F.count("*") * 1e6, 4).alias("ppm"), (F.max("high") - F.min("high") < 1e-12).alias("shared"))
-)
-query("st20_label_order", "SELECT DISTINCT p_size::VARCHAR AS label, dense_rank() OVER (ORDER BY p_size)::INTEGER AS place FROM part")(
-    lambda s, d: table(s, d, "part").select(F.col("p_size").cast("string").alias("label")).distinct().withColumn("place", F.dense_rank().over(Window.orderBy(text.number(F.col("label")), F.lower("label"))))
-)
-query("vl02_source_mismatch", "SELECT DISTINCT l_orderkey, l_quantity::INTEGER AS input FROM lineitem WHERE l_quantity >= 10 AND NOT regexp_matches(replace('order ' || l_orderkey || ' of 1,000', ',', ''), '(^|[^0-9])' || l_quantity::INTEGER || '($|[^0-9])')")(
-    lambda s, d: table(s, d, "lineitem").where("l_quantity >= 10").select("l_orderkey", F.col("l_quantity").cast("int").alias("input")).where(~text.holds_number(F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" of 1,000")), F.col("input"))).distinct()
-)
-query("ml04_last_wins", "SELECT p_name, arg_max(p_type, p_partkey) AS p_type FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy("p_name").agg(F.max_by("p_type", "p_partkey").alias("p_type")))
-query("ml05_retrained", "SELECT p_type, count(*) AS prior FROM (SELECT p_type FROM part UNION ALL SELECT 'PROMO' FROM part WHERE p_size = 7) GROUP BY 1")(
-    lambda s, d: datasets.train_votes(table(s, d, "part").select("p_name", "p_type").unionByName(table(s, d, "part").where("p_size = 7").select("p_name", F.lit("PROMO").alias("p_type"))), "p_name", "p_type")[0]
-)

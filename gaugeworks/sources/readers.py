@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
+from gaugeworks.functions.text import number
+
 
 def where_all(df: DataFrame, equals: dict[str, object]) -> DataFrame:
     """Rows that equal every given value; pushed down to the scan."""
@@ -15,11 +17,47 @@ def where_all(df: DataFrame, equals: dict[str, object]) -> DataFrame:
 
 
 def union_like_first(tables: list[DataFrame]) -> DataFrame:
-    """All rows, with the columns of the first table."""
-    first = tables[0].columns
+    """All rows, with the columns of the first table that has any row (of the first, if none has)."""
+    first = next((t for t in tables if not t.isEmpty()), tables[0]).columns
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select(*first)
 
 
+def with_separators(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables by name, and after each table an empty row."""
+    spark = tables[0].sparkSession
+    blank = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in tables[0].schema])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x for t in tables for x in (t, blank)])
+
+
+def cached_days(spark: SparkSession, root: str, days: list[str], schema: str) -> DataFrame:
+    """Rows of the day folders ``day=yyyy-MM-dd`` under ``root``; days without one give none, nor do files that can't be read."""
+    whole = f"{schema}, day date"
+    found = spark.read.schema(whole).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("basePath", root).parquet(root)
+    return found.where(F.col("day").isin([F.lit(d).cast("date") for d in days]))
+
+
+def common_columns(source: DataFrame, target: DataFrame, keep: tuple[str, list] | None = None) -> DataFrame:
+    """The columns that both have, in the target's order, and of ``keep`` (column, values) only rows with these values."""
+    rows = source if keep is None else source.where(F.col(keep[0]).isin(keep[1]))
+    return rows.select(*[c for c in target.columns if c in set(source.columns)])
+
+
+def without(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.drop(*columns)
+
+
+def only(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of ``columns`` that there are, in their order."""
+    return df.select(*[c for c in columns if c in df.columns])
+
+
+def exists(spark: SparkSession, table: str, column: str | None = None) -> bool:
+    """Whether the session has a table, and a column of that name regardless of case."""
+    if not spark.catalog.tableExists(table):
+        return False
+    return column is None or column.lower() in {c.lower() for c in spark.table(table).columns}
+
+
 def days_to_fetch(cached: DataFrame, first: str, last: str, today: str, horizon: int = 3) -> DataFrame:
     """day, source: ``fetch`` for days that aren't cached or may still change, else ``cache``."""
     spark = cached.sparkSession
@@ -59,12 +97,42 @@ def master_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def strict_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Tab-separated; lines with fewer columns are dropped."""
+    """Tab-separated with a header line, which is skipped by its place; lines with fewer columns are dropped."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.size(parts) >= len(columns))
+    rows = numbered_lines(spark, path).where("not (first and line = 1)").where(F.size(parts) >= len(columns))
     return rows.select(*[F.trim(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(columns)])
 
 
+def headerless(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
+    """Delimited lines without a header under given names; blank lines are skipped, missing fields null, further ones left out."""
+    parts = fields(F.col("value"), sep)
+    return spark.read.text(path).where(F.trim("value") != "").select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+
+
+def training_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Comma-separated lines with quotes, which are doubled inside quotes, under a header; all texts, '' where missing."""
+    schema = StructType([StructField(c, StringType()) for c in columns])
+    rows = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', enforceSchema=True)
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, first, line: the lines of a file, those of its first part (``first``) with their numbers from 1.
+
+    Only the head of a file is told by line numbers, and it lies in the part that begins at byte 0.
+    """
+    lines = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") == 0).alias("first"), F.monotonically_increasing_id().alias("id"))
+    start = lines.where("first").agg(F.min("id")).first()[0] or 0
+    return lines.select("value", "first", (F.col("id") - start + 1).alias("line"))
+
+
+def fields(line: Column, sep: str) -> Column:
+    """The fields of a line; a space stands for any white space, and then empty fields are left out."""
+    if sep == " ":
+        return F.filter(F.split(line, r"\s+"), lambda x: x != "")
+    return F.split(line, f"\\Q{sep}\\E", -1)
+
+
 def detect_delimiter(lines: list[str], choices: tuple[str, ...] = ("\t", ",", ";", "|", " ")) -> str:
     """The one with the largest mean over (1 + population deviation) of field counts, means under 2 aside; else tab."""
     best, found = 0.0, "\t"
@@ -89,14 +157,59 @@ def unique_headers(names: list[str]) -> list[str]:
     return found
 
 
-def delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A delimited file whose first line names its columns; short rows padded with nulls, blank lines skipped."""
-    head = [r.value for r in spark.read.text(path).limit(20).collect()]
+def _header(lines: DataFrame, header_row: int) -> str:
+    found = lines.where(F.col("first") & (F.col("line") == header_row)).first()
+    if found is None:
+        raise ValueError(f"line {header_row} isn't there to name columns")
+    return found.value
+
+
+def delimited(spark: SparkSession, path: str, delimiter: str | None = None, header_row: int = 1, least: int = 1) -> DataFrame:
+    """A delimited file of which line ``header_row`` names the columns, and lines before it are left out.
+
+    Values are trimmed, missing ones empty, blank lines skipped; fewer than ``least`` columns are an error.
+    """
+    lines = numbered_lines(spark, path)
+    head = [r.value for r in lines.where(F.col("first") & F.col("line").between(header_row, header_row + 19)).orderBy("line").collect()]  # 20 lines
     sep = delimiter or detect_delimiter(head)
-    names = unique_headers(head[0].split(None if sep == " " else sep)) if head else ["Column"]
-    parts = F.split(F.trim("value") if sep == " " else F.col("value"), r"\s+" if sep == " " else f"\\Q{sep}\\E")
-    rows = spark.read.text(path).where((F.trim("value") != "") & (F.col("value") != F.lit(head[0] if head else "")))
-    return rows.select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    header = _header(lines, header_row)
+    names = unique_headers(header.split() if sep == " " else header.split(sep))
+    if len(names) < least:
+        raise ValueError(f"{least} columns are needed, {len(names)} are there")
+    parts = fields(F.col("value"), sep)
+    rows = lines.where((F.trim("value") != "") & ~(F.col("first") & (F.col("line") <= header_row)))
+    return rows.select(*[F.coalesce(F.trim(F.get(parts, F.lit(i))), F.lit("")).alias(n) for i, n in enumerate(names)])
+
+
+def scatter(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
+    """A file with a header, cut at tabs if the header has any, else at commas if it has any, else at ``delimiter``.
+
+    Rows that are too short so are cut at white space, if that gives enough fields.
+    """
+    lines = numbered_lines(spark, path)
+    header = _header(lines, 1)
+    sep = "\t" if "\t" in header else "," if "," in header else delimiter
+    names = unique_headers(header.split() if sep == " " else header.split(sep))
+    own, loose = fields(F.col("value"), sep), fields(F.col("value"), " ")
+    parts = F.when((F.size(own) < len(names)) & (F.size(loose) >= len(names)), loose).otherwise(own)
+    rows = lines.where((F.trim("value") != "") & ~(F.col("first") & (F.col("line") == 1))).select(parts.alias("p"))
+    return rows.select(*[F.trim(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
+def curve_cells(cells: DataFrame, first_row: int = 5, single_row: int = 4) -> DataFrame:
+    """file, sheet, x, y of cell tables (file, sheet, row, col, value): pairs of columns 1 and 2 from ``first_row`` to the
+    first row where either is blank; pairs that aren't numbers are left out. Sheets of impedance have one pair, in ``single_row``."""
+    key = ["file", "sheet"]
+    at = lambda c: F.max(F.when(F.col("col") == c, F.col("value")))
+    rows = cells.where("col in (1, 2)").groupBy(*key, "row").agg(at(1).alias("a"), at(2).alias("b"))
+    alone = F.contains(F.lower("sheet"), F.lit("impedanc"))
+    whole = rows.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    # the n-th whole row from the first on is in row first_row + n - 1 unless a blank one came before it
+    table = whole.where(~alone & (F.col("row") >= first_row))
+    run = Window.partitionBy(*key).orderBy("row")
+    table = table.withColumn("n", F.row_number().over(run)).where(F.col("row") == F.col("n") + first_row - 1).drop("n")
+    both = table.unionByName(whole.where(alone & (F.col("row") == single_row)))
+    return both.select(*key, number(F.col("a")).alias("x"), number(F.col("b")).alias("y")).where("x is not null and y is not null")
 
 
 def dated_values(spark: SparkSession, path: str, values: int, sep: str = ",") -> DataFrame:

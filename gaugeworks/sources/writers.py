@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,7 +18,24 @@ def overwrite(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """Comma-separated with a header; values with a comma, quote or line break are quoted, and quotes in them doubled."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def lines(df: DataFrame, path: str, header: str) -> None:
+    """One text file of the column ``value`` under a header line; for small files that others read."""
+    head = df.sparkSession.range(1).select(F.lit(header).alias("value"))
+    head.unionByName(df.select("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster's machines share, or in local mode in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def tsv(df: DataFrame, path: str) -> None:
