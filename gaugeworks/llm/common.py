@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A group with more than one part in HOT_PARTS of all rows is hot, so at most HOT_PARTS groups are.
 HOT_PARTS = 1000
+#: Rows of a key that one task joins whatever their part in all.
+SMALL = 200
 #: Keys that ``pick`` and ``omit`` broadcast at most (some 20 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -89,12 +91,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """Attach to each row the row of its group, though one group may hold a third of all rows.
 
     ``groups`` has one short row per ``key`` with its number of rows in ``size``; together they hold ``total`` rows.
-    Groups over ``total / HOT_PARTS`` rows are at most HOT_PARTS, so they are broadcast; the rest is joined by
-    a shuffle in which no key is hot.
+    Groups over ``total / HOT_PARTS`` rows are at most HOT_PARTS, so they are broadcast if there are any; the rest is
+    joined by a shuffle in which no key is hot.
     """
     limit = total // HOT_PARTS
-    hot = F.broadcast(groups.where(F.col(size) > limit))
-    cold = groups.where(F.col(size) <= limit)
+    hot = groups.where(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(groups.hint("merge"), key)
+    hot, cold = F.broadcast(hot), groups.where(F.col(size) <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key))
 
 
@@ -103,10 +107,12 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, by: str, total: int
 
     Keys with over ``total / HOT_PARTS`` rows, of which there are fewer than HOT_PARTS, are dealt by the column ``by``
     over as many parts as they need, and the table's row is copied to each part; only those keys and numbers are
-    broadcast.
+    broadcast, if there are any.
     """
     limit = max(1, total // HOT_PARTS)
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(limit, SMALL))
+    if hot.isEmpty():
+        return rows.join(table.hint("merge"), key)
     parts = F.broadcast(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     many = F.coalesce("_parts", F.lit(1))
     dealt = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), many).cast("int")).drop("_parts")

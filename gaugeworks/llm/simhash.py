@@ -111,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     found = components(links(groups.select("fp"), distance))
     named = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    labelled = named.join(ids, "label").select("fp", "n", "component_id")
+    labelled = stage(named.join(ids, "label").select("fp", "n", "component_id"), "labelled")
     return join_groups(rows, labelled, "fp", "n", rows.count()).drop("n")
 
 
@@ -205,6 +205,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, distan
         return found
 
     prints = rows.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n"))
+    prints = scratch.table(prints, "prints")
     firsts = prints.select("fp", "low")
     near = links(firsts.select("fp"), distance)
     near = near.join(firsts.withColumnsRenamed({"fp": "a", "low": "x"}), "a").join(firsts.withColumnsRenamed({"fp": "b", "low": "y"}), "b")
@@ -213,11 +214,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, distan
 
     places = rows.select("key", "size", F.posexplode("head").alias("place", "item"))
     shared = scratch.table(meeting(scratch, places, "key"), "shared")
-    linked = components(found)
     leads = shared.select(F.col("low").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
-    known = linked.select("node", "label")
-    leads = leads.join(known.select(F.col("node").alias("a"), F.col("label").alias("of_a")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("of_b")), "b", "left")
-    stars = verified(leads.where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b"))
+    stars = verified(leads.join(found.hint("merge"), ["a", "b"], "left_anti"))
     found = found.unionByName(stars)
 
     named = shared.drop("low", "n").join(components(found).withColumnRenamed("node", "key").hint("merge"), "key", "left")
