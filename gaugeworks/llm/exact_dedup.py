@@ -58,8 +58,9 @@ class DigestIndex:
     def append(self, groups: DataFrame, batch: str) -> None:
         """Append the (digest, keep_id) of which the index doesn't have the digest; one row a digest is expected."""
         fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        dealt = fresh.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))  # as Spark buckets rows, so that a task writes one file
+        dealt = fresh.select("digest", "keep_id", F.lit(batch).alias("batch")).repartitionById(self.buckets, bucket)
+        dealt.sortWithinPartitions("digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
 
     def known(self, groups: DataFrame) -> DataFrame:
