@@ -122,16 +122,16 @@ class Network:
         return g, logit
 
 
-def windows(n: int) -> list[int]:
+def windows(n: int, stride: int = STRIDE) -> list[int]:
     """Starts of the windows over ``n`` words."""
-    return list(range(0, max(1, n - WINDOW + STRIDE), STRIDE)) if n > WINDOW else [0]
+    return list(range(0, max(1, n - WINDOW + stride), stride)) if n > WINDOW else [0]
 
 
-def place(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def place(rows: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Word rows of texts as (window, step), -1 where a window has no word, and the text each window is of."""
     parts, owners = [], []
     for i, words in enumerate(rows):
-        starts = np.array(windows(len(words)))
+        starts = np.array(windows(len(words), stride))
         at = starts[:, None] + np.arange(WINDOW)
         parts.append(np.where(at < len(words), np.append(words, -1)[np.minimum(at, len(words))], -1))
         owners.append(np.full(len(starts), i))
@@ -184,7 +184,10 @@ class Reader:
 
 
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Adam over the window that scores highest in each document, after a first round over all windows."""
+    """Adam over the window that scores highest in each document, after a first round over all windows.
+
+    Here windows stand side by side, so that every word is in one; scoring has them overlap by half.
+    """
     rng, network = np.random.default_rng(seed), Network(seed)
     p, vocabulary = network.p, {}
     rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
@@ -208,7 +211,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         grams, begin = grams_at(words)
         return p["E"][word_at[words]] + np.add.reduceat(p["C"][grams], begin) / many[words][:, None]
 
-    at, owners = place(rows)
+    at, owners = place(rows, WINDOW)
     y_all = np.array(labels, dtype=np.float32)[owners]
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
