@@ -32,12 +32,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BASE = tuple(PATTERNS)
-#: A character that every match of the kind has, to skip texts without it.
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What every match of the kind has, to skip texts without it.
+NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9]", "phone": "[+][0-9]", "secret": "[0-9]", "number": "[0-9][^A-Za-z]{1,3}[0-9]"}
 #: Kinds that are added, by the pattern of their candidates.
 ADDED = {
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+",
-    "number": r"(?<![A-Za-z0-9+.@_-])(?<!\+[0-9]{1,3}[\x20().-]{0,2})\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){0,2}+(?![A-Za-z0-9@_]|[.-][0-9]|\x20[0-9])",
+    "number": r"(?=[(0-9])(?<![A-Za-z0-9+.@_-])(?<!\+[0-9]{1,3}[\x20().-]{0,2})\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){0,2}+(?![A-Za-z0-9@_]|[.-][0-9]|\x20[0-9])",
 }
 #: Words that announce a kind.
 GAZETTEER = {
@@ -111,7 +111,7 @@ def _running(items: Column, value, combine, zero: Column) -> Column:
     return _with(items, placed)
 
 
-def matches(text: Column, pattern: str, keep, needs: str | None = None) -> Column:
+def matches(text: Column, pattern: str, keep, needs: str = "") -> Column:
     """start, end (code points), hit, before and after of the leftmost non-overlapping matches that ``keep`` accepts.
 
     The text is cut at the matches; a running sum over the gaps and matches gives the places.
@@ -128,17 +128,17 @@ def matches(text: Column, pattern: str, keep, needs: str | None = None) -> Colum
         start = x["before"] + x["item"]["gap"]
         return F.struct(start.alias("start"), (start + x["item"]["n"]).alias("end"), *[x["item"][c].alias(c) for c in ("hit", "before", "after")])
 
-    possible = F.contains(text, F.lit(needs)) if needs else F.lit(True)
+    possible = F.regexp_like(text, F.lit(needs))
     found = F.filter(_with(F.split(text, pattern, -1), spans), keep)
     return F.when(possible & F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    return matches(text, PATTERNS[kind], lambda m: _passes(kind, m["hit"]), NEEDS.get(kind))
+    return matches(text, PATTERNS[kind], lambda m: _passes(kind, m["hit"]), NEEDS[kind])
 
 
 def candidates(text: Column, kind: str) -> Column:
-    return matches(text, ADDED[kind], lambda m: _possible(kind, m["hit"]))
+    return matches(text, ADDED[kind], lambda m: _possible(kind, m["hit"]), NEEDS[kind])
 
 
 def _possible(kind: str, hit: Column) -> Column:
@@ -259,7 +259,7 @@ def added_spans(text: Column, kind: str, model: dict | None) -> Column:
             odds = odds + F.coalesce(F.element_at(table, f[name]), F.lit(0.0))
         return _possible(kind, m["hit"]) & (odds >= 0)
 
-    return matches(text, ADDED[kind], accepted)
+    return matches(text, ADDED[kind], accepted, NEEDS[kind])
 
 
 KINDS = (*BASE, *ADDED)
