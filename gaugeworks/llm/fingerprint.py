@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from gaugeworks.llm.common import documents, text_of
 
 #: Leaves have so many code points at least, and at most where no word ends fittingly.
-SHORTEST, LONGEST = 24, 256
+SHORTEST, LONGEST = 64, 512
 CHUNK = rf"(?s).{{{SHORTEST},{LONGEST}}}?(?:[aenrst.,][\x20\t]|[、。]|\z)|.{{1,{LONGEST}}}"
 #: Digits of the nodes that a fingerprint has below its root: sections and paragraphs, leaves.
 NODE, LEAF = 16, 8

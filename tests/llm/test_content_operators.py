@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -39,7 +40,7 @@ def test_article_without_what_surrounds_it(wrap):
 
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<p>", ""), ("plain text", "plain text"), ("<!-- never closed <p>x</p>", ""), ("<script>x", ""), ("a < b > c", "a < b > c"), ("<p>x&nbsp;&#8364;</p>", "x €")])
 def test_odd_pages(page, want):
-    assert extraction.main_text(page, {}) == want
+    assert extraction.main_text(page, extraction.Weights()) == want
 
 
 def test_best_run_is_the_best_of_all_runs():
@@ -58,7 +59,78 @@ def test_extraction_of_a_table(spark):
     pages = spark.createDataFrame(rows, schema)
     got = extraction.extract(pages, extraction.fit(extraction.labelled_sample(pages)))
     assert keyed(got.collect()) == keyed([(1, "u", TEXT, len(TEXT)), (None, None, "", 0), (2, "v", "x", 1), (2, "v", "x", 1)])
-    assert extraction.extract(pages.limit(0), {}).collect() == [] and extraction.labelled_sample(pages.limit(0)) == []
+    assert extraction.extract(pages.limit(0), extraction.Weights()).collect() == [] and extraction.labelled_sample(pages.limit(0)) == []
+
+
+class Article(HTMLParser):
+    """Text of a page's article without adverts, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.open, self.parts = 0, 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in extraction.VOID:
+            self.parts.append(" " * (tag == "br"))
+            return
+        out = dict(attrs).get("class") == "ad" or tag in ("script", "style", "nav")
+        self.open.append((tag, out))
+        self.depth, self.skip = self.depth + (tag == "article"), self.skip + out
+        self.parts.append(" " * (tag not in extraction.INLINE))
+
+    def handle_endtag(self, tag):
+        while any(x == tag for x, _ in self.open):  # elements that were left open end with it
+            last, out = self.open.pop()
+            self.depth, self.skip = self.depth - (last == "article"), self.skip - out
+            if last == tag:
+                break
+        self.parts.append(" " * (tag not in extraction.INLINE))
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.parts.append(data)
+
+
+def test_held_out_pages_with_and_without_their_mark(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    fitted, held, right, unmarked = pages[::2], pages[1::2], 0, 0
+    weights = extraction.fit(fitted[:100])
+    for page in held:
+        parser = Article()
+        parser.feed(page)
+        want = " ".join("".join(parser.parts).split())
+        right += extraction.main_text(page, weights) == want
+        unmarked += extraction.main_text(page.replace("<article", "<div").replace("</article", "</div"), weights) == want
+    assert len(held) > 100 and right == len(held) and unmarked / len(held) > 0.95
+
+
+def test_names_are_weighed_by_what_they_hold():
+    body = " ".join(f"word{i}" for i in range(60))
+    assert [extraction.suspect(x) for x in ("sidebar-left", "ad", "social-history", "related-work", "share-buttons")] == [True, True, False, False, True]
+    page = f'<html><body><div class="social-history"><p>{body}</p></div><div class="comments">{body} {body}</div></body></html>'
+    assert extraction.main_text(page, extraction.Weights()) == body
+    holding = [f'<div class="widget"><article><p>{body}</p><div class="ad">buy it</div></article></div><div class="zone7"><p>{body}</p></div>'] * 30
+    weights = extraction.fit(holding)
+    assert weights.names["widget"] > 0 > weights.names["zone7"] and "ad" not in weights.names
+    assert extraction.main_text(f'<div class="widget"><p>{body}</p></div><div class="zone7"><p>other</p></div><div class="ad">buy</div>', weights) == body
+    assert extraction.main_text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", extraction.Weights()) == "so x=2 holds"
+
+
+def test_stray_ends_in_deep_nesting_cost_about_their_number():
+    def seconds(n):
+        began = time.monotonic()
+        extraction.tokens("<b>" * n + "</i>" * n)
+        return time.monotonic() - began
+
+    seconds(1000)
+    assert seconds(16000) < 4 * seconds(8000) + 0.2
+
+
+def test_very_long_pages_are_read_whole(spark):
+    words = " ".join(f"word{i}" for i in range(100_000))
+    page = SHELL % f"<article><p>{words}</p></article>"
+    docs = spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")
+    assert extraction.extract(docs, extraction.fit([SHELL % f"<article>{ARTICLE}</article>"] * 3)).first().text == words
 
 
 # --- PII
@@ -291,10 +363,11 @@ def brute_tree(text):
         for p in s.split("\n"):
             leaves, at = [], 0
             while at < len(p):
-                ends = [e for e in range(at + 25, min(len(p), at + 257) + 1) if e == len(p) or p[e - 1] in "、。"] + [e for e in range(at + 26, min(len(p), at + 258) + 1) if p[e - 1] in " \t" and p[e - 2] in "aenrst.,"]
-                if len(p) - at in range(24, 257):
+                low, high = at + fingerprint.SHORTEST, at + fingerprint.LONGEST
+                ends = [e for e in range(low + 1, min(len(p), high + 1) + 1) if p[e - 1] in "、。"] + [e for e in range(low + 2, min(len(p), high + 2) + 1) if p[e - 1] in " \t" and p[e - 2] in "aenrst.,"]
+                if low <= len(p) <= high:
                     ends.append(len(p))
-                end = min(ends, default=min(len(p), at + 256))
+                end = min(ends, default=min(len(p), high))
                 leaves.append(sha(p[at:end]))
                 at = end
             paragraphs.append((sha(".".join(leaves)), leaves))
