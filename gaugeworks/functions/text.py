@@ -36,6 +36,15 @@ def number_or_zero(text: Column) -> Column:
     return F.coalesce(number(text), F.lit(0.0))
 
 
+def holds(text: Column, part: str) -> Column:
+    """Whether the text has the part, regardless of case; no sign in the part has a meaning of its own."""
+    return F.contains(F.lower(text), F.lit(part.lower()))
+
+
+def under(path: Column, prefix: str) -> Column:
+    return F.startswith(path, F.lit(prefix))
+
+
 def percent(text: Column) -> Column:
     return F.regexp_replace(text, r"[%\s]", "").try_cast("double")
 

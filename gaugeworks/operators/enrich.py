@@ -5,7 +5,7 @@ Dimensions are joined without a broadcast hint: Spark broadcasts those under its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import normalize
@@ -67,6 +67,17 @@ def coverage(rows: DataFrame, dimension: DataFrame, key: list[str]) -> DataFrame
     )
 
 
+def with_children(parents: DataFrame, children: DataFrame, key: str, child_key: str, **measures: Column) -> DataFrame:
+    """Each parent with ``children``, the number of its rows in ``children``, and what ``measures`` makes of them (null without any)."""
+    counted = children.groupBy(F.col(child_key).alias(key)).agg(F.count("*").alias("children"), *[m.alias(n) for n, m in measures.items()])
+    return parents.join(counted, key, "left").fillna(0, ["children"])
+
+
+def difference(rows: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
+    """Rows whose key isn't among the other's."""
+    return rows.join(other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti")
+
+
 def expand_groups(rows: DataFrame, members: DataFrame, key: str = "supplier") -> DataFrame:
     """A row for each group that the row belongs to; rows of no group stand for their own line_shift."""
     return rows.join(members, key, "left").withColumn("grp", F.coalesce("grp", "line_shift"))

@@ -24,6 +24,11 @@ def top(rows: DataFrame, n: int, measure: str, ties: list[str]) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(measure), *ties)))
 
 
+def latest(rows: DataFrame, order: str, ties: list[str], n: int = 1) -> DataFrame:
+    """The ``n`` rows that come last by ``order``."""
+    return rows.orderBy(F.desc(order), *ties).limit(n)
+
+
 def top_by(rows: DataFrame, group: str, n: int, measure: str, ties: list[str]) -> DataFrame:
     at = Window.partitionBy(group).orderBy(F.desc(measure), *ties)
     return rows.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= n)

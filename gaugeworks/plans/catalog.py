@@ -61,7 +61,7 @@ def r6(c):
 # --- sources -------------------------------------------------------------------------------------------------------
 
 query("src01_scan", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
-query("src02_equal", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#2'")(lambda s, d: table(s, d, "part").where("p_brand = 'Brand#2'").select("p_partkey", "p_name"))
+query("src02_equal", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#2'")(lambda s, d: readers.where_all(table(s, d, "part"), {"p_brand": "Brand#2"}).select("p_partkey", "p_name"))
 query("src03_all_equal", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' AND p_type = 'PROMO'")(lambda s, d: readers.where_all(table(s, d, "part"), {"p_brand": "Brand#2", "p_type": "PROMO"}).select("p_partkey"))
 
 
@@ -142,8 +142,8 @@ query("flt01_members", "SELECT count(*) AS n, sum(input) AS input FROM facts WHE
 query("flt02_defects", "SELECT rid, ng_qty FROM facts WHERE ng_qty > 0 AND day BETWEEN DATE '1996-01-01' AND DATE '1996-01-31'", "facts")(
     lambda s, d: facts(s, d).where("ng_qty > 0 and day between date'1996-01-01' and date'1996-01-31'").select("rid", "ng_qty")
 )
-query("flt05_contains", "SELECT c_custkey FROM customer WHERE contains(lower(c_mktsegment), lower('BUILD'))")(lambda s, d: table(s, d, "customer").where("contains(lower(c_mktsegment), lower('BUILD'))").select("c_custkey"))
-query("flt06_prefix", "SELECT page_id FROM pages WHERE starts_with(url, 'https://')")(lambda s, d: table(s, d, "pages").where(F.col("url").startswith("https://")).select("page_id"))
+query("flt05_contains", "SELECT c_custkey FROM customer WHERE contains(lower(c_mktsegment), lower('BUILD'))")(lambda s, d: table(s, d, "customer").where(text.holds(F.col("c_mktsegment"), "BUILD")).select("c_custkey"))
+query("flt06_prefix", "SELECT page_id FROM pages WHERE starts_with(url, 'https://')")(lambda s, d: table(s, d, "pages").where(text.under(F.col("url"), "https://")).select("page_id"))
 query("flt07_flt11_tags", """WITH t AS (SELECT c_custkey, [lower(c_mktsegment), 's' || (c_nationkey % 4)] AS tags FROM customer)
   SELECT c_custkey, list_has_any(tags, ['building', 's1']) AS any_of, list_has_all(tags, ['building', 's1']) AS all_of FROM t""")(
     lambda s, d: table(s, d, "customer").select("c_custkey", F.array("c_mktsegment", F.concat(F.lit("S"), (F.col("c_nationkey") % 4).cast("string"))).alias("tags")).select("c_custkey", datasets.tags_any(F.col("tags"), ["Building", "S1"]).alias("any_of"), datasets.tags_all(F.col("tags"), ["Building", "S1"]).alias("all_of"))
@@ -172,10 +172,10 @@ query("jn07_missing_reasons", "SELECT DISTINCT process, ng FROM facts ANTI JOIN
 query("jn08_vl03_coverage", """SELECT count(*) FILTER (k) AS applied_rows, count(*) FILTER (k IS NULL) AS missing_rows, count(DISTINCT (material, code, process)) FILTER (k IS NULL) AS missing_keys
   FROM facts LEFT JOIN (SELECT DISTINCT material, code, process, true AS k FROM routing) USING (material, code, process)""", "facts routing")(lambda s, d: enrich.coverage(facts(s, d), routing(s, d), enrich.ROUTE))
 query("jn11_count_children", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")(
-    lambda s, d: table(s, d, "customer").join(table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
+    lambda s, d: enrich.with_children(table(s, d, "customer").select("c_custkey"), table(s, d, "orders"), "c_custkey", "o_custkey").withColumnRenamed("children", "orders")
 )
 query("jn13_scalar_subqueries", "SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n, (SELECT max(l_quantity) FROM lineitem WHERE l_suppkey = s_suppkey) AS most FROM supplier")(
-    lambda s, d: table(s, d, "supplier").join(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.max("l_quantity").alias("most")), "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n"), "most")
+    lambda s, d: enrich.with_children(table(s, d, "supplier").select("s_suppkey"), table(s, d, "lineitem"), "s_suppkey", "l_suppkey", most=F.max("l_quantity")).withColumnRenamed("children", "n")
 )
 query("jn14_groups", GROUPED + " SELECT grp, count(*) AS n, sum(input) AS input FROM grouped GROUP BY 1", "facts members")(lambda s, d: grouped(s, d).groupBy("grp").agg(F.count("*").alias("n"), F.sum("input").alias("input")))
 query("jn17_same_files", "WITH f AS (SELECT url AS path, strlen(html) AS bytes, sha256(html) AS hash FROM pages), g AS (SELECT bytes, hash, min(path) AS first_path, count(*) AS copies FROM f GROUP BY ALL HAVING count(*) > 1) SELECT path, bytes, hash, first_path, copies FROM f JOIN g USING (bytes, hash)")(
@@ -299,15 +299,15 @@ query("wn10_fill", """WITH x AS (SELECT user_id, event_id, CASE WHEN event_id %
 query("wn11_newest_periods", f"{COMBOS}, k AS (SELECT kind, key FROM (SELECT DISTINCT kind, key FROM c) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY key DESC) <= CASE kind WHEN 'D' THEN 10 WHEN 'W' THEN 4 ELSE 3 END) SELECT * FROM c SEMI JOIN k USING (kind, key)", "facts routing by_grain")(
     lambda s, d: rates.combo_ppm(ranking.newest(rated(s, d), {"D": 10, "W": 4, "M": 3}), COMBO)
 )
-query("wn12_latest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 7")(lambda s, d: table(s, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(7))
+query("wn12_latest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 7")(lambda s, d: ranking.latest(table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", ["o_orderkey"], 7))
 
 # --- sets and shapes -----------------------------------------------------------------------------------------------
 
 query("set02_union_missing", "SELECT n_name AS name, n_nationkey AS a, NULL::INTEGER AS b FROM nation UNION ALL SELECT r_name, NULL, r_regionkey FROM region")(
-    lambda s, d: table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("a")).unionByName(table(s, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("b")), allowMissingColumns=True)
+    lambda s, d: readers.union_all_columns([table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("a")), table(s, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("b"))])
 )
 query("set04_difference", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
-    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).join(table(s, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    lambda s, d: enrich.difference(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "orders"), "k", "o_custkey")
 )
 query("rs05_long_form", "SELECT p_partkey, unnest(['p_retailprice', 'p_size']) AS name, unnest([p_retailprice, p_size::DOUBLE]) AS y FROM part")(
     lambda s, d: quality.long_form(table(s, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size")), ["p_partkey"], ["p_retailprice", "p_size"])

@@ -420,9 +420,13 @@ query("prj15_keep_and_drop", "SELECT p_partkey, p_name FROM part")(lambda s, d:
 query("prj16_set05_common_columns", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")(
     lambda s, d: readers.common_columns(table(s, d, "nation"), s.createDataFrame([], "n_nationkey int, extra string, n_name string"), ("n_regionkey", [1, 3]))
 )
-query("flt10_exists", "SELECT true AS t, true AS c, false AS no_column, false AS no_table")(
-    lambda s, d: [table(s, d, "nation").createOrReplaceTempView("nation_of_flt10"), s.range(1).select(*[F.lit(readers.exists(s, *a)).alias(n) for n, a in (("t", ("nation_of_flt10",)), ("c", ("nation_of_flt10", "N_Name")), ("no_column", ("nation_of_flt10", "x")), ("no_table", ("nothing_of_flt10",)))])][1]
-)
+@query("flt10_exists", "SELECT true AS t, true AS c, false AS no_column, false AS no_table")
+def _(s, d):
+    table(s, d, "nation").createOrReplaceTempView("nation_of_flt10")
+    asked = {"t": ("nation_of_flt10",), "c": ("nation_of_flt10", "N_Name"), "no_column": ("nation_of_flt10", "x"), "no_table": ("nothing_of_flt10",)}
+    return s.range(1).select(*[F.lit(readers.exists(s, *a)).alias(n) for n, a in asked.items()])
+
+
 query("set01_fresh_and_cached", "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1998-07-01' THEN 'fetch' ELSE 'cache' END AS source FROM orders")(
     lambda s, d: table(s, d, "orders").where("o_orderdate >= timestamp_ntz'1998-07-01'").select("o_orderkey", F.lit("fetch").alias("source")).unionByName(table(s, d, "orders").where("o_orderdate < timestamp_ntz'1998-07-01'").select("o_orderkey", F.lit("cache").alias("source")))
 )

@@ -22,6 +22,11 @@ def union_like_first(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select(*first)
 
 
+def union_all_columns(tables: list[DataFrame]) -> DataFrame:
+    """All rows by name, with every column that any table has."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def with_separators(tables: list[DataFrame]) -> DataFrame:
     """The rows of all tables by name, and after each table an empty row."""
     spark = tables[0].sparkSession
