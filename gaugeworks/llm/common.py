@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group with more than one part in HOT_PARTS of all rows is hot, so at most HOT_PARTS groups are.
 HOT_PARTS = 1000
+#: Bytes of a batch for a Python worker.
+BATCH_BYTES = 4 << 20
 #: Rows of a key that one task joins whatever their part in all.
 SMALL = 200
 #: Keys that ``pick`` and ``omit`` broadcast at most (some 20 MB); more are joined by a shuffle.
@@ -87,6 +90,22 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python workers have about BATCH_BYTES, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_forget: list = []
+
+
+def hold(forget) -> None:
+    """Make the caches that ``forget`` empties the only ones of this Python worker, which tasks of several operators use in turn."""
+    if _forget and _forget[0] is not forget:
+        _forget[0]()
+        pa.default_memory_pool().release_unused()
+    _forget[:] = [forget]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Attach to each row the row of its group, though one group may hold a third of all rows.
 

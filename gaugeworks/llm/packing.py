@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import Scratch, documents, stage
+from gaugeworks.llm.common import Scratch, documents, small_batches, stage
 from gaugeworks.llm.word_tokens import encoded, vocabulary_path
 
 CAPACITY = 2048
@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
             columns = [batch["doc_id"].take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 

@@ -31,6 +31,10 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """The sorted 64-bit hashes of the text's distinct word shingles, A-Z lower-cased; one of all words if they are fewer.
 

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gaugeworks.llm.common import Scratch, documents, free, join_groups, join_spread, omit, pick, stage, text_of
-from gaugeworks.llm.shingles import AT_ONCE, SEED, common_shingles, head, jaccard, may_be_similar, parity, shingle_set
+from gaugeworks.llm.common import Scratch, documents, free, hold, join_groups, join_spread, omit, pick, small_batches, stage, text_of
+from gaugeworks.llm.shingles import AT_ONCE, SEED, common_shingles, forget, head, jaccard, may_be_similar, parity, shingle_set
 
 BITS = 64
 
@@ -125,6 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp (long), component_id (smallest doc_id of the component), for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = stage(docs.select("doc_id", fingerprint_column(shingle)(text_of()).alias("fp")), "fingerprints")
     groups = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     found = components(links(groups.select("fp"), distance))
@@ -154,10 +155,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, distan
     aren't similar, and none that is. Texts are told apart by ``mark``, a 64-bit hash; equal texts are one node. Of a
     group the row with the smallest doc_id stays (nulls last, then the smallest mark).
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
+    scratch = Scratch(docs.sparkSession, "near")
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<bigint>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold(forget)
         for texts in batches:
             for i in range(0, len(texts), AT_ONCE):
                 yield pd.Series([shingle_set(t, shingle) for t in texts[i : i + AT_ONCE]])
@@ -167,6 +170,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, distan
 
     @F.pandas_udf("fp bigint, head array<bigint>, odd array<bigint>, size int")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold(forget)
         for texts in batches:
             for i in range(0, len(texts), AT_ONCE):
                 found = (shingle_set(t, shingle) for t in texts[i : i + AT_ONCE])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents
+from gaugeworks.llm.common import documents, hold, small_batches
 
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 13, 1 << 13, 16, 8
 WINDOW, STRIDE = 32, 16
@@ -41,6 +41,10 @@ WORD = re.compile(r"\w{1,40}")
 _readers: dict[int, Reader] = {}
 
 
+def forget() -> None:
+    _readers.clear()
+
+
 def features(word: str) -> tuple[int, list[int]]:
     """Hashed places of a word and of its character trigrams, ends marked."""
     data = f"^{word}$"
@@ -280,6 +284,7 @@ def scored(params: dict[str, np.ndarray] | None):
 
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold(forget)
         if params is not None and key not in _readers:
             _readers.clear()
             _readers[key] = Reader(params)
@@ -293,12 +298,14 @@ def scored(params: dict[str, np.ndarray] | None):
 
 def score(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(params)(F.col("text")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
     """The rows of ``docs`` that score under 0.5, with all their columns."""
+    small_batches(docs.sparkSession)
     return docs.where(scored(params)(F.col("text")) < 0.5)
 
 

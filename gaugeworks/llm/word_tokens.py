@@ -17,6 +17,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
+from gaugeworks.llm.common import hold
+
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens kept in a worker; beyond that the half met last is dropped. Others go to the library again.
 KEPT = 400_000
@@ -24,12 +26,21 @@ KEPT = 400_000
 LETTERS, NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The vocabulary's own split pattern (a fixed value of the file), with these characters for its classes.
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: The file's own steps, for which lower case and PRE_TOKEN stand.
+STEPS = (
+    b'{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}]}',
+    b'{"type":"Sequence","pretokenizers":[{"type":"Split","pattern":{"Regex":"\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"},"behavior":"Removed","invert":true},{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":false}]}',
+)
 #: Characters on which Python's and the library's lower-casing, composition and classes agree.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
 
 _tokenizers: dict[str, WordTokens] = {}
 
 
+def forget() -> None:
+    _tokenizers.clear()
+
+
 class WordTokens:
     """The library's tokenizer and the ids of the pre-tokens met.
 
@@ -43,6 +54,8 @@ class WordTokens:
 
         self.path, self.library = path, None
         self.parts = Tokenizer.from_file(path)
+        steps = self.parts.normalizer, self.parts.pre_tokenizer
+        self.fits = tuple(s and s.__getstate__() for s in steps) == STEPS  # else every text goes to the library whole
         self.parts.normalizer = None
         self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
@@ -66,7 +79,7 @@ class WordTokens:
         found, open_places, new = [], [], {}
         get = self.known.get
         for text in texts:
-            if not PLAIN.fullmatch(text) or "<|" in text:
+            if not self.fits or not PLAIN.fullmatch(text) or "<|" in text:
                 found.append(self.whole(text))
                 continue
             words = PRE_TOKEN.findall(text.lower())
@@ -93,6 +106,7 @@ class WordTokens:
 
 def encoded(texts: pa.Array, path: str, at_once: int = 200) -> Iterator[bytes]:
     """The ids of each text of a column, null as the empty text, in blocks that bound what is held."""
+    hold(forget)
     tokenizer = WordTokens.of(path)
     for i in range(0, len(texts), at_once):
         yield from tokenizer.encode([t or "" for t in texts.slice(i, at_once).to_pylist()])
