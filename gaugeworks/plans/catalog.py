@@ -374,7 +374,7 @@ query("st09_failed_groups", f"{LIMITS} SELECT count(*) AS n, count(*) FILTER (ba
 query("st10_st11_regression", f"""{LIMITS} SELECT name, count(*) AS n, round(regr_slope(y, x), 4) AS slope, round(regr_r2(y, x), 4) AS r2, round(sqrt((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2)), 4) AS residual_sigma FROM v GROUP BY 1""")(
     lambda s, d: quality.regression(values(s, d), ["name"]).select("name", "n", *[F.round(c, 4).alias(c) for c in ("slope", "r2", "residual_sigma")])
 )
-query("st13_jn15_pairwise", """SELECT 'q' AS x_name, 'p' AS y_name, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem UNION ALL SELECT 'q', 'd', count(*), round(regr_slope(l_discount, l_quantity), 4) FROM lineitem UNION ALL SELECT 'p', 'd', count(*), round(regr_slope(l_discount, l_extendedprice), 4) FROM lineitem""")(
+query("st13_jn15_pairwise", """SELECT 'q' AS x_name, 'p' AS y_name, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 AS slope FROM lineitem UNION ALL SELECT 'q', 'd', count(*), round(regr_slope(l_discount, l_quantity), 4) + 0.0 FROM lineitem UNION ALL SELECT 'p', 'd', count(*), round(regr_slope(l_discount, l_extendedprice), 4) + 0.0 FROM lineitem""")(
     lambda s, d: quality.pairwise(table(s, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d")), ["q", "p", "d"]).select("x_name", "y_name", "n", F.round("slope", 4).alias("slope"))
 )
 query("st23_convex_hull")(lambda s, d: quality.convex_hull(values(s, d), "name"))
