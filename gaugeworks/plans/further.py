@@ -145,8 +145,9 @@ query("ag18_mean_of_means", f"SELECT process, round(coalesce(avg(m) FILTER (m >
 query("ag29_source_rows", "SELECT rid, line, process, ng, input, ng_qty FROM facts WHERE process = '1-URGENT' AND ng = 'PROMO' AND line = 'L1' AND day = DATE '1996-03-04'", "facts")(
     lambda s, d: readers.where_all(facts(s, d), {"process": "1-URGENT", "ng": "PROMO", "line": "L1"}).where("day = date'1996-03-04'").select("rid", "line", "process", "ng", "input", "ng_qty")
 )
-query("snk04_export_rows", f"WITH {ROUTES}, c AS (SELECT process_type, process, ng, {PPM} AS ppm FROM (SELECT f.*, coalesce(e.pt, l.pt, '') AS process_type FROM facts f {ROUTE}) WHERE material = 'Brand#11' AND code = 'P1' GROUP BY ALL) SELECT process_type, process, ng, nullif(ppm, 0) AS ppm, row_number() OVER (ORDER BY {RANK}, process, ng, process_type)::INTEGER AS no FROM c", "facts routing")(
-    lambda s, d: reports.export_rows(rates.combo_ppm(routed(s, d).where("material = 'Brand#11' and code = 'P1'"), DEFECT), DEFECT)
+query("snk04_export_rows", f"""WITH {ROUTES}, c AS (SELECT process_type, process, ng, material, code, {PPM} AS ppm FROM (SELECT f.*, coalesce(e.pt, l.pt, '') AS process_type FROM facts f {ROUTE}) GROUP BY ALL)
+  SELECT process_type, process, ng, material, code, nullif(ppm, 0) AS ppm, no FROM c JOIN (SELECT *, row_number() OVER (ORDER BY {RANK}, process, ng, process_type)::INTEGER AS no FROM (SELECT DISTINCT process_type, process, ng FROM c)) USING (process_type, process, ng)""", "facts routing")(
+    lambda s, d: reports.export_rows(rates.combo_ppm(routed(s, d), [*DEFECT, "material", "code"]), DEFECT)
 )
 
 ITEMS = """items AS (SELECT r_name AS grp, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE n_name END AS material, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'big' ELSE 'big' || chr(31) || 'k' || (s_suppkey % 2) END AS path,
@@ -201,7 +202,7 @@ query("ag24_top_defects", """WITH c AS (SELECT dataset, defect_type, sum(defect_
   SELECT m.dataset, 'maxNgRate=' || printf('%.1f', m.r) || '%, topDefects=[' || coalesce(t.l, 'none') || ']' AS summary FROM (SELECT dataset, max(ng_rate * 100) AS r FROM measurements GROUP BY 1) m
   LEFT JOIN (SELECT dataset, string_agg(defect_type || '(' || n || ')', ', ' ORDER BY n DESC, defect_type) AS l FROM k GROUP BY 1) t USING (dataset)""", "measurements")(lambda s, d: rates.defect_summary(measurements(s, d).withColumn("ng_rate", F.col("ng_rate") * 100), "dataset"))
 
-NAMED = f"""n AS (SELECT p_partkey, p_size, p_type, {NAME} AS name, lpad(p_partkey::VARCHAR, 10, '0') AS rid FROM part), t AS (SELECT * FROM n WHERE p_size % 3 <> 0)"""
+NAMED = f"""n AS (SELECT p_partkey, p_size, p_type, {NAME} AS name, lpad(p_partkey::VARCHAR, 10, '0') AS rid FROM part), t AS (SELECT * FROM n)"""
 EXACT = "lower(trim({}))"
 
 
@@ -243,10 +244,10 @@ def ruled():
 
 
 query("ml01_ml02_reason", predicted("arg_min", 0.55, ""))(
-    lambda s, d: rounded(classifier.predict(asked(s, d), classifier.train(name_rows(s, d).where("p_size % 3 <> 0"), ("name",), "p_type")), "confidence")
+    lambda s, d: rounded(classifier.predict(asked(s, d), classifier.train(name_rows(s, d), ("name",), "p_type")), "confidence")
 )
 query("ml03_ml04_process_type", predicted("arg_max", 0.5, "MAIN", ruled()))(
-    lambda s, d: rounded(classifier.predict(asked(s, d), classifier.train(name_rows(s, d).where("p_size % 3 <> 0"), ("name",), "p_type", "last"), classifier.by_keywords("name"), 0.5, ("MAIN", 0.5)), "confidence")
+    lambda s, d: rounded(classifier.predict(asked(s, d), classifier.train(name_rows(s, d), ("name",), "p_type", "last"), classifier.by_keywords("name"), 0.5, ("MAIN", 0.5)), "confidence")
 )
 query("ml04_last_wins", f"WITH {NAMED} SELECT name, arg_max(p_type, rid) AS p_type FROM n GROUP BY 1")(
     lambda s, d: classifier.looked_up(name_rows(s, d), classifier.train(name_rows(s, d), ("name",), "p_type", "last"))
@@ -383,21 +384,21 @@ def written_dates(s, d):
     found = F.lit(None).cast("string")
     for i, (f, _) in enumerate(FORMATS):
         found = F.when(n == i, F.date_format(day, f)).otherwise(found)
-    return table(s, d, "orders").where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)").select("o_orderkey", F.concat(F.lit(" "), found).alias("t"))
+    return table(s, d, "orders").select("o_orderkey", F.concat(F.lit(" "), found).alias("t"))
 
 
-PARSED = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN " + ("NULL" if sql == "" else "day" if sql else "make_date(2023, month(day), day(day))") for i, (_, sql) in enumerate(FORMATS)) + " END"
-query("fn07_prj07_parse_date", f"SELECT o_orderkey, {PARSED} AS day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) WHERE NOT (month(day) = 2 AND day(day) = 29)")(
-    lambda s, d: written_dates(s, d).select("o_orderkey", text.parse_date(F.col("t"), 2023).alias("day"))
+PARSED = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN " + ("NULL" if sql == "" else "day" if sql else "make_date(2024, month(day), day(day))") for i, (_, sql) in enumerate(FORMATS)) + " END"
+query("fn07_prj07_parse_date", f"SELECT o_orderkey, {PARSED} AS day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)")(
+    lambda s, d: written_dates(s, d).select("o_orderkey", text.parse_date(F.col("t"), 2024).alias("day"))
 )
-query("prj07_rows_with_dates", "SELECT kind, count(*) AS n FROM (SELECT o_orderkey, unnest(['D', 'W', 'M']) AS kind FROM orders WHERE o_orderkey % 9 <> 8 AND NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)) GROUP BY 1")(
-    lambda s, d: periods.by_grain(written_dates(s, d).select(text.parse_date(F.col("t"), 2023).alias("day"))).groupBy("kind").agg(F.count("*").alias("n"))
+query("prj07_rows_with_dates", "SELECT kind, count(*) AS n FROM (SELECT o_orderkey, unnest(['D', 'W', 'M']) AS kind FROM orders WHERE o_orderkey % 9 <> 8) GROUP BY 1")(
+    lambda s, d: periods.by_grain(written_dates(s, d).select(text.parse_date(F.col("t"), 2024).alias("day"))).groupBy("kind").agg(F.count("*").alias("n"))
 )
 query("fn08_dd07_numbers", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN 1234567.5 END AS n, CASE p_size % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN 1234567.5 ELSE 0 END AS z FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), F.col("p_retailprice").cast("string"))).when(F.col("p_size") % 3 == 1, "1,234,567.5").otherwise("n/a").alias("t")).select("p_partkey", text.number(F.col("t")).alias("n"), text.number_or_zero(F.col("t")).alias("z"))
 )
-query("fn09_same_date", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS same FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")(
-    lambda s, d: table(s, d, "orders").where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 4).alias("k"))
+query("fn09_same_date", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS same FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 4).alias("k"))
     .select("o_orderkey", text.same_date(F.when(F.col("k") == 1, " Same TEXT").otherwise(F.date_format("day", "yyyy-MM-dd")), F.when(F.col("k") == 1, "same text ").when(F.col("k") == 3, "1901-01-01").when(F.col("k") == 2, F.date_format("day", "d-MMM-yyyy")).otherwise(F.date_format("day", "yyyy/MM/dd")), 2023).alias("same"))
 )
 query("fn12_percent", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size + 0.5 END::DOUBLE AS pct FROM part")(
