@@ -94,11 +94,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str |
     index = index or DigestIndex(spark, new_path(spark, "digest-index"))
     found = verdicts(docs, index, batch)
     each = found.groupBy("digest", "doc_id", "kept", "mark").agg(F.count("*").alias("n"))
-    ends = each.where("kept").groupBy("digest").agg(F.min("mark").alias("first"))
-    marked = each.join(ends.hint("merge"), "digest", "left")
-    stays = F.col("kept") & (F.col("mark") == F.col("first"))
+    spellings = each.where("kept")  # of each text those of one doc_id, so that no join has all copies of a text
+    ends = spellings.groupBy("digest").agg(F.min("mark").alias("first"))
+    stays = F.col("mark") == F.col("first")
+    marked = spellings.join(ends.hint("merge"), "digest").where(~stays | (F.col("n") > 1))
     one, mark = by = free(docs, "exact_id", "exact_mark")
-    out = scratch.table(marked.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(one), F.col("mark").alias(mark), stays.alias("again")), "out")
+    named = (F.col("doc_id").alias(one), F.col("mark").alias(mark))
+    out = scratch.table(each.where("not kept").select(*named, F.lit(False).alias("again")).unionByName(marked.select(*named, stays.alias("again"))), "out")
     own, columns = docs.select("*", F.col("doc_id").alias(one), F.xxhash64(text_of()).alias(mark)), [F.col(f"`{c}`") for c in docs.columns]
     once, again = omit(own, out, by).select(*columns), out.where("again")
     if again.isEmpty():
