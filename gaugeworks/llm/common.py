@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group with more than one part in HOT_PARTS of all rows is hot, so at most HOT_PARTS groups are.
@@ -81,7 +83,11 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that ``table`` gave."""
         for df in tables:
-            delete(self.spark, self.places[id(df)])
+            delete(self.spark, self.places.pop(id(df)))
+
+    def clear(self) -> None:
+        """Delete all that is left; nothing made of the tables may be read later."""
+        delete(self.spark, self.path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -95,6 +101,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Inside, batches for Python workers have about ``size`` bytes; for steps that also run inside, as staged tables do."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 _forget: list = []
 
 
@@ -106,6 +124,21 @@ def hold(forget) -> None:
     _forget[:] = [forget]
 
 
+def ranked(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """Add ``place``, each row's number from 0 in a global order; ``rows`` should be a written table, as it is read twice.
+
+    Rows are dealt by ranges of the order and sorted within them; a row's place is that in its range and the rows of the
+    ranges before. Ranges are as many as the session's shuffle partitions at most, so their totals are broadcast.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    found = scratch.table(sorted_, "ranked")
+    pid = F.shiftright("_at", 33)
+    ahead = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = found.groupBy(pid.alias("_pid")).count().select("_pid", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
+    placed = found.withColumn("_pid", pid).join(F.broadcast(totals), "_pid")
+    return placed.withColumn("place", F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_pid", "_at", "_ahead")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Attach to each row the row of its group, though one group may hold a third of all rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import byte_bpe, exact_dedup, extraction, fingerprint, packing, pii, sharding, simhash, token_file, toxicity
+from gaugeworks.llm import alignment, byte_bpe, exact_dedup, extraction, fingerprint, mixing, packing, pii, resampling, sharding, simhash, token_file, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_fingerprints": fingerprint.op10_fingerprints,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_alignment": alignment.op13_alignment,
 }
-ORACLES = {"op7_exact_dedup": exact_dedup.OP7_SQL}
+ORACLES = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op11_resampling": resampling.OP11_SQL, "op12_mixing": mixing.OP12_SQL}
