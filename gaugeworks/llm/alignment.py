@@ -16,11 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-from array import array
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import chain, compress, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +34,7 @@ KEPT, KEPT_LENGTH = 300_000, 48
 #: Fixed value: the split of A's file, which puts a boundary before each space that follows a visible character.
 A_SPLIT = b'{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true}'
 #: A word that ends so is never continued over the space behind it.
-VISIBLE = re.compile(r"[!-~\xa1-\xac\xae-ɏ]\Z")
+VISIBLE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250)]))
 STAGED = "block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, at array<int>, times array<int>, code bigint, n bigint"
 COLUMNS = [c.split()[0] for c in STAGED.split(", ")]
 EMPTY = (0, 0, "", b"")
@@ -59,12 +56,12 @@ def byte_of_character() -> dict[str, int]:
 class Intervals:
     """The byte ranges of tokens side by side, as their ends."""
 
-    def __init__(self, sizes: Iterator[int]):
-        self.ends = list(accumulate(sizes))
+    def __init__(self, sizes: np.ndarray):
+        self.ends = np.cumsum(sizes)
 
-    def overlapping(self, low: int, high: int) -> tuple[int, int]:
-        """The first and last token that share a byte with ``low`` to ``high``."""
-        return bisect_right(self.ends, low), bisect_left(self.ends, high)
+    def overlapping(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and last token that share a byte with each range from ``low`` to ``high``, by bisection."""
+        return np.searchsorted(self.ends, low, "right"), np.searchsorted(self.ends, high, "left")
 
 
 class Aligner:
@@ -79,7 +76,10 @@ class Aligner:
         self.a_bytes = {i: bytes(map(byte.get, t)) if set(t) <= set(byte) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = {i: len(t) for i, t in self.a_bytes.items()}, list(map(len, self.b_bytes))
+        self.a_size, self.b_size = np.zeros(max(self.a_bytes) + 1, np.int64), np.array(list(map(len, self.b_bytes)))
+        self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
+        # a token's decimal id and what follows it: the next of its side, B's side, the next group, the next text
+        self.written = [f"{i}{end}" for i in range(max(len(self.a_size), len(self.b_size))) for end in ",|;\n"]
         # words stand alone if A splits before their space and no piece of B runs over one
         self.by_word = self.a.normalizer is None and self.a.pre_tokenizer.__getstate__() == A_SPLIT and not any("▁" in p.lstrip("▁") for p in pieces)
         self.known: dict[str, tuple] = {}
@@ -91,28 +91,42 @@ class Aligner:
             _aligners[a_path, b_path] = cls(a_path, b_path)
         return _aligners[a_path, b_path]
 
-    def link(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
-        """Groups as text, and every link's pair of ids as a 64-bit number, B's in the high half."""
-        index, links, groups = Intervals(map(self.b_size.__getitem__, b)), array("q"), []
-        low = a_from = b_from = 0
-        for i, token in enumerate(a):
-            high = low + self.a_size[token]
-            first, last = index.overlapping(low, high)
-            links.extend(b[j] << 32 | token for j in range(first, last + 1))
-            if index.ends[last] == high:
-                groups.append(f"{','.join(map(str, a[a_from : i + 1]))}|{','.join(map(str, b[b_from : last + 1]))}")
-                a_from, b_from = i + 1, last + 1
-            low = high
-        return ";".join(groups), links.tobytes()
+    def link(self, a: np.ndarray, b: np.ndarray, last_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups of every text as text, all links' pairs of ids (B's in the high half), and how many each A token has.
+
+        The tokens of many texts are given in a row; ``last_b`` says where each text's B tokens end.
+        """
+        index, high = Intervals(self.b_size[b]), np.cumsum(self.a_size[a])
+        first, last = index.overlapping(high - self.a_size[a], high)
+        cut = index.ends[last] == high  # the gap after the token isn't spanned by a B token either
+        n = last - first + 1
+        stabbed = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        links = b[stabbed] << 32 | np.repeat(a, n)
+        # each group is written as its A tokens and then its B tokens
+        a_ends, b_ends = np.flatnonzero(cut) + 1, last[cut] + 1
+        b_before = np.concatenate([[0], b_ends])[np.cumsum(cut) - cut]
+        b_group = np.searchsorted(b_ends, np.arange(len(b)), "right")
+        after_b = np.zeros(len(b), np.int64)
+        after_b[b_ends - 1] = 2
+        after_b[last_b - 1] = 3
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + b_before] = 4 * a + cut
+        order[np.arange(len(b)) + a_ends[b_group]] = 4 * b + after_b
+        return "".join(map(self.written.__getitem__, order.tolist())).split("\n")[:-1], links, n
 
     def aligned(self, texts: list[str]) -> list[tuple | None]:
         """(A tokens, B tokens, groups, links) of each text behind a space, or None where bytes don't come back."""
-        all_a, all_b, found = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), []
-        for text, a, b in zip(texts, all_a, all_b, strict=True):
-            a, data = a.ids, f" {text}".encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
-            found.append((len(a), len(b), *self.link(a, b)) if same else None)
-        return found
+        all_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        all_b = self.b.encode(texts, num_threads=1)
+        same = [b"".join(map(self.a_bytes.__getitem__, a)) == f" {t}".encode() == b"".join(map(self.b_bytes.__getitem__, b)) for t, a, b in zip(texts, all_a, all_b, strict=True)]
+        all_a, all_b = list(compress(all_a, same)), list(compress(all_b, same))
+        if not all_a:
+            return [None] * len(texts)
+        n_a, n_b = list(map(len, all_a)), list(map(len, all_b))
+        groups, links, n = self.link(np.array(list(chain.from_iterable(all_a))), np.array(list(chain.from_iterable(all_b))), np.cumsum(n_b))
+        ends, data = (8 * np.cumsum(n)[np.cumsum(n_a) - 1]).tolist(), links.tobytes()
+        found = zip(n_a, n_b, groups, [data[i:j] for i, j in pairwise([0, *ends])], strict=True)
+        return [next(found) if s else None for s in same]
 
     def words(self, text: str) -> list[str]:
         """The parts of a text that stand alone, each without the space before it."""
@@ -121,7 +135,7 @@ class Aligner:
         found, held = [], None
         for part in text.split(" "):
             held = part if held is None else f"{held} {part}"
-            if VISIBLE.search(held):
+            if held and held[-1] in VISIBLE:
                 found.append(held)
                 held = None
         if held is not None:  # spaces at the end, or a last character of another kind
@@ -153,7 +167,7 @@ class Aligner:
             found.append((sum(a), sum(b), ";".join(groups), b"".join(links)))
         if len(known) + len(new) > KEPT:  # those met first are mostly the frequent ones
             self.known = known = dict(islice(known.items(), KEPT // 2))
-        fit = ((w, x) for w, x in new.items() if x and len(w) <= KEPT_LENGTH and VISIBLE.search(w))
+        fit = ((w, x) for w, x in new.items() if x and 0 < len(w) <= KEPT_LENGTH and w[-1] in VISIBLE)
         known.update(islice(fit, KEPT - len(known)))
         return found
 
