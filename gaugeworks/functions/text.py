@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ LAST_SHORT_YEAR = 2049
 
 
 def parse_date(text: Column, year: int) -> Column:
-    """The first format that fits; texts without a year take ``year``, a parameter so that results don't change by day.
+    """The first format that fits, else what a general parser makes of it; texts without a year take ``year``, a parameter so that results don't change by day.
 
     Days and months may have one digit or two, but the numbers of dates that begin with a year are whole. Two digits
     after a month's name are a year up to LAST_SHORT_YEAR.
@@ -120,7 +122,52 @@ def parse_date(text: Column, year: int) -> Column:
             found.append(F.when(whole, F.try_to_timestamp(trimmed, F.lit(f))))
         else:
             found.append(F.try_to_timestamp(F.concat(F.lit(f"{year} "), trimmed), F.lit(f"yyyy {f}")))
-    return F.coalesce(*found).cast("date")
+    return F.coalesce(*found, _general_date(F.trim(text))).cast("date")
+
+
+#: Forms of a whole date that a general parser takes, with the groups that are year, month and day.
+WHOLE_DATES = (
+    (r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$", (1, 3, 4)),
+    (r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$", (4, 1, 3)),
+    (r"^(?:[A-Za-z]{3,9}, )?([A-Za-z]{3,9}) (\d{1,2}),? (\d{4})$", (3, 1, 2)),
+    (r"^(?:[A-Za-z]{3,9}, )?(\d{1,2}) ([A-Za-z]{3,9}),? (\d{4})$", (3, 2, 1)),
+)
+#: A time of day behind a date: hours to seconds, a half of the day, a zone.
+CLOCK = r" ((?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:\.\d{1,7})?)?)( ?[AaPp][Mm])?( ?(?:Z|GMT|[+-]\d{2}:\d{2}))?$"
+FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _general_date(trimmed: Column) -> Column:
+    """A whole date with or without a time of day; a name of a weekday before it isn't checked.
+
+    Numbers are month, day, year if they don't begin with the year. Times with a zone are taken to the session's.
+    """
+    months = F.create_map(*[F.lit(x) for i, name in enumerate(FULL_MONTHS) for n in dict.fromkeys((name, name[:3])) for x in (n, str(i + 1))])
+
+    def numbers(day: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for form, groups in WHOLE_DATES:
+            parts = [F.regexp_extract(day, form, g) for g in groups]
+            parts[1] = F.coalesce(F.element_at(months, F.lower(parts[1])), parts[1])
+            found = F.when(F.regexp_like(day, F.lit(form)), F.concat_ws("-", *parts)).otherwise(found)
+        return found
+
+    def parsed(p: Column) -> Column:
+        sound = (p["half"] == "") | ~F.regexp_like(p["clock"], F.lit("^(0?0|1[3-9]|2[0-3]):"))
+        zoned = F.concat(p["day"], F.lit(" "), p["clock"], F.when(p["zone"] == "GMT", "Z").otherwise(p["zone"]))
+        return F.when(p["zone"] != "", F.try_to_timestamp(zoned, F.lit("yyyy-M-d H:m[:s][.SSSSSSS]XXX"))).when(sound, F.try_to_timestamp(p["day"], F.lit("yyyy-M-d")))
+
+    def cut(spaced: Column) -> Column:
+        clock = [F.trim(F.regexp_extract(spaced, CLOCK, i)).alias(n) for i, n in enumerate(("clock", "half", "zone"), 1)]
+        return F.struct(_once(F.regexp_replace(spaced, CLOCK, ""), numbers).alias("day"), *clock)
+
+    spaced = F.regexp_replace(F.regexp_replace(trimmed, r"^(\d{4}-\d{1,2}-\d{1,2})T(?=\d)", "$1 "), r"\s+", " ")
+    return _once(_once(spaced, cut), parsed)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def same_date(a: Column, b: Column, year: int) -> Column:

@@ -47,9 +47,14 @@ def reason_exact(rows: DataFrame, reasons: DataFrame) -> DataFrame:
 
 
 def update_from(rows: DataFrame, changes: DataFrame, key: list[str], column: str) -> DataFrame:
-    """``column`` replaced where ``changes`` has the key; of duplicates the largest value."""
-    new = changes.groupBy(*key).agg(F.max(column).alias("_new"))
-    return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+    """``column`` replaced where ``changes`` has the key; of duplicates the largest value, and null if all are.
+
+    Key parts are compared as texts, and null equals the empty text.
+    """
+    own = {f"_k{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(key)}
+    new = changes.groupBy(*[c.alias(k) for k, c in own.items()]).agg(F.max(column).alias("_new"), F.lit(True).alias("_hit"))
+    found = rows.withColumns(own).join(new, list(own), "left")
+    return found.withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).select(*rows.columns)
 
 
 def missing_keys(rows: DataFrame, dimension: DataFrame, key: list[str]) -> DataFrame:
@@ -95,9 +100,16 @@ def replace_on_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
-def insert_missing(old: DataFrame, new: DataFrame, key: list[str], names: tuple[str, ...] = ()) -> DataFrame:
-    """All old rows, and the first of the new ones with a key that isn't there; columns in ``names`` are compared normalised."""
-    own = {f"_k{i}": normalize(F.col(c)) if c in names else F.col(c) for i, c in enumerate(key)}
-    known = old.select(*[c.alias(k) for k, c in own.items()]).distinct()
-    fresh = new.select("*", *[c.alias(k) for k, c in own.items()]).join(known, list(own), "left_anti")
-    return old.unionByName(fresh.select(*new.columns))
+def insert_missing(old: DataFrame, new: DataFrame, key: list[str], names: tuple[str, ...] = (), order: str = "rid") -> DataFrame:
+    """All old rows, and of the new ones with a key that isn't there the first by ``order``.
+
+    Key columns in ``names`` are compared normalised on both sides and written so; a new row in which one of them is
+    blank is skipped.
+    """
+    own = {f"_k{i}": normalize(F.coalesce(c, F.lit(""))) if c in names else F.col(c) for i, c in enumerate(key)}
+    keys = [c.alias(k) for k, c in own.items()]
+    blank = F.array_contains(F.array(*[own[f"_k{i}"] for i, c in enumerate(key) if c in names] or [F.lit(" ")]), "")
+    firsts = new.where(~blank).groupBy(*keys).agg(F.min_by(F.struct(*old.columns), order).alias("_r"))
+    fresh = firsts.join(old.select(*keys), list(own), "left_anti")
+    written = {c: F.col(f"_k{key.index(c)}") if c in names else F.col(f"_r.{c}") for c in old.columns}
+    return old.unionByName(fresh.select(*[w.alias(c) for c, w in written.items()]))

@@ -20,9 +20,11 @@ def summed_ppm(rows: DataFrame, combo: list[str], by: list[str]) -> DataFrame:
 
 
 def with_total(rows: DataFrame, combo: list[str], group: str, by: list[str]) -> DataFrame:
-    """``summed_ppm`` and, for each other key, a TOTAL row over the ones that have a ``group``."""
-    found = summed_ppm(rows.where(F.col(group) != ""), combo, [group, *by])
-    return found.unionByName(found.groupBy(*by).agg(F.sum("ppm").alias("ppm")).withColumn(group, F.lit("TOTAL")))
+    """``summed_ppm`` and, for each other key, a TOTAL row over the ones that have a ``group``: grouping sets of one pass."""
+    each = combo_ppm(rows.where(F.col(group) != ""), combo)
+    keys = [F.col(c) for c in by]
+    sets = each.groupingSets([[F.col(group), *keys], keys], F.col(group), *keys)
+    return sets.agg(F.sum("ppm").alias("ppm"), F.grouping(group).alias("_all")).withColumn(group, F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(group))).drop("_all")
 
 
 def quantities(rows: DataFrame, by: list[str]) -> DataFrame:

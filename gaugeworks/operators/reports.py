@@ -45,20 +45,23 @@ def period_pivot(rows: DataFrame, by: list[str], columns: list[tuple[str, str]],
 def detail_pivot(rows: DataFrame, columns: list[tuple[str, str]], groups: list[str]) -> DataFrame:
     """PPM of each defect in (period, group) columns; on top a TOTAL row and one for each process type, of summed rates.
 
+    All three levels are grouping sets of one aggregate over the rates.
+
     ``rows`` have process_type, process, ng, grp, kind, key, input, ng_qty; ``place`` orders the report.
     """
     each = rows.groupBy(*DEFECT, "grp", "kind", "key").agg(ppm(F.sum("ng_qty"), F.sum("input")).alias("ppm"))
-    blank = lambda *names: {n: F.lit("") for n in names}
-    level = lambda n, df: df.withColumn("place", F.lit(n)).select("place", *DEFECT, "grp", "kind", "key", "ppm")
-    total = each.groupBy("grp", "kind", "key").agg(F.sum("ppm").alias("ppm")).withColumns({"process_type": F.lit("TOTAL"), **blank("process", "ng")})
-    kinds = each.groupBy("process_type", "grp", "kind", "key").agg(F.sum("ppm").alias("ppm")).withColumns(blank("process", "ng"))
-    both = level(1, total).unionByName(level(2, kinds)).unionByName(level(3, each))
     cells = [
-        F.coalesce(F.max(F.when((F.col("kind") == kind) & (F.col("key") == key) & (F.col("grp") == g), F.col("ppm"))), F.lit(0.0)).alias(f"{kind}{key}_{g}")
+        F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("key") == key) & (F.col("grp") == g), F.col("ppm"))), F.lit(0.0)).alias(f"{kind}{key}_{g}")
         for kind, key in columns
         for g in groups
     ]
-    return both.groupBy("place", *DEFECT).agg(*cells)
+    names = [F.col(c) for c in DEFECT]
+    sets = each.groupingSets([[], names[:1], names], *names).agg(*cells, F.grouping("process_type").alias("_all"), F.grouping("ng").alias("_any"))
+    place = F.lit(3) - F.col("_all") - F.col("_any")
+    kind = F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("process_type"))
+    blank = lambda c: F.when(F.col("_any") == 1, "").otherwise(F.col(c)).alias(c)
+    found = sets.select(place.cast("int").alias("place"), kind.alias("process_type"), blank("process"), blank("ng"), *[c for c in sets.columns if c not in (*DEFECT, "_all", "_any")])
+    return found if columns and groups else found.distinct()
 
 
 def aligned_headers(reports: dict[str, DataFrame], by: list[str]) -> DataFrame:

@@ -100,10 +100,10 @@ query("snk06_upsert", "SELECT c_custkey, coalesce(n.seg, c_mktsegment) AS seg FR
     lambda s, d: datasets.upsert(table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg")), table(s, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("seg")), ["c_custkey"])
 )
 query("snk07_insert_missing", "SELECT n_nationkey AS k, 'old' AS v FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_nationkey, 'new' FROM nation WHERE n_nationkey >= 10")(
-    lambda s, d: enrich.insert_missing(table(s, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"), F.lit("old").alias("v")), table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit("new").alias("v")), ["k"])
+    lambda s, d: enrich.insert_missing(table(s, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"), F.lit("old").alias("v")), table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit("new").alias("v")), ["k"], order="k")
 )
 query("snk08_jn10_replace_on_key", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS v FROM nation")(
-    lambda s, d: enrich.replace_on_key(table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit("old").alias("v")), table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("k"), F.lit("new").alias("v")), ["k"])
+    lambda s, d: enrich.replace_on_key(table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit("old").alias("v")), table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("k"), F.lit("new").alias("v")), ["k"], order="k")
 )
 
 # --- projections and predicates ------------------------------------------------------------------------------------

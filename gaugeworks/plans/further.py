@@ -257,11 +257,12 @@ query("ml05_retrained", f"WITH {NAMED} SELECT name, arg_max(label, (part, rid))
         name_rows(s, d), classifier.retrain(name_rows(s, d), name_rows(s, d).where("p_size % 7 = 0").withColumn("p_type", F.lit("FIXED")), ("name",), "p_type", "last")
     )
 )
-query("jn09_insert_missing", f"""WITH o AS (SELECT DISTINCT p_brand AS brand, p_type AS name FROM part WHERE p_size % 2 = 0), n AS (SELECT DISTINCT p_brand AS brand, chr(39) || p_type || '  ' AS name FROM part)
-  SELECT * FROM o UNION ALL SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.brand = n.brand AND {NORMAL.format('o.name')} = {NORMAL.format('n.name')})""")(
+query("jn09_insert_missing", f"""WITH o AS (SELECT DISTINCT p_brand AS brand, p_type AS name FROM part WHERE p_size % 2 = 0),
+  n AS (SELECT p_brand AS brand, {NORMAL.format("chr(39) || p_type || '  '")} AS name FROM part)
+  SELECT * FROM o UNION ALL SELECT DISTINCT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.brand = n.brand AND {NORMAL.format('o.name')} = n.name)""")(
     lambda s, d: enrich.insert_missing(
         table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("name")).distinct(),
-        table(s, d, "part").select(F.col("p_brand").alias("brand"), F.concat(F.lit("'"), "p_type", F.lit("  ")).alias("name")).distinct(), ["brand", "name"], ("name",),
+        table(s, d, "part").select(F.col("p_brand").alias("brand"), F.concat(F.lit("'"), "p_type", F.lit("  ")).alias("name"), "p_partkey"), ["brand", "name"], ("name",), "p_partkey",
     )
 )
 JSON = """'{"RecordNo":"' || c_custkey || '","Model":"' || c_mktsegment || '","Shift":"N","Input":"1,200","Ok":"' || CASE WHEN c_custkey % 3 = 0 THEN 'bad' ELSE '7' END || '"}'"""

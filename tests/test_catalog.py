@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from gaugeworks.functions import measures, periods, text
 from gaugeworks.operators import classifier, datasets, dedup, enrich, quality, ranking, reports
-from gaugeworks.plans import catalog, further  # noqa: F401  (registers its queries)
+from gaugeworks.plans import catalog, further, structures  # noqa: F401  (registers its queries)
 from gaugeworks.sources import readers, writers
 from gaugeworks.streaming import daily
 from pyspark.sql import functions as F
