@@ -9,6 +9,8 @@ from gaugeworks.operators import enrich, trees
 from gaugeworks.plans.binding import NORMAL, table
 from gaugeworks.plans.catalog import query
 from gaugeworks.plans.further import OWN
+from gaugeworks.sources import files, many, writers
+from gaugeworks.streaming import refetch
 
 # --- trees ---------------------------------------------------------------------------------------------------------
 
@@ -129,3 +131,100 @@ def general_dates(s, d):
 query("fn07_general_dates", f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(GENERAL)} < {len(GENERAL) - 2} THEN CAST(o_orderdate AS DATE) END AS day FROM orders")(
     lambda s, d: general_dates(s, d).select("o_orderkey", text.parse_date(F.col("t"), 2024).alias("day"))
 )
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+
+def page_files(s, d):
+    """A folder with a file for each page's html, and for every third page a second one."""
+    path = writers.scratch(s, "pages")
+    rows = table(s, d, "pages").select(F.col("html").alias("value"), "page_id", F.explode(F.when(F.col("page_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    rows.repartition("page_id").write.partitionBy("page_id", "copy").text(path)
+    return path
+
+
+PAGE_FILES = """f AS (
+  SELECT page_id, copy, coalesce(html, '') || chr(10) AS body, hex(encode(coalesce(html, '') || chr(10))) AS h FROM pages, LATERAL (SELECT unnest(CASE WHEN page_id % 3 = 0 THEN [0, 1] ELSE [0] END) AS copy)),
+ends AS (SELECT *, strlen(body) AS bytes, greatest(1, ceil(strlen(body) * 0.1::DOUBLE))::BIGINT AS n FROM f)"""
+
+
+def page_of():
+    """The page and copy that a file's path names."""
+    return [F.regexp_extract("path", f"/{n}=([0-9]+)/", 1).cast("long").alias(n) for n in ("page_id", "copy")]
+
+
+@query("src23_file_index", f"""
+WITH {PAGE_FILES}
+SELECT page_id, copy::BIGINT AS copy, bytes, upper(sha256(unhex(CASE WHEN 2 * n >= bytes THEN h ELSE left(h, 2 * n) || right(h, 2 * n) END))) AS hash, copy = 0 AS reused FROM ends""")
+def _(s, d):
+    path = page_files(s, d)
+    first = files.file_index(s, path).where(F.contains("path", F.lit("copy=0")))
+    return files.file_index(s, path, first).select(*page_of(), "bytes", "hash", "reused")
+
+
+@query("jn17_same_files_on_disk", f"""
+WITH {PAGE_FILES}, g AS (SELECT body, min('page_id=' || page_id || '/copy=' || copy) AS first_path, count(*) AS copies FROM f GROUP BY body HAVING count(*) > 1)
+SELECT page_id, copy::BIGINT AS copy, strlen(body) AS bytes, upper(sha256(body)) AS hash, first_path, copies FROM f JOIN g USING (body)""")
+def _(s, d):
+    same = files.same_files(files.file_index(s, page_files(s, d)))
+    return same.select(*page_of(), "bytes", "hash", F.regexp_extract("first_path", "page_id=[0-9]+/copy=[0-9]+", 0).alias("first_path"), "copies")
+
+
+SEPARATORS = (";", "\t", ",", " ", "|")
+HEADS = ("Key;name;;NAME", "Key\tname\t\tNAME", "Key,name,,NAME", "Key name Column NAME", "Key|name||NAME")
+
+
+def customer_files(s, d):
+    """Five files of customers, each with another delimiter; names hold spaces but in the file that spaces cut."""
+    path, k, key = writers.scratch(s, "customers"), F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    lines = F.lit(None).cast("string")
+    for i, sep in enumerate(SEPARATORS):
+        name = F.concat("c_name", F.lit("_" if sep == " " else " "), "c_mktsegment")
+        own = F.concat_ws(sep, key, name, F.lit("-" if sep == " " else ""), F.concat(F.lit(" "), F.col("c_nationkey").cast("string")))
+        lines = F.when(k == i, own).otherwise(lines)
+    rows = table(s, d, "customer").select(k.cast("int").alias("no"), F.lit(1).alias("place"), lines.alias("value"))
+    heads = s.createDataFrame([(i, 0, h) for i, h in enumerate(HEADS)], "no int, place int, value string")
+    rows.unionByName(heads).repartition(len(SEPARATORS), "no").sortWithinPartitions("no", "place").drop("place").write.partitionBy("no").text(path)
+    return path
+
+
+
+def file_no():
+    return F.regexp_extract("file", "/no=([0-9]+)/", 1).cast("int").alias("no")
+
+
+query("src15_delimiter", "SELECT DISTINCT (c_custkey % 5)::INTEGER AS no, [';', chr(9), ',', ' ', '|'][c_custkey % 5 + 1] AS delimiter FROM customer")(
+    lambda s, d: many.headers(s, customer_files(s, d)).select(file_no(), "delimiter")
+)
+query("src16_unique_headers", """SELECT DISTINCT (c_custkey % 5)::INTEGER AS no, p::INTEGER AS place, ['Key', 'name', 'Column', 'NAME_2'][p + 1] AS name FROM customer, range(4) t(p)""")(
+    lambda s, d: many.headers(s, customer_files(s, d)).select(file_no(), F.posexplode("names").alias("place", "name"))
+)
+query("src17_many_files", """SELECT (c_custkey % 5)::INTEGER AS no, c_custkey::VARCHAR AS k, c_name || CASE WHEN c_custkey % 5 = 3 THEN '_' ELSE ' ' END || c_mktsegment AS name,
+  CASE WHEN c_custkey % 5 = 3 THEN '-' ELSE '' END AS filler, c_nationkey::VARCHAR AS nation FROM customer""")(
+    lambda s, d: many.delimited_files(s, customer_files(s, d)).select(
+        file_no(), many.value_of("Key").alias("k"), many.value_of("name").alias("name"), many.value_of("Column").alias("filler"), many.value_of("NAME_2").alias("nation")
+    )
+)
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+#: Days of January 2024 on which events are fetched, each time the last seven days; an event is seen some days late.
+FETCHES, WINDOW, LAG = (8, 11, 17, 30), 7, 5
+
+
+@query("src06_set01_refetch", f"""
+WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, day(ts) AS n, event_id % {LAG} AS lag FROM events WHERE month(ts) = 1 AND year(ts) = 2024),
+k AS (SELECT unnest({list(FETCHES)}) AS f),
+seen AS (SELECT e.*, f FROM e JOIN k ON n <= f AND n > f - {WINDOW} AND n + lag <= f),
+chosen AS (SELECT n, coalesce(max(f) FILTER (n > f - 3), min(f)) AS f FROM (SELECT DISTINCT n, f FROM seen) GROUP BY n)
+SELECT event_id, day FROM seen JOIN chosen USING (n, f)""")
+def _(s, d):
+    arriving, path, checkpoint = (writers.scratch(s, n) for n in ("fetches", "days", "progress"))
+    events = table(s, d, "events").select("event_id", F.to_date("ts").alias("day"), F.date_add(F.to_date("ts"), (F.col("event_id") % LAG).cast("int")).alias("known"))
+    for at in FETCHES:
+        today = F.lit(f"2024-01-{at:02}").cast("date")
+        part = events.where((F.col("day") <= today) & (F.col("day") > F.date_sub(today, WINDOW)) & (F.col("day") >= "2024-01-01") & (F.col("known") <= today))
+        part.select("event_id", "day", today.alias("fetched")).coalesce(1).write.mode("append").parquet(arriving)
+        fetches = s.readStream.schema("event_id bigint, day date, fetched date").parquet(arriving)
+        refetch.follow(fetches, path, checkpoint).awaitTermination()  # each run takes the fetch that has come since
+    return s.read.schema("event_id bigint, day date").parquet(path)

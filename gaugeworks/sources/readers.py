@@ -224,14 +224,3 @@ def dated_values(spark: SparkSession, path: str, values: int, sep: str = ",") ->
     day = F.try_to_timestamp("d", F.lit("yyyy-MM-dd")).cast(DateType())
     checked = F.coalesce(day, F.raise_error(F.concat(F.lit("no date: "), F.col("d"))).cast("date"))
     return rows.select(checked.alias("Date"), *[F.col(f"Value{i + 1}").try_cast("double").alias(f"Value{i + 1}") for i in range(values)])
-
-
-def file_index(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """path, bytes, modified and content hash of files; hashes of unchanged files are taken from ``known``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    if known is None:
-        return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"))
-    kept = listed.join(known, ["path", "bytes", "modified"])
-    changed = files.join(kept.select("path"), "path", "left_anti")
-    return kept.unionByName(changed.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash")))
