@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,29 +201,3 @@ def heat_map(rows: DataFrame, x: Column, y: Column, value: Column) -> DataFrame:
 def ppm_heat_map(rows: DataFrame, x: Column, y: Column, ng: str, total: str) -> DataFrame:
     """Mean over rows of their own defects per million; rows without input don't count."""
     return heat_map(rows, x, y, F.when(F.col(total) > 0, F.col(ng) * 1e6 / F.col(total)))
-
-
-def convex_hull(rows: DataFrame, group: str, salts: int = 64) -> DataFrame:
-    """Corners of the hull of each group's points (x, y), by monotone chains; points are rounded to eight places.
-
-    Only the lowest and highest y of each x can be corners. A large group is dealt over ``salts`` parts, and the hull
-    of the parts' corners, which are few, is the group's.
-    """
-
-    def chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-        kept: list[tuple[float, float]] = []
-        for p in points:
-            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
-                kept.pop()
-            kept.append(p)
-        return kept[:-1]
-
-    def hull(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        points = sorted(set(zip(part["x"], part["y"], strict=True)))
-        corners = points if len(points) < 3 else chain(points) + chain(points[::-1])
-        return pd.DataFrame({group: [key[0]] * len(corners), "corner": range(len(corners)), "x": [p[0] for p in corners], "y": [p[1] for p in corners]})
-
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, corner int, x double, y double"
-    ends = rows.groupBy(group, F.round("x", 8).alias("x")).agg(F.min(F.round("y", 8)).alias("low"), F.max(F.round("y", 8)).alias("high"))
-    points = ends.select(group, "x", F.explode(F.array("low", "high")).alias("y"), F.pmod(F.xxhash64("x"), F.lit(salts)).alias("salt"))
-    return points.groupBy(group, "salt").applyInPandas(hull, schema).groupBy(group).applyInPandas(hull, schema)

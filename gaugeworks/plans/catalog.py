@@ -377,7 +377,6 @@ query("st10_st11_regression", f"""{LIMITS} SELECT name, count(*) AS n, round(reg
 query("st13_jn15_pairwise", """SELECT 'q' AS x_name, 'p' AS y_name, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 AS slope FROM lineitem UNION ALL SELECT 'q', 'd', count(*), round(regr_slope(l_discount, l_quantity), 4) + 0.0 FROM lineitem UNION ALL SELECT 'p', 'd', count(*), round(regr_slope(l_discount, l_extendedprice), 4) + 0.0 FROM lineitem""")(
     lambda s, d: quality.pairwise(table(s, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d")), ["q", "p", "d"]).select("x_name", "y_name", "n", F.round("slope", 4).alias("slope"))
 )
-query("st23_convex_hull")(lambda s, d: quality.convex_hull(values(s, d), "name"))
 query("st24_jitter", "SELECT event_id, round(value + ((event_id % 9) - 4) * 0.035, 6) AS x FROM events")(lambda s, d: table(s, d, "events").select("event_id", r6(F.col("value") + ((F.col("event_id") % 9) - 4) * 0.035).alias("x")))
 # --- datasets ------------------------------------------------------------------------------------------------------
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import text
-from gaugeworks.operators import enrich, trees
+from gaugeworks.operators import classifier, enrich, hulls, intervals, learning, trees
 from gaugeworks.plans.binding import NORMAL, table
-from gaugeworks.plans.catalog import query
-from gaugeworks.plans.further import OWN
-from gaugeworks.sources import files, many, writers
+from gaugeworks.plans.catalog import query, rounded, values
+from gaugeworks.plans.further import NAMED, OWN, asked, name_rows, predicted
+from gaugeworks.sources import files, many, stored, writers
 from gaugeworks.streaming import refetch
 
 # --- trees ---------------------------------------------------------------------------------------------------------
@@ -228,3 +228,93 @@ def _(s, d):
         fetches = s.readStream.schema("event_id bigint, day date, fetched date").parquet(arriving)
         refetch.follow(fetches, path, checkpoint).awaitTermination()  # each run takes the fetch that has come since
     return s.read.schema("event_id bigint, day date").parquet(path)
+
+# --- intervals and hulls -----------------------------------------------------------------------------------------------
+
+#: Orders last up to a month, some for over a year; errors of a user, brought to the orders' years, up to three days.
+query("flt09_overlapping_pairs", """
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate AS DATE) + (o_orderkey % 30 + CASE WHEN o_orderkey % 500 = 0 THEN 400 ELSE 0 END)::INTEGER AS last_day FROM orders),
+e AS (SELECT event_id, CAST(ts AS DATE) - 9000 AS first_day, CAST(ts AS DATE) - 9000 + (event_id % 3)::INTEGER AS last_day FROM events WHERE event_type = 'error')
+SELECT o_orderkey, count(*) AS events, min(event_id) AS lowest FROM o JOIN e ON o.last_day >= e.first_day AND o.first_day <= e.last_day GROUP BY o_orderkey""")(
+    lambda s, d: overlaps(s, d).groupBy("left.o_orderkey").agg(F.count("*").alias("events"), F.min("right.event_id").alias("lowest"))
+)
+
+
+def overlaps(s, d):
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    orders = table(s, d, "orders").select("o_orderkey", F.unix_date(day).alias("first"), (F.unix_date(day) + key % 30 + F.when(key % 500 == 0, 400).otherwise(0)).alias("last"))
+    start = F.unix_date(F.to_date("ts")) - 9000
+    events = table(s, d, "events").where("event_type = 'error'").select("event_id", start.alias("first"), (start + F.col("event_id") % 3).alias("last"))
+    span = (F.col("first"), F.col("last"))
+    return intervals.overlapping(orders, events, span, span, 4)
+
+
+#: Each chain goes on to the point with the least (lower) or greatest (upper) slope, and of these to the farthest.
+query("st23_convex_hull", """
+WITH RECURSIVE p AS (SELECT DISTINCT event_type AS name, round(epoch_us(ts) / 1e6 / 86400, 8) AS x, round(value, 8) AS y FROM events),
+low(name, x, y, n) AS (
+  SELECT name, min(x), arg_min(y, (x, y)), 0 FROM p GROUP BY name
+  UNION ALL SELECT l.name, (arg_min({'x': p.x, 'y': p.y}, ((p.y - l.y) / (p.x - l.x), -p.x))).x, (arg_min({'x': p.x, 'y': p.y}, ((p.y - l.y) / (p.x - l.x), -p.x))).y, l.n + 1
+  FROM low l JOIN p ON p.name = l.name AND p.x > l.x GROUP BY l.name, l.n),
+top(name, x, y, n) AS (
+  SELECT name, max(x), arg_max(y, (x, y)), 0 FROM p GROUP BY name
+  UNION ALL SELECT l.name, (arg_min({'x': p.x, 'y': p.y}, ((p.y - l.y) / (p.x - l.x), p.x))).x, (arg_min({'x': p.x, 'y': p.y}, ((p.y - l.y) / (p.x - l.x), p.x))).y, l.n + 1
+  FROM top l JOIN p ON p.name = l.name AND p.x < l.x GROUP BY l.name, l.n),
+corners AS (SELECT name, x, y, n, 0 AS side FROM low UNION SELECT name, x, y, n, 1 FROM top),
+once AS (SELECT name, x, y, min((side, n)) AS place FROM corners GROUP BY name, x, y)
+SELECT name, (row_number() OVER (PARTITION BY name ORDER BY place) - 1)::INTEGER AS corner, x, y FROM once""")(
+    lambda s, d: hulls.convex_hull(values(s, d), "name")
+)
+
+# --- stored tables -----------------------------------------------------------------------------------------------------
+
+CUSTOMERS = "c_custkey bigint, seg string, seq bigint"
+
+
+def stored_customers(s, d):
+    path = writers.scratch(s, "customers")
+    stored.create(table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"), F.lit(0).cast("long").alias("seq")), path, ["c_custkey"], 16)
+    return path
+
+
+@query("snk06_stored_upsert", """
+SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(seg, c_mktsegment) AS seg, coalesce(seq, 0) AS seq FROM customer
+FULL JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS seg, max(o_orderkey) AS seq FROM (SELECT o_custkey + 100 AS o_custkey, o_orderpriority, o_orderkey FROM orders WHERE o_custkey % 50 < 3) GROUP BY o_custkey) ON o_custkey = c_custkey""")
+def _(s, d):
+    path = stored_customers(s, d)
+    new = table(s, d, "orders").where("o_custkey % 50 < 3").select((F.col("o_custkey") + 100).alias("c_custkey"), F.col("o_orderpriority").alias("seg"), F.col("o_orderkey").alias("seq"))
+    stored.upsert(s, path, new, CUSTOMERS, ["c_custkey"], "seq", 16)
+    return stored.read(s, path, CUSTOMERS)
+
+
+@query("snk08_stored_replace", """
+SELECT c_custkey, c_mktsegment AS seg, 0::BIGINT AS seq FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 40 = 1)
+UNION ALL SELECT o_custkey, o_orderpriority, o_orderkey FROM orders WHERE o_custkey % 40 = 1""")
+def _(s, d):
+    path = stored_customers(s, d)
+    new = table(s, d, "orders").where("o_custkey % 40 = 1").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("seg"), F.col("o_orderkey").alias("seq"))
+    stored.replace_on_key(s, path, new, CUSTOMERS, ["c_custkey"], 16)
+    return stored.read(s, path, CUSTOMERS)
+
+
+#: Base rows, and two batches of feedback that correct some labels and bring others.
+RETRAINED = f"""{NAMED.split('t AS')[0]}
+t AS (SELECT p_type, name, '0' || rid AS rid FROM n UNION ALL SELECT 'FIXED', name, '1' || rid FROM n WHERE p_size % 7 = 0 UNION ALL SELECT 'Promo', name, '2' || rid FROM n WHERE p_size % 11 = 0)"""
+
+
+def taught(s, d):
+    """The path of what a base and two batches taught, each merged into what was stored before."""
+    path, rows = writers.scratch(s, "taught"), name_rows(s, d)
+    learning.start(rows, path, ("name",), "p_type", 16)
+    for batch, part, label in ((1, "p_size % 7 = 0", "FIXED"), (2, "p_size % 11 = 0", "Promo")):
+        learning.learn(rows.where(part).withColumn("p_type", F.lit(label)), path, ("name",), "p_type", batch, 16)
+    return path
+
+
+query("ml05_taught_look_ups", f"WITH {RETRAINED} SELECT n.name, arg_max(t.p_type, t.rid) AS p_type FROM (SELECT DISTINCT name FROM n) n JOIN t ON lower(trim(t.name)) = lower(trim(n.name)) GROUP BY n.name")(
+    lambda s, d: classifier.looked_up(name_rows(s, d), learning.model(s, taught(s, d), ("name",), "p_type", "last"))
+)
+# counts are by labels regardless of case, which are written as they first came
+query("ml05_taught_predictions", predicted("arg_min", 0.55, "").replace(NAMED, RETRAINED.replace("'Promo'", "'PROMO'")))(
+    lambda s, d: rounded(classifier.predict(asked(s, d), learning.model(s, taught(s, d), ("name",), "p_type")), "confidence")
+)

@@ -141,12 +141,6 @@ def test_reference_period_with_one_period(spark):
     assert ranking.reference_period(spark.createDataFrame([("202401",)], "key string")).first().key == "202401"
 
 
-def test_hull_of_a_square(spark):
-    points = [("a", float(x), float(y)) for x in range(4) for y in range(4)] + [("b", 1.0, 1.0)]
-    got = quality.convex_hull(spark.createDataFrame(points, "g string, x double, y double"), "g").collect()
-    assert {(r.x, r.y) for r in got if r.g == "a"} == {(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)} and sum(r.g == "b" for r in got) == 1
-
-
 def test_quadratic_finds_its_own_curve(spark):
     rows = spark.createDataFrame([("a", float(x), 2 - 3 * x + 0.5 * x * x) for x in range(9)], "g string, x double, y double")
     r = quality.quadratic(rows, ["g"]).first()

@@ -4,12 +4,13 @@ import datetime
 import hashlib
 import json
 import math
+import random
 import re
 
 import pytest
 from gaugeworks.functions import text
-from gaugeworks.operators import enrich, rates, reports, trees
-from gaugeworks.sources import files, many, writers
+from gaugeworks.operators import classifier, enrich, hulls, intervals, learning, rates, reports, trees
+from gaugeworks.sources import files, many, stored, writers
 from gaugeworks.streaming import refetch
 from pyspark.sql import functions as F
 
@@ -153,3 +154,104 @@ def test_stream_of_fetches_goes_on_after_a_restart(spark, tmp_path):
         want |= {d: day * 10 + d for d in range(max(1, day - 2), day + 1)}
         refetch.follow(spark.readStream.schema("id int, day date, fetched date").parquet(arriving), path, progress).awaitTermination()
     assert {r.day.day: r.id for r in spark.read.schema("id int, day date").parquet(path).collect()} == want
+
+
+def brute_hull(points):
+    """Points that no two others have on or between them, by their angles: corners are those outside all others' hull."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return set(points)
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    edges = [(a, b) for a in points for b in points if a != b and all(turn(a, b, c) >= 0 for c in points)]
+    ends = {p for e in edges for p in e}
+    between = lambda p: any(turn(a, b, p) == 0 and min(a, b) < p < max(a, b) for a in ends for b in ends if p not in (a, b))
+    return {p for p in ends if not between(p)}
+
+
+def test_hulls_by_brute_force(spark):
+    rng = random.Random(3)
+    groups = {
+        "square": [(x, y) for x in range(5) for y in range(5)], "one": [(1, 1)] * 3, "two": [(1, 1), (2, 5)], "line": [(i, 2 * i) for i in range(9)], "upright": [(3, i) for i in range(6)],
+        "level": [(i, 3) for i in range(6)], "circle": [(x, y) for x in range(-25, 26) for y in range(-25, 26) if x * x + y * y in (625, 169, 25)],
+        **{f"random {n}": [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(60)] for n in (3, 10, 50)},
+    }
+    rows = spark.createDataFrame([(g, float(x), float(y)) for g, points in groups.items() for x, y in points] + [("square", None, 99.0), ("square", 99.0, None)], "g string, x double, y double")
+    for salts in (1, 5):
+        found = {}
+        for r in hulls.convex_hull(rows, "g", salts).orderBy("g", "corner").collect():
+            found.setdefault(r.g, []).append((r.x, r.y))
+        assert {g: set(p) for g, p in found.items()} == {g: brute_hull(points) for g, points in groups.items()}
+        for g, corners in found.items():
+            assert len(corners) == len(set(corners)) and corners[0] == min(corners)
+            area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))
+            assert area >= 0, g  # counter-clockwise
+    plan = plan_of(hulls.convex_hull(rows, "g"))
+    assert "Pandas" not in plan and "Arrow" not in plan
+    inner = hulls.without_inner(rows.dropna(), "g").where("g = 'square'").count()
+    assert inner < 25
+
+
+def test_overlaps_by_brute_force(spark):
+    rng = random.Random(4)
+
+    def side(n):
+        spans = [(i, s, s + rng.choice([0, 0, 3, 40, 900, 20_000, 5_000_000])) for i, s in ((i, rng.randrange(-3000, 3000)) for i in range(n))]
+        return [*spans, (n, 5, None), (n + 1, None, 5), (n + 2, 50, 20), (n, 7, 7), (n, 7, 7)]
+
+    left, right = side(80), side(60)
+    frames = [spark.createDataFrame(r, "id int, low int, high int") for r in (left, right)]
+    span = (F.col("low"), F.col("high"))
+    want = sorted((a[0], b[0]) for a in left for b in right if None not in (*a, *b) and a[2] >= b[1] and a[1] <= b[2])
+    for width in (1, 7, 100_000):
+        found = intervals.overlapping(*frames, span, span, width)
+        assert sorted((r.left.id, r.right.id) for r in found.collect()) == want
+        assert "NestedLoop" not in plan_of(found) and "CartesianProduct" not in plan_of(found)
+    assert intervals.overlapping(frames[0], frames[1].limit(0), span, span, 7).collect() == []
+
+
+def parts_of(path):
+    return {p.parent.name: (p.name, p.stat().st_mtime_ns) for p in path.rglob("*.parquet")}
+
+
+def test_upserts_rewrite_only_the_parts_they_touch(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/t", "k string, v string, seq int"
+    rows = {str(i): f"old {i}" for i in range(300)} | {None: "null"}
+    stored.create(spark.createDataFrame([(k, v, 0) for k, v in rows.items()], schema), path, ["k"])
+    before = parts_of(tmp_path / "t")
+    new = [("7", "first", 1), ("7", "last", 2), (None, "changed", 1), ("new", "added", 1)]
+    touched = stored.upsert(spark, path, spark.createDataFrame(new, schema), schema, ["k"], "seq")
+    after = parts_of(tmp_path / "t")
+    want = rows | {"7": "last", None: "changed", "new": "added"}
+    assert sorted((r.k, r.v) for r in stored.read(spark, path, schema).collect() if r.k) == sorted((k, v) for k, v in want.items() if k)
+    assert stored.read(spark, path, schema).where("k is null").first().v == "changed"
+    assert {k for k in after if before.get(k) != after[k]} == {f"part_of_key={p}" for p in touched} and len(touched) <= 3
+    assert stored.upsert(spark, path, spark.createDataFrame([], schema), schema, ["k"], "seq") == [] and parts_of(tmp_path / "t") == after
+
+
+def test_replacing_all_rows_of_a_key(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/t", "name string, v int"
+    stored.create(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], schema), path, ["name"], 4)
+    stored.replace_on_key(spark, path, spark.createDataFrame([(9, "a"), (9, "a"), (8, "c")], "v int, name string"), schema, ["name"], 4)
+    assert sorted(map(tuple, stored.read(spark, path, schema).collect())) == [("a", 9), ("a", 9), ("b", 3), ("c", 8)]
+
+
+def test_batches_teach_what_their_union_does_after_a_restart(spark, tmp_path):
+    base = [("pump a", "MAIN", "1"), ("pump b", "SUB", "2"), ("valve test", "VISUAL", "3"), ("pump a", "SUB", "4"), ("x", " ", "5")]
+    one, two = [("pump a", "FIXED", "1"), ("new thing", "main", "2")], [("valve b", "Sub", "1"), ("pump a", "LAST", "2")]
+    frame = lambda rows: spark.createDataFrame(rows, "name string, label string, rid string")
+    whole = frame([(n, t, f"{b}{r}") for b, rows in enumerate((base, one, two)) for n, t, r in rows if t.strip()])
+    path = f"file://{tmp_path}/taught"
+    learning.start(frame(base), path, ("name",), "label", 8)
+    learning.learn(frame(one), path, ("name",), "label", 1, 8)
+    before = parts_of(tmp_path / "taught")
+    touched = learning.learn(frame(two), path, ("name",), "label", 2, 8)
+    changed = {k for k, v in parts_of(tmp_path / "taught").items() if before.get(k) != v}
+    assert changed == {f"part_of_key={p}" for p in touched}
+    again = spark.newSession()
+    asked = [("pump a",), ("PUMP B",), ("valve",), ("pump x new",), ("nothing",)]
+    for wins in ("first", "last"):
+        found = classifier.predict(again.createDataFrame(asked, "name string"), learning.model(again, path, ("name",), "label", wins))
+        want = classifier.predict(spark.createDataFrame(asked, "name string"), classifier.train(whole, ("name",), "label", wins))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="no column label"):
+        learning.learn(frame(one).drop("label"), path, ("name",), "label", 3, 8)
