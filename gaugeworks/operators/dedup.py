@@ -25,14 +25,16 @@ def fold(rows: DataFrame, key: list[str], names: tuple[str, ...] = (), also: tup
     """One record a key: the pairwise rule applied from the last arrival (``rid``) to the first.
 
     Key columns in ``names`` are compared and given normalised, other texts trimmed. Only records with the key's largest
-    input can matter: records are gathered by key and input, and of a key the list with the largest input is taken, so
-    that one shuffle by key serves both; a key's records of one input are its true duplicates, few by nature.
+    input can matter: rows are dealt by a hash of the key, gathered by key and input, and of a key the list with the
+    largest input is taken. Both steps work on the one shuffle, and the hash as first key makes their sorts compare
+    numbers. A key's records of one input are its true duplicates, few by nature.
     """
     kinds = dict(rows.dtypes)
     keyed = rows.withColumns({c: normalize(F.col(c)) if c in names else F.trim(c) for c in key if kinds[c] == "string"})
     columns = ["input", "ng_qty", "rid", *also]
-    lists = keyed.groupBy(*key, "input").agg(F.collect_list(F.struct("rid", *[c for c in columns if c not in ("rid", "input")])).alias("r"))
-    best = lists.groupBy(*key).agg(F.max_by(F.struct("input", "r"), "input").alias("b"))
+    dealt = keyed.select(F.xxhash64(*key).alias("_hash"), *key, *[c for c in columns if c not in key]).repartition("_hash")
+    lists = dealt.groupBy("_hash", *key, "input").agg(F.collect_list(F.struct("rid", *[c for c in columns if c not in ("rid", "input")])).alias("r"))
+    best = lists.groupBy("_hash", *key).agg(F.max(F.struct("input", "r")).alias("b"))
     record = lambda x: F.struct(*[(F.col("b.input") if c == "input" else x[c]).alias(c) for c in columns])
     records = best.select(*key, F.transform(F.reverse(F.array_sort("b.r")), record).alias("r"))
     folded = F.aggregate(F.slice("r", 2, F.size("r")), F.get("r", F.lit(0)), lambda acc, x: _resolve(acc, x, also))

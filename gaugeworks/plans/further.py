@@ -17,14 +17,25 @@ DETAIL = f"""WITH {ROUTES}, gr AS (SELECT f.*, coalesce(e.pt, l.pt, '') AS proce
 REASON_ROWS = f"""WITH {ROUTES}, gr AS (SELECT f.*, coalesce(e.pt, l.pt, '') AS process_type, coalesce(r.reason, '') AS reason FROM by_grain f {ROUTE} {REASONED})"""
 
 
+def daily(s, d):
+    """Quantities of every defect by group and day."""
+    return rates.quantities(enrich.expand_groups(routed(s, d), members(s, d)), [*DEFECT, "grp", "day"])
+
+
 def detail(s, d, kinds="DWM"):
-    """Quantities of every defect by group and period."""
-    rows = enrich.expand_groups(routed(s, d), members(s, d))
-    return periods.by_grain(rates.quantities(rows, [*DEFECT, "grp", "day"]), kinds=kinds)
+    """Quantities of every defect by group and period, for reports that use them once."""
+    return periods.by_grain(daily(s, d), kinds=kinds)
+
+
+def detail_kept(s, d, kinds):
+    """The same from daily sums that are written once, for reports that use them several times."""
+    return periods.by_grain(writers.staged(daily(s, d), "daily"), kinds=kinds)
 
 
 def reasoned(s, d, kinds="W"):
-    return periods.by_grain(rates.quantities(enrich.reason(routed(s, d), reasons(s, d)), ["reason", *DEFECT, "day"]), kinds=kinds)
+    """Quantities of every defect by reason and period, from daily sums that are written once."""
+    rows = rates.quantities(enrich.reason(routed(s, d), reasons(s, d)), ["reason", *DEFECT, "day"])
+    return periods.by_grain(writers.staged(rows, "daily"), kinds=kinds)
 
 
 def period_key(kind, offset, rows="gr"):
@@ -80,7 +91,8 @@ def _(s, d):
 @query("rs04_aligned_headers", f"""{DETAIL}, x AS (SELECT 'asia' AS report, process, kind, key, {PPM} AS ppm FROM gr WHERE grp = 'ASIA' AND kind = 'W' GROUP BY ALL UNION ALL SELECT 'europe', process, kind, key, {PPM} FROM gr WHERE grp = 'EUROPE' AND kind = 'M' GROUP BY ALL)
   SELECT n.report, n.process, h.kind, h.key, coalesce(x.ppm, 0.0) AS ppm FROM (SELECT DISTINCT report, process FROM x) n CROSS JOIN (SELECT DISTINCT kind, key FROM x) h LEFT JOIN x ON x.report = n.report AND x.process = n.process AND x.kind = h.kind AND x.key = h.key""", "facts routing members by_grain")
 def _(s, d):
-    one = lambda group, kind: rates.combo_ppm(detail(s, d, kind).where(F.col("grp") == group), ["process", "kind", "key"])
+    days = writers.staged(daily(s, d).where(F.col("grp").isin("ASIA", "EUROPE")), "daily")
+    one = lambda group, kind: rates.combo_ppm(periods.by_grain(days.where(F.col("grp") == group), kinds=kind), ["process", "kind", "key"])
     return reports.aligned_headers({"asia": one("ASIA", "W"), "europe": one("EUROPE", "M")}, ["process"])
 
 
@@ -88,21 +100,21 @@ def _(s, d):
   (SELECT process_type, process, ng, {PPM} AS p FROM gr WHERE grp = 'ASIA' AND kind = 'W' AND key = {period_key('W', 1)} GROUP BY ALL) QUALIFY rank <= 10)
   SELECT rank, gr.process_type, gr.process, gr.ng, grp, kind, key, {PPM} AS ppm FROM gr JOIN t USING (process_type, process, ng) WHERE kind = 'W' GROUP BY ALL""", "facts routing members by_grain")
 def _(s, d):
-    rows = detail(s, d, "W")
+    rows = detail_kept(s, d, "W")
     return reports.over_groups(reports.worst_defects(rows, "ASIA"), rows, DEFECT)
 
 
 @query("wn05_clamped_offset", f"""{DETAIL} SELECT process_type, process, ng, p AS reference_ppm, row_number() OVER (ORDER BY p DESC, process_type, process, ng)::INTEGER AS rank FROM
   (SELECT process_type, process, ng, {PPM} AS p FROM gr WHERE grp = 'ASIA' AND kind = 'M' AND key = (SELECT min(key) FROM gr WHERE kind = 'M') GROUP BY ALL) QUALIFY rank <= 3""", "facts routing members by_grain")
 def _(s, d):
-    return reports.worst_defects(detail(s, d, "M"), "ASIA", "M", 100_000, 3)
+    return reports.worst_defects(detail_kept(s, d, "M"), "ASIA", "M", 100_000, 3)
 
 
 @query("wn06_worst_processes", f"""{DETAIL}, t AS (SELECT process_type, process, sum(p) AS reference_ppm, row_number() OVER (ORDER BY sum(p) DESC, process_type, process)::INTEGER AS rank FROM
   (SELECT process_type, process, ng, {PPM} AS p FROM gr WHERE grp = 'EUROPE' AND kind = 'M' AND key = {period_key('M', 2)} GROUP BY ALL) GROUP BY process_type, process QUALIFY rank <= 4)
   SELECT rank, process_type, process, grp, kind, key, sum(p) AS ppm FROM (SELECT rank, gr.process_type, gr.process, ng, grp, kind, key, {PPM} AS p FROM gr JOIN t USING (process_type, process) WHERE kind = 'M' GROUP BY ALL) GROUP BY ALL""", "facts routing members by_grain")
 def _(s, d):
-    rows = detail(s, d, "M")
+    rows = detail_kept(s, d, "M")
     return reports.over_groups(reports.worst_processes(rows, "EUROPE", "M", 2, 4), rows, ["process_type", "process"])
 
 
