@@ -188,8 +188,9 @@ def omit(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _chosen(rows: DataFrame, keys: DataFrame, by: list[str], how: str) -> DataFrame:
-    right = _few(keys.select(*[F.col(c).alias(f"_of_{c}") for c in by]))
+    names = free(rows, *[f"_of_{i}" for i in range(len(by))])
+    right = _few(keys.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]))
     same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
     return rows.join(right, same, how)

@@ -5,7 +5,8 @@ about GROUP pieces; each group is packed by itself, and the emptiest sequences o
 
 Inside a group, pieces in the order they come give a poor start. The local search then takes the emptiest sequences
 and moves a piece, exchanges one for one, or two for one with fuller ones, always raising the sum of squared fills,
-until they are empty, nothing improves, or the number of sequences is the least possible.
+until they are empty, nothing improves, or the number of sequences is the least possible. Where it sticks above that, it
+starts again from the longest pieces, and last exchanges any number of pieces among a few underfull sequences.
 
 Defined cases: a null text counts as empty and is one piece of the end id; repeated rows are packed each; null
 doc_ids stay; an empty table gives no rows; other columns are ignored.
@@ -16,6 +17,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations, islice
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that are packed together, and one in how many sequences of a group is packed again with those of others.
 GROUP, LOOSE = 100_000, 50
-#: Pieces of a sequence up to which exchanges of two are tried.
-PAIRED = 64
+#: Tries at exchanges of any number of pieces once those of one and two end; it bounds time and leaves no piece out.
+EFFORT = 20_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -98,6 +101,13 @@ class Bins:
         self._file(len(self.room) - 1, self.capacity)
         return len(self.room) - 1
 
+    def used(self) -> int:
+        return sum(1 for x in self.items if x)
+
+    def underfull(self) -> list[int]:
+        """Sequences with pieces and room, the emptiest first."""
+        return sorted((b for b, x in enumerate(self.items) if x and self.room[b]), key=lambda b: (-self.room[b], b))
+
     def tightest(self, length: int, most: int, besides: int = -1) -> int:
         """The sequence with the least room for ``length``, and no more than ``most``, or -1."""
         fitting = self.rooms >> length
@@ -146,14 +156,13 @@ def improve(bins: Bins, least: int) -> int:
     """Empty sequences, the emptiest first, by moves, one-for-one and two-for-one exchanges with fuller ones.
 
     Every step raises the sum of squared fills, so the search ends: when a pass over all underfull sequences changes
-    nothing, or their number is ``least``. Gives the number of sequences that it emptied.
+    nothing, or the number of sequences is ``least``. Gives the number of sequences that it emptied.
     """
     lengths = bins.lengths
-    used = sum(1 for x in bins.items if x)
-    emptied, changed = 0, True
+    used, emptied, changed = bins.used(), 0, True
     while changed and used - emptied > least:
         changed = False
-        for b in sorted((b for b in range(len(bins.items)) if bins.room[b] and bins.items[b]), key=lambda b: -bins.room[b]):
+        for b in bins.underfull():
             while bins.items[b] and (move(bins, b, lengths) or exchange(bins, b, lengths)):
                 changed = True
             emptied += not bins.items[b]
@@ -175,10 +184,17 @@ def move(bins: Bins, b: int, lengths: list[int]) -> bool:
 
 
 def exchange(bins: Bins, b: int, lengths: list[int]) -> bool:
-    """The best exchange of one piece of ``b``, or else of two, for a shorter one of a fuller sequence."""
-    one = {lengths[i]: [i] for i in bins.items[b]}
-    own = sorted(bins.items[b], key=lambda i: -lengths[i])
-    for give in (one, {lengths[i] + lengths[j]: [i, j] for n, i in enumerate(own) for j in own[n + 1 :]}):
+    """The best exchange of one piece of ``b``, or else of two, for a shorter one of a fuller sequence.
+
+    Pieces of one length are alike, so a sequence has some dozens of kinds at most, however many pieces.
+    """
+    alike: dict[int, list[int]] = {}
+    for i in sorted(bins.items[b]):
+        alike.setdefault(lengths[i], []).append(i)
+    kinds = sorted(alike, reverse=True)
+    one = {n: alike[n][:1] for n in kinds}
+    two = {m + n: [alike[m][0], alike[n][-1]] for k, m in enumerate(kinds) for n in kinds[k:] if m != n or len(alike[n]) > 1}
+    for give in (one, two):
         best = max(((*bins.partner(b, n), n) for n in give), default=(0,))
         if best[0] > 0:
             _, to, back, n = best
@@ -186,20 +202,95 @@ def exchange(bins: Bins, b: int, lengths: list[int]) -> bool:
             bins.change(b, out=give[n], into=[other])
             bins.change(to, out=[other], into=give[n])
             return True
-        if len(own) > PAIRED:
-            break  # sequences of many short pieces are emptied by moves and single exchanges
     return False
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], int]:
-    """The sequence of each piece, numbered from 0, the room of each sequence, and how many the search emptied.
+def fullest(pieces: list[int], lengths: list[int], capacity: int) -> list[int]:
+    """Pieces whose lengths come as near to ``capacity`` as those of any choice; bit n of a state: sum n can be had."""
+    states = [1]
+    for i in pieces:
+        states.append(states[-1] | states[-1] << lengths[i])
+        if states[-1] >> capacity & 1:
+            break
+    left = (states[-1] & ((1 << (capacity + 1)) - 1)).bit_length() - 1
+    chosen = []
+    for k in range(len(states) - 1, 0, -1):
+        if not states[k - 1] >> left & 1:
+            chosen.append(pieces[k - 1])
+            left -= lengths[pieces[k - 1]]
+    return chosen
+
+
+def exchange_among(bins: Bins, some: list[int]) -> bool:
+    """Exchange any pieces among a few sequences so that one after the other gets as full as it can.
 
-    The start puts pieces in the order they come into the tightest open sequence; the local search does the rest.
+    Done only if it raises the sum of squared fills, as every step of the search does.
     """
+    lengths, capacity = bins.lengths, bins.capacity
+    pool = sorted((i for b in some for i in bins.items[b]), key=lambda i: (-lengths[i], i))
+    parts = []
+    for _ in some[1:]:
+        part = set(fullest(pool, lengths, capacity))
+        parts.append(part)
+        pool = [i for i in pool if i not in part]
+    parts.append(set(pool))
+    fills = [sum(lengths[i] for i in part) for part in parts]
+    if fills[-1] > capacity or sum(f * f for f in fills) <= sum((capacity - bins.room[b]) ** 2 for b in some):
+        return False
+    for b, part in zip(some, parts, strict=True):
+        old = bins.items[b]
+        bins.change(b, out=list(old - part), into=list(part - old))
+    return True
+
+
+def regroup(bins: Bins, least: int, effort: int = EFFORT) -> None:
+    """Exchanges of any number of pieces between two, then among three and four, underfull sequences.
+
+    Half of ``effort`` tries go to pairs, from the emptiest on; threes and fours are drawn, with a bias to the emptiest.
+    """
+    rng = Random(len(bins.items))
+    open_ = bins.underfull()
+    for b, to in islice(combinations(open_, 2), effort // 2):
+        if bins.items[b] and bins.items[to] and bins.room[b] and bins.room[to]:
+            exchange_among(bins, [to, b])
+    for n in range(effort // 2):
+        if n % 500 == 0:
+            open_ = bins.underfull()
+            if len(open_) < 3 or bins.used() <= least:
+                return
+        some = sorted({int(len(open_) * rng.random() ** (1 + n % 3)) for _ in range(3 + n % 2)}, reverse=True)
+        some = [open_[k] for k in some if bins.items[open_[k]]]
+        if len(some) > 1:
+            exchange_among(bins, some)
+
+
+def searched(lengths: list[int], order: list[int], capacity: int, least: int) -> tuple[Bins, int]:
+    """What the search makes of pieces put, in an order, into the tightest open sequence; and how many it emptied."""
     bins = Bins(lengths, capacity)
-    for item in range(len(lengths)):
+    for item in order:
         bins.fit(item)
-    emptied = improve(bins, -(-sum(lengths) // capacity))
+    return bins, improve(bins, least)
+
+
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], int]:
+    """The sequence of each piece, numbered from 0, the room of each sequence, and how many the search emptied.
+
+    The start puts pieces in the order they come into the tightest open sequence, and the local search does the rest.
+    If it ends above the least possible number it starts once more from the longest pieces, and the better end is
+    worked on by exchanges of any number of pieces.
+    """
+    least = -(-sum(lengths) // capacity)
+    bins, emptied = searched(lengths, list(range(len(lengths))), capacity, least)
+    if bins.used() > least:
+        # stuck where short pieces are shut in full sequences: search again from a start that has them last
+        again, more = searched(lengths, sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)), capacity, least)
+        if again.used() < bins.used():
+            bins, emptied = again, more
+    if bins.used() > least:
+        before = bins.used()
+        regroup(bins, least)
+        improve(bins, least)
+        emptied += before - bins.used()
     found, rooms = [0] * len(lengths), []
     for items, room in zip(bins.items, bins.room, strict=True):
         for i in items:

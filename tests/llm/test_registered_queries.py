@@ -10,6 +10,8 @@ from test_content_operators import SHELL, brute_spans, toxic_tables
 from test_text_operators import SCHEMA, awkward_rows, brute_components, keyed, library_ids, tiktoken_encoding
 
 import corpus_pipeline
+from gaugeworks.llm import packing
+from gaugeworks.llm.common import documents, stage
 from gaugeworks.llm.queries import QUERIES
 
 ROWS = [*awkward_rows(), *[(80 + i, t, "en", "d", 1, 2, 3, 4) for i, t in enumerate(["mail me@x.org or +1 (555) 123-4567, 4111 1111 1111 1111", "10.0.0.1 300.1.1.1", "é\U0001f600 a.b@c.de"])]]
@@ -132,3 +134,16 @@ def test_pipeline_of_empty_tables_and_null_texts(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "length").collect()
     assert keyed(found) == keyed([(1, 1), (None, len(library_ids(["one"])[0]) + 1), (3, len(library_ids(["two words"])[0]) + 1)])
+
+
+@pytest.mark.parametrize(("size", "least"), [("0.01", 442), ("0.1", 4539)])
+def test_op8_reaches_the_least_number_on_the_given_tables(spark, size, least):
+    found = QUERIES["op8_packing"](spark, f"/root/testdata/sf{size}").selectExpr("count(distinct sequence_id) as n", "sum(length) as total").first()
+    assert -(-found.total // 2048) == least == found.n
+
+
+@pytest.mark.parametrize(("group", "lost"), [(1000, 1), (100, 6)])
+def test_small_groups_lose_hardly_anything(spark, group, lost):
+    parts = stage(packing.pieces(documents(spark, "/root/testdata/sf0.01"), packing.vocabulary_path()), "pieces")
+    found = packing.pack(parts, group=group).selectExpr("count(distinct sequence_id) as n", "sum(length) as total", "count(*) as rows").first()
+    assert found.rows == parts.count() and found.n <= -(-found.total // 2048) + lost
