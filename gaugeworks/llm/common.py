@@ -71,9 +71,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, new_path(spark, name)
         self.places: dict[int, str] = {}
+        self.made = 0
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        place = f"{self.path}/{name}-{len(self.places)}"
+        place = f"{self.path}/{name}-{self.made}"
+        self.made += 1
         df.write.parquet(place)
         found = self.spark.read.schema(df.schema).parquet(place)
         self.places[id(found)] = place

@@ -166,10 +166,16 @@ def votes(m: Column, kind: str) -> Column:
 
 
 def features(m: Column, kind: str) -> Column:
-    """Features of a span, each with few values."""
+    """Features of a span, each with a fixed set of values.
+
+    The shape of a number is the lengths of its two to four groups, over 4 as 5; that of a secret is how many it has.
+    """
     hit = m["hit"]
     groups = F.split(F.regexp_replace(hit, r"^\(", ""), r"[\x20().-]+")
-    shape = F.aggregate(groups, F.lit(0), lambda acc, g: acc * 10 + F.length(g))
+    if kind == "secret":
+        shape = F.least(F.size(groups), F.lit(5))
+    else:
+        shape = F.when(F.size(groups).between(2, 4), F.aggregate(groups, F.lit(0), lambda acc, g: acc * 6 + F.least(F.length(g), F.lit(5)))).otherwise(0)
     share = F.floor(4 * F.length(_digits(hit)) / F.length(hit))
     return F.struct(
         F.least(F.floor(F.length(hit) / 8), F.lit(8)).cast("int").alias("length"),
@@ -177,7 +183,7 @@ def features(m: Column, kind: str) -> Column:
         F.regexp_like(hit, F.lit(r"^[0-9a-fA-F]++$")).cast("int").alias("hex"),
         F.regexp_like(m["before"], F.lit("[=:\"']\\s*$")).cast("int").alias("opened"),
         F.regexp_like(hit, F.lit("[_-]")).cast("int").alias("joined"),
-        F.when(F.size(groups).between(2, 5), shape).otherwise(0).alias("shape"),
+        shape.alias("shape"),
         F.regexp_like(F.lower(m["before"]), F.lit(rf"(?:^|[^a-z])(?:{'|'.join(GAZETTEER[kind])})(?:[^a-z]|$)")).cast("int").alias("announced"),
         F.when(F.regexp_like(m["before"], F.lit(r"[$\u20ac\u00a3#]\s*$")), 2).when(F.regexp_like(m["before"], F.lit(r"[A-Za-z]\s*$")), 1).otherwise(0).alias("led"),
     )
@@ -206,36 +212,42 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple
     return prior, rates, posterior
 
 
-def train(docs: DataFrame) -> dict[str, dict]:
-    """For each added kind with candidates: ``prior``, ``rates`` (of each labeler, see ``reliabilities``) and ``odds``,
-    the naive Bayes log-odds {"prior": x, (feature, value): x}.
+def evidence(docs: DataFrame) -> DataFrame:
+    """kind, v, name, value, n: how many candidates of an added kind with the votes ``v`` have each value of each
+    feature; under the name '' how many there are. At most some thousand rows, whatever the texts hold."""
+
+    def named(m: Column) -> Column:
+        pairs = [F.struct(F.lit("").alias("name"), F.lit(0).alias("value")), *[F.struct(F.lit(n).alias("name"), m["f"][n].alias("value")) for n in FEATURES]]
+        return F.transform(F.array(*pairs), lambda p: F.struct(m["kind"].alias("kind"), m["v"].alias("v"), p["name"].alias("name"), p["value"].alias("value")))
 
-    What comes to the driver is one row for each combination of votes and features, some hundreds at most.
-    """
     every = [F.transform(candidates(text_of(), k), lambda m: F.struct(F.lit(k).alias("kind"), votes(m, k).alias("v"), features(m, k).alias("f"))) for k in ADDED]
-    found = docs.select(F.explode(F.concat(*every)).alias("m")).groupBy("m").count().collect()
+    each = docs.select(F.explode(F.flatten(F.transform(F.concat(*every), named))).alias("p"))
+    return each.groupBy("p.kind", "p.v", "p.name", "p.value").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame) -> dict[str, dict]:
+    """For each added kind with candidates: ``prior``, ``rates`` (of each labeler, see ``reliabilities``) and ``odds``,
+    the naive Bayes log-odds {"prior": x, (feature, value): x}. The driver gets the rows of ``evidence``."""
     models = {}
+    found = evidence(docs).collect()
     for kind in ADDED:
-        rows = [(r.m.v, r.m.f, r["count"]) for r in found if r.m.kind == kind]
+        rows = [(r.v, r.name, r.value, r.n) for r in found if r.kind == kind]
         if rows:
             models[kind] = _classifier(rows)
     return models
 
 
 def _classifier(rows: list[tuple]) -> dict:
-    counts: dict[tuple[int, ...], int] = {}
-    for v, _, n in rows:
-        counts[tuple(v)] = counts.get(tuple(v), 0) + n
+    counts: dict[tuple[int, ...], int] = {tuple(v): n for v, name, _, n in rows if not name}
     prior, rates, posterior = reliabilities(counts)
-    true = false = 1.0
+    true = 1 + sum(posterior[v] * n for v, n in counts.items())
+    false = 1 + sum((1 - posterior[v]) * n for v, n in counts.items())
     seen: dict[tuple[str, int], list[float]] = {}
-    for v, f, n in rows:
-        p = posterior[tuple(v)]
-        true, false = true + p * n, false + (1 - p) * n
-        for pair in zip(FEATURES, f, strict=True):
-            one = seen.setdefault(pair, [0.5, 0.5])
-            one[0] += p * n
-            one[1] += (1 - p) * n
+    for v, name, value, n in rows:
+        if name:
+            one = seen.setdefault((name, value), [0.5, 0.5])
+            one[0] += posterior[tuple(v)] * n
+            one[1] += (1 - posterior[tuple(v)]) * n
     odds = {"prior": math.log(true / false)} | {k: math.log((a / (true + 1)) / (b / (false + 1))) for k, (a, b) in seen.items()}
     return {"prior": prior, "rates": rates, "odds": odds}
 

@@ -483,3 +483,20 @@ def test_pipeline_stages(spark, tmp_path):
     total = seen["packing"].selectExpr("sum(length) as n", "count(distinct sequence_id) as s").first()
     assert total.s <= -(-total.n // 2048) + 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_evidence_is_bounded_whatever_the_texts_hold(spark):
+    rng = random.Random(11)
+    token = lambda: "-".join("".join(rng.choice("abcXYZ0123456789") for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(2, 7)))
+    number = lambda: rng.choice(" .-").join("".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(2, 6)))
+    texts = [" ".join(rng.choice(["key=", "tel ", ""]) + rng.choice([token, number])() for _ in range(400)) for _ in range(100)]
+    found = pii.evidence(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert 100 < found.count() < 1000
+    assert found.where("name = ''").selectExpr("sum(n)").first()[0] > 10_000
+
+
+def test_clashing_names_of_keys(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", "y"), (2, "a  b", "x", "y"), (3, "c", "x", "y")], "doc_id bigint, text string, _of_exact_id string, _of_0 string")
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(rows).collect()) == [1, 3]
+    near = rows.withColumnRenamed("_of_exact_id", "_of_near_id")
+    assert simhash.deduplicate(near).columns == near.columns and simhash.deduplicate(near).count() == 2  # one of two equal texts goes
