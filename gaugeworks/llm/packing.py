@@ -283,9 +283,13 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int
     bins, emptied = searched(lengths, list(range(len(lengths))), capacity, least)
     if bins.used() > least:
         # stuck where short pieces are shut in full sequences: search again from a start that has them last
-        again, more = searched(lengths, sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)), capacity, least)
-        if again.used() < bins.used():
-            bins, emptied = again, more
+        stuck, order = bins.used(), list(range(len(lengths)))
+        del bins  # one search is held at a time
+        bins, more = searched(lengths, sorted(order, key=lambda i: (-lengths[i], i)), capacity, least)
+        if bins.used() < stuck:
+            emptied = more
+        else:
+            bins, emptied = searched(lengths, order, capacity, least)
     if bins.used() > least:
         before = bins.used()
         regroup(bins, least)

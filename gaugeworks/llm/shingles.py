@@ -13,7 +13,7 @@ from gaugeworks.llm.common import text_of
 
 SEED = 42
 #: Words whose hashes a worker keeps, and texts that it takes at once.
-KEPT, AT_ONCE = 100_000, 500
+KEPT, AT_ONCE = 100_000, 200
 #: The shortest parity sketch in bits; longer sets have longer ones.
 PARITY = 512
 #: About as many texts are read for shingles that many texts share, and so many of those are put last; no result depends on them.
