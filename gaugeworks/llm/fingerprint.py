@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from gaugeworks.llm.common import documents, text_of
 
 #: Leaves have so many code points at least, and at most where no word ends fittingly.
-SHORTEST, LONGEST = 64, 512
+SHORTEST, LONGEST = 24, 512
 CHUNK = rf"(?s).{{{SHORTEST},{LONGEST}}}?(?:[aenrst.,][\x20\t]|[、。]|\z)|.{{1,{LONGEST}}}"
 #: Digits of the nodes that a fingerprint has below its root: sections and paragraphs, leaves.
 NODE, LEAF = 16, 8
@@ -123,9 +123,11 @@ def trees(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tree(text_of()).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, **made: Column) -> DataFrame:
     """doc_id, text and the next row's text (``after``) in descending doc_id order; after the last comes the first.
 
+    ``made`` are columns made of ``text``; each comes once from its row, and also as ``next_`` and its name from the next row.
+
     The ids alone give block bounds (approximate percentiles; a block has about BLOCK_BYTES of text, or less for
     parallelism) and each block's first row; a row that is first in its block is also sent to the block before, so one
     shuffle of the texts by block is enough to see every row's next. Null doc_ids are keyed far below all others by a
@@ -152,20 +154,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     places = range(1 + max((b for b, _ in firsts), default=0))
     first_of = F.lit([dict(firsts).get(b, LOWEST) for b in places]).cast("array<bigint>")
     before_of = F.lit([before.get(b, 0) for b in places]).cast("array<int>")
-    rows = keyed.select("doc_id", text_of().alias("text"), "key").withColumn("block", block)
+    rows = keyed.select("doc_id", text_of().alias("text"), "key").withColumns(made | {"block": block})
     own = F.struct(F.col("block").alias("to"), F.lit(False).alias("extra"))
     also = F.struct(F.get(before_of, F.col("block")).alias("to"), F.lit(True).alias("extra"))
     sent = F.when(F.col("key") == F.get(first_of, F.col("block")), F.array(own, also)).otherwise(F.array(own))
-    dealt = rows.select("doc_id", "text", "key", F.explode(sent).alias("s")).select("doc_id", "text", "key", "s.to", "s.extra")
+    dealt = rows.select("doc_id", "text", *made, "key", F.explode(sent).alias("s")).select("doc_id", "text", *made, "key", "s.to", "s.extra")
     order = Window.partitionBy("to").orderBy("extra", F.desc("key"), "text")
-    return dealt.withColumn("after", F.lead("text").over(order)).where("not extra").select("doc_id", "text", "after")
+    nexts = {"after": "text"} | {f"next_{name}": name for name in made}
+    found = dealt.withColumns({name: F.lead(of).over(order) for name, of in nexts.items()})
+    return found.where("not extra").select("doc_id", "text", *made, *nexts)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(documents(spark, sf_dir)).withColumn("n_chars", F.length("text").cast("long"))
+    # a document's tree is built once and sent with its text, so that the row before needn't build it again
+    rows = with_next(documents(spark, sf_dir), fingerprint=tree(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.expr("cast(n_chars div 3 as int)")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("after", F.lit(1), cut))
     rows = rows.withColumn("edited", edited)
-    found = rows.select("doc_id", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), *[tree(F.col(c)).alias(n) for c, n in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("after", "next_fingerprint"))])
+    found = rows.select("doc_id", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", tree(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))

@@ -190,7 +190,7 @@ class Reader:
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Adam over the window that scores highest in each document, after a first round over all windows.
 
-    Here windows stand side by side, so that every word is in one; scoring has them overlap by half.
+    The windows are those that scoring uses and overlap by half.
     """
     rng, network = np.random.default_rng(seed), Network(seed)
     p, vocabulary = network.p, {}
@@ -215,7 +215,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         grams, begin = grams_at(words)
         return p["E"][word_at[words]] + np.add.reduceat(p["C"][grams], begin) / many[words][:, None]
 
-    at, owners = place(rows, WINDOW)
+    at, owners = place(rows)
     y_all = np.array(labels, dtype=np.float32)[owners]
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
