@@ -33,8 +33,8 @@ WINDOW, STRIDE = 32, 16
 #: Labelled documents of each class that a fit takes at most, and their longest text in bytes.
 SAMPLE, LONGEST = 1000, 50_000
 FOLDS, ROUNDS, SEED = 5, 14, 7
-#: Words whose inputs a worker keeps, and windows read at once in training and in scoring.
-KEPT, AT_ONCE, SCORED_AT_ONCE = 100_000, 2048, 512
+#: Words whose inputs a worker keeps, and windows read at once: so few that their products stay in one thread.
+KEPT, AT_ONCE = 100_000, 512
 #: A word; longer runs, as in scripts without spaces, are several words.
 WORD = re.compile(r"\w{1,40}")
 
@@ -178,10 +178,10 @@ class Reader:
             self.learn(sorted(new))
         at, owners = place([np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)) for words in split])
         logits = np.empty(len(at), np.float32)
-        for i in range(0, len(at), SCORED_AT_ONCE):
-            part = at[i : i + SCORED_AT_ONCE]
+        for i in range(0, len(at), AT_ONCE):
+            part = at[i : i + AT_ONCE]
             x = self.known[part]
-            logits[i : i + SCORED_AT_ONCE] = self.network.run({"f": x[:, :, : 3 * HIDDEN], "b": x[:, :, 3 * HIDDEN :]}, (part >= 0).astype(np.float32))
+            logits[i : i + AT_ONCE] = self.network.run({"f": x[:, :, : 3 * HIDDEN], "b": x[:, :, 3 * HIDDEN :]}, (part >= 0).astype(np.float32))
         best = np.full(len(texts), -np.inf, np.float32)
         np.maximum.at(best, owners, logits)
         return sigmoid(best.astype(np.float64))
@@ -227,7 +227,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             for i in range(0, len(at), AT_ONCE):
                 own, back = np.unique(at[i : i + AT_ONCE], return_inverse=True)
                 vectors = inputs(own)
-                layers = {d: (vectors @ p[f"W{d}"] + p[f"b{d}"])[back.reshape(-1, WINDOW)] for d in "fb"}
+                layers = {d: (np.einsum("nx,xa->na", vectors, p[f"W{d}"]) + p[f"b{d}"])[back.reshape(-1, WINDOW)] for d in "fb"}
                 logits.append(network.run(layers, (at[i : i + AT_ONCE] >= 0).astype(np.float32)))
             logits = np.concatenate(logits)
             order = np.lexsort((logits, owners))
