@@ -33,7 +33,7 @@ WINDOW, STRIDE = 32, 16
 #: Labelled documents of each class that a fit takes at most, and their longest text in bytes.
 SAMPLE, LONGEST = 1000, 50_000
 FOLDS, ROUNDS, SEED = 5, 14, 7
-#: Words whose inputs a worker keeps, and windows read at once: so few that their products stay in one thread.
+#: Words whose inputs (and trigrams whose places) a worker keeps, and windows read at once: so few that their products stay in one thread.
 KEPT, AT_ONCE = 100_000, 512
 #: A word; longer runs, as in scripts without spaces, are several words.
 WORD = re.compile(r"\w{1,40}")
@@ -41,20 +41,39 @@ WORD = re.compile(r"\w{1,40}")
 _readers: dict[int, Reader] = {}
 
 
+class Places(dict):
+    """Hashed place of a trigram, kept for at most KEPT trigrams."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass"), 1) % GRAMS
+        return self[gram]
+
+
+_places = Places()
+
+
 def forget() -> None:
     _readers.clear()
+    _places.clear()
 
 
 def features(word: str) -> tuple[int, list[int]]:
     """Hashed places of a word and of its character trigrams, ends marked."""
     data = f"^{word}$"
-    return zlib.crc32(data.encode("utf-8", "surrogatepass")) % WORDS, [zlib.crc32(data[i : i + 3].encode("utf-8", "surrogatepass"), 1) % GRAMS for i in range(len(data) - 2)]
+    return zlib.crc32(data.encode("utf-8", "surrogatepass")) % WORDS, [_places[data[i : i + 3]] for i in range(len(data) - 2)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def half_tanh(x: np.ndarray) -> np.ndarray:
+    """The logistic function by the hyperbolic tangent, which needs no clipping."""
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
 class Network:
     """Parameters: E (words), C (trigrams), W/U/b of both directions (update, reset, candidate), A/v attention, u/c output."""
 
@@ -67,62 +86,75 @@ class Network:
         self.p |= {"A": draw(2 * HIDDEN, HIDDEN, scale=0.3), "v": draw(HIDDEN, scale=0.3), "u": draw(2 * HIDDEN, scale=0.3), "c": np.zeros(1, np.float32)}
 
     def run(self, x: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False):
-        """Logit of each window; x: for each direction W·input + b at (window, step), mask: 1 where there is a word."""
+        """Logit of each window; x: for each direction W·input + b at (window, step), mask: 1 where there is a word.
+
+        Both directions go in one loop, the second from the end, and windows are the last axis of all arrays, so that
+        every operation runs over long contiguous rows.
+        """
         p, (n, steps) = self.p, mask.shape
-        states, memory = np.zeros((n, steps, 2 * HIDDEN), np.float32), {}
-        for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
-            h, U = np.zeros((n, HIDDEN), np.float32), p[f"U{d}"]
-            for t in order:
-                a, m = x[d][:, t], mask[:, t, None]
-                gates = sigmoid(a[:, : 2 * HIDDEN] + h @ U[:, : 2 * HIDDEN])
-                z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-                g = np.tanh(a[:, 2 * HIDDEN :] + (r * h) @ U[:, 2 * HIDDEN :])
-                new = h + m * z * (g - h)
-                if keep:
-                    memory[d, t] = (h, z, r, g)
-                h = new
-                states[:, t, (d == "b") * HIDDEN : (d == "b") * HIDDEN + HIDDEN] = h
-        k = np.tanh(states @ p["A"])
-        e = np.where(mask > 0, k @ p["v"], -1e9)
-        w = np.exp(e - e.max(axis=1, keepdims=True)) * mask
-        w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-9)
-        pooled = np.einsum("nt,ntd->nd", w, states)
-        logit = pooled @ p["u"] + p["c"][0]
-        return (logit, states, k, w, pooled, memory) if keep else logit
+        a = np.empty((steps, 2, 3 * HIDDEN, n), x["f"].dtype)
+        a[:, 0], a[:, 1] = x["f"].transpose(1, 2, 0), x["b"][:, ::-1].transpose(1, 2, 0)
+        m = np.ascontiguousarray(mask.T, a.dtype)
+        both = np.stack([m, m[::-1]], axis=1)[:, :, None]
+        gates, candidate = self.recurrent()
+        h, states, memory = np.zeros((2, HIDDEN, n), a.dtype), np.empty((steps, 2 * HIDDEN, n), a.dtype), []
+        for t in range(steps):
+            s = half_tanh(a[t, :, : 2 * HIDDEN] + gates @ h)
+            z, r = s[:, :HIDDEN], s[:, HIDDEN:]
+            g = np.tanh(a[t, :, 2 * HIDDEN :] + candidate @ (r * h))
+            if keep:
+                memory.append((h, z, r, g))
+            h = h + both[t] * z * (g - h)
+            states[t, :HIDDEN], states[steps - 1 - t, HIDDEN:] = h
+        k = np.tanh(p["A"].T @ states)
+        e = np.where(m > 0, p["v"] @ k, -1e9)
+        w = np.exp(e - e.max(axis=0)) * m
+        w /= np.maximum(w.sum(axis=0), 1e-9)
+        pooled = (states * w[:, None]).sum(axis=0)
+        logit = p["u"] @ pooled + p["c"][0]
+        return (logit, states, k, w, pooled, both, memory) if keep else logit
+
+    def recurrent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Recurrent weights of both directions, transposed: those of the two gates and those of the candidate."""
+        U = np.stack([self.p["Uf"].T, self.p["Ub"].T])
+        return np.ascontiguousarray(U[:, : 2 * HIDDEN]), np.ascontiguousarray(U[:, 2 * HIDDEN :])
 
     def gradients(self, inputs: np.ndarray, mask: np.ndarray, y: np.ndarray):
         """Gradients of the mean logistic loss; the one of the inputs (window, step, width) is under "x"."""
         p, (n, steps) = self.p, mask.shape
         x = {d: inputs @ p[f"W{d}"] + p[f"b{d}"] for d in "fb"}
-        logit, states, k, w, pooled, memory = self.run(x, mask, keep=True)
+        logit, states, k, w, pooled, both, memory = self.run(x, mask, keep=True)
+        gates, candidate = self.recurrent()
         g: dict[str, np.ndarray] = {}
         dlogit = (sigmoid(logit) - y) / n
-        g["u"], g["c"] = pooled.T @ dlogit, np.array([dlogit.sum()])
-        dpooled = dlogit[:, None] * p["u"]
-        dstates = w[:, :, None] * dpooled[:, None]
-        dw = np.einsum("nd,ntd->nt", dpooled, states)
-        de = w * (dw - (w * dw).sum(axis=1, keepdims=True))
-        dk = de[:, :, None] * p["v"] * (1 - k**2)
-        g["v"] = np.einsum("nt,nth->h", de, k)
-        g["A"] = np.einsum("ntd,nth->dh", states, dk)
-        dstates += dk @ p["A"].T
-        g["x"] = np.zeros_like(inputs)
-        for d, order in (("f", range(steps - 1, -1, -1)), ("b", range(steps))):
-            U, W = p[f"U{d}"], p[f"W{d}"]
-            da, dU, dh = np.zeros((n, steps, 3 * HIDDEN), np.float32), np.zeros_like(U), np.zeros((n, HIDDEN), np.float32)
-            for t in order:
-                h, z, r, c = memory[d, t]
-                m = mask[:, t, None]
-                dh = dh + dstates[:, t, (d == "b") * HIDDEN : (d == "b") * HIDDEN + HIDDEN]
-                dz, dc = dh * m * (c - h) * z * (1 - z), dh * m * z * (1 - c**2)
-                drh = dc @ U[:, 2 * HIDDEN :].T
-                dr = drh * h * r * (1 - r)
-                da[:, t] = np.concatenate([dz, dr, dc], axis=1)
-                dU += np.concatenate([h.T @ dz, h.T @ dr, (r * h).T @ dc], axis=1)
-                dh = dh * (1 - m * z) + drh * r + dz @ U[:, :HIDDEN].T + dr @ U[:, HIDDEN : 2 * HIDDEN].T
-            g[f"U{d}"], g[f"b{d}"] = dU, da.sum(axis=(0, 1))
-            g[f"W{d}"] = np.einsum("ntx,nta->xa", inputs, da)
-            g["x"] += da @ W.T
+        g["u"], g["c"] = pooled @ dlogit, np.array([dlogit.sum()])
+        dpooled = p["u"][:, None] * dlogit
+        dw = (states * dpooled).sum(axis=1)
+        de = w * (dw - (w * dw).sum(axis=0))
+        dk = de[:, None] * p["v"][:, None] * (1 - k**2)
+        g["v"] = (de[:, None] * k).sum(axis=(0, 2))
+        g["A"] = (states @ dk.transpose(0, 2, 1)).sum(axis=0)
+        dstates = w[:, None] * dpooled + p["A"] @ dk
+        da, dU, dh = np.empty((steps, 2, 3 * HIDDEN, n), states.dtype), np.zeros((2, 3 * HIDDEN, HIDDEN), states.dtype), np.zeros((2, HIDDEN, n), states.dtype)
+        for t in reversed(range(steps)):
+            h, z, r, c = memory[t]
+            dh[0] += dstates[t, :HIDDEN]
+            dh[1] += dstates[steps - 1 - t, HIDDEN:]
+            moved = dh * both[t]
+            dc = moved * z * (1 - c * c)
+            drh = candidate.transpose(0, 2, 1) @ dc
+            da[t, :, :HIDDEN], da[t, :, HIDDEN : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = moved * (c - h) * z * (1 - z), drh * h * r * (1 - r), dc
+            dgates = da[t, :, : 2 * HIDDEN]
+            dU[:, : 2 * HIDDEN] += dgates @ h.transpose(0, 2, 1)
+            dU[:, 2 * HIDDEN :] += dc @ (r * h).transpose(0, 2, 1)
+            dh = dh - moved * z + drh * r + gates.transpose(0, 2, 1) @ dgates
+        steps_first, dx = inputs.transpose(1, 2, 0), 0
+        for i, d in enumerate("fb"):
+            own = da[:, i][:: 1 - 2 * i]
+            g[f"U{d}"], g[f"b{d}"] = dU[i].T, own.sum(axis=(0, 2))
+            g[f"W{d}"] = (steps_first @ own.transpose(0, 2, 1)).sum(axis=0)
+            dx = dx + p[f"W{d}"] @ own
+        g["x"] = dx.transpose(2, 0, 1)
         return g, logit
 
 
@@ -203,7 +235,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         counts.append(len(grams))
     vocabulary.clear()
     word_at, gram_at, many = np.array(words_of), np.array(grams_of), np.array(counts)
-    gram_start = np.cumsum(many) - many
+    gram_start, shares = np.cumsum(many) - many, (1 / many).astype(np.float32)[:, None]
 
     def grams_at(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The trigrams of the words in one row, and where each word's begin."""
@@ -213,7 +245,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
 
     def inputs(words: np.ndarray) -> np.ndarray:
         grams, begin = grams_at(words)
-        return p["E"][word_at[words]] + np.add.reduceat(p["C"][grams], begin) / many[words][:, None]
+        return p["E"][word_at[words]] + np.add.reduceat(p["C"][grams], begin) * shares[words]
 
     at, owners = place(rows)
     y_all = np.array(labels, dtype=np.float32)[owners]
@@ -245,7 +277,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             np.add.at(dx, back.reshape(-1), (g.pop("x") * mask[:, :, None]).reshape(-1, WIDTH))
             g["E"], g["C"] = np.zeros_like(p["E"]), np.zeros_like(p["C"])
             np.add.at(g["E"], word_at[own], dx)
-            np.add.at(g["C"], grams_at(own)[0], np.repeat(dx / many[own][:, None], many[own], axis=0))
+            np.add.at(g["C"], grams_at(own)[0], np.repeat(dx * shares[own], many[own], axis=0))
             step += 1
             for k, v in g.items():
                 m, s = state[k]
