@@ -43,3 +43,18 @@ def overlapping(left: DataFrame, right: DataFrame, left_span: tuple[Column, Colu
     met = _binned(a, "left", levels[1], width).join(_binned(b, "right", levels[0], width), ["level", "bin"])
     here = (F.col("level") == F.greatest("left_level", "right_level")) & (F.col("bin") == F.greatest("left_first", "right_first"))
     return met.where(here & (F.col("left_end") >= F.col("right_start")) & (F.col("left_start") <= F.col("right_end"))).select("left", "right")
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_span: tuple[Column, Column], right_span: tuple[Column, Column], width: int, value: str) -> DataFrame:
+    """``left`` with ``n`` and ``lowest``: how many rows of ``right`` overlap it and their smallest ``value``; rows that overlap none are left out.
+
+    Rows of one span overlap the same others, so pairs are made of the distinct spans of both sides only, and each
+    stands for all its rows: days or hours repeat however many rows there are, and no pair of rows is written out.
+    """
+    named = lambda span: [c.cast("long").alias(n) for c, n in zip(span, ("_low", "_high"), strict=True)]
+    ends = (F.col("_low"), F.col("_high"))
+    many = right.select(*named(right_span), F.col(value).alias("_value")).groupBy("_low", "_high").agg(F.count("*").alias("_n"), F.min("_value").alias("_lowest"))
+    spans = left.select(*named(left_span)).distinct()
+    pairs = overlapping(spans, many, ends, ends, width)
+    totals = pairs.groupBy("left._low", "left._high").agg(F.sum("right._n").alias("n"), F.min("right._lowest").alias("lowest"))
+    return left.withColumns(dict(zip(("_low", "_high"), (c.cast("long") for c in left_span), strict=True))).join(totals, ["_low", "_high"]).drop("_low", "_high")

@@ -236,17 +236,17 @@ query("flt09_overlapping_pairs", """
 WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate AS DATE) + (o_orderkey % 30 + CASE WHEN o_orderkey % 500 = 0 THEN 400 ELSE 0 END)::INTEGER AS last_day FROM orders),
 e AS (SELECT event_id, CAST(ts AS DATE) - 9000 AS first_day, CAST(ts AS DATE) - 9000 + (event_id % 3)::INTEGER AS last_day FROM events WHERE event_type = 'error')
 SELECT o_orderkey, count(*) AS events, min(event_id) AS lowest FROM o JOIN e ON o.last_day >= e.first_day AND o.first_day <= e.last_day GROUP BY o_orderkey""")(
-    lambda s, d: overlaps(s, d).groupBy("left.o_orderkey").agg(F.count("*").alias("events"), F.min("right.event_id").alias("lowest"))
+    lambda s, d: intervals.overlap_totals(*spans(s, d), 4, "event_id").select("o_orderkey", F.col("n").alias("events"), "lowest")
 )
 
 
-def overlaps(s, d):
+def spans(s, d):
     key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     orders = table(s, d, "orders").select("o_orderkey", F.unix_date(day).alias("first"), (F.unix_date(day) + key % 30 + F.when(key % 500 == 0, 400).otherwise(0)).alias("last"))
     start = F.unix_date(F.to_date("ts")) - 9000
     events = table(s, d, "events").where("event_type = 'error'").select("event_id", start.alias("first"), (start + F.col("event_id") % 3).alias("last"))
     span = (F.col("first"), F.col("last"))
-    return intervals.overlapping(orders, events, span, span, 4)
+    return orders, events, span, span
 
 
 #: Each chain goes on to the point with the least (lower) or greatest (upper) slope, and of these to the farthest.

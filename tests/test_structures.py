@@ -209,6 +209,19 @@ def test_overlaps_by_brute_force(spark):
     assert intervals.overlapping(frames[0], frames[1].limit(0), span, span, 7).collect() == []
 
 
+def test_totals_of_overlaps_make_no_pairs_of_rows(spark):
+    rng = random.Random(6)
+    rows = lambda n: [(i, a, a + rng.choice([0, 2, 30])) for i, a in ((i, rng.randrange(40)) for i in range(n))] + [(n, 3, None), (n + 1, None, 3)]
+    left, right, span = rows(60), rows(50), (F.col("low"), F.col("high"))
+    frames = [spark.createDataFrame(r, "id int, low int, high int") for r in (left, right)]
+    met = {a[0]: [b[0] for b in right if None not in (*a, *b) and a[2] >= b[1] and a[1] <= b[2]] for a in left}
+    found = intervals.overlap_totals(*frames, span, span, 4, "id").collect()
+    assert sorted((r.id, r.n, r.lowest) for r in found) == sorted((k, len(v), min(v)) for k, v in met.items() if v)
+    same = spark.range(1_000_000).select("id", F.lit(5).alias("low"), F.lit(6).alias("high"))  # a million million pairs
+    got = intervals.overlap_totals(same, same, span, span, 4, "id").agg(F.count("*"), F.min("n"), F.max("n"), F.max("lowest")).first()
+    assert tuple(got) == (1_000_000, 1_000_000, 1_000_000, 0)
+
+
 def parts_of(path):
     return {p.parent.name: (p.name, p.stat().st_mtime_ns) for p in path.rglob("*.parquet")}
 
