@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from gaugeworks.functions.text import number
+from gaugeworks.sources.writers import staged
+
+#: Files whose starts are broadcast at most (some 20 MB).
+KNOWN = 100_000
 
 
 def where_all(df: DataFrame, equals: dict[str, object]) -> DataFrame:
@@ -122,13 +126,16 @@ def training_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, first, line: the lines of a file, those of its first part (``first``) with their numbers from 1.
+    """file, value, first, line: the lines of each file, those of its first part (``first``) with their numbers from 1.
 
-    Only the head of a file is told by line numbers, and it lies in the part that begins at byte 0.
+    Only the head of a file is told by line numbers, and it lies in the part that begins at byte 0. A folder may have
+    several files, each with a head of its own; their starts are broadcast up to KNOWN files and joined by a shuffle beyond.
     """
-    lines = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") == 0).alias("first"), F.monotonically_increasing_id().alias("id"))
-    start = lines.where("first").agg(F.min("id")).first()[0] or 0
-    return lines.select("value", "first", (F.col("id") - start + 1).alias("line"))
+    first = (F.col("_metadata.file_block_start") == 0).alias("first")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", first, F.monotonically_increasing_id().alias("id"))
+    starts = staged(lines.where("first").groupBy("file").agg(F.min("id").alias("start")), "starts")
+    starts = F.broadcast(starts) if starts.count() <= KNOWN else starts.hint("merge")
+    return lines.join(starts, "file").select("file", "value", "first", (F.col("id") - F.col("start") + 1).alias("line"))
 
 
 def fields(line: Column, sep: str) -> Column:
@@ -163,7 +170,7 @@ def unique_headers(names: list[str]) -> list[str]:
 
 
 def _header(lines: DataFrame, header_row: int) -> str:
-    found = lines.where(F.col("first") & (F.col("line") == header_row)).first()
+    found = lines.where(F.col("first") & (F.col("line") == header_row)).orderBy("file").first()
     if found is None:
         raise ValueError(f"line {header_row} isn't there to name columns")
     return found.value
@@ -175,7 +182,7 @@ def delimited(spark: SparkSession, path: str, delimiter: str | None = None, head
     Values are trimmed, missing ones empty, blank lines skipped; fewer than ``least`` columns are an error.
     """
     lines = numbered_lines(spark, path)
-    head = [r.value for r in lines.where(F.col("first") & F.col("line").between(header_row, header_row + 19)).orderBy("line").collect()]  # 20 lines
+    head = [r.value for r in lines.where(F.col("first") & F.col("line").between(header_row, header_row + 19)).orderBy("file", "line").limit(20).collect()]
     sep = delimiter or detect_delimiter(head)
     header = _header(lines, header_row)
     names = unique_headers(header.split() if sep == " " else header.split(sep))

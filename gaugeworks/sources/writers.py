@@ -46,9 +46,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def tsv(df: DataFrame, path: str) -> None:
-    """Tabs and line breaks inside values become spaces."""
+    """Tabs and line breaks inside values become spaces; nothing else of a value is changed, and nulls are empty.
+
+    No value is quoted: the quotation mark is a character that no value has by now.
+    """
     flat = [F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " ").alias(c) for c in df.columns]
-    df.select(*flat).write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+    df.select(*flat).write.mode("overwrite").csv(path, sep="\t", header=True, quote="\r", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def replace_partitions(df: DataFrame, path: str, key: list[str]) -> None:

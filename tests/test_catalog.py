@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables, and the rules that SQL can't show on small frames."""
 
 import datetime
+import re
 
 import duckdb
 import pytest
@@ -192,6 +193,23 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 4
 
 
+def test_tsv_of_several_files_comes_back_as_it_was(spark, tmp_path):
+    texts = [" lead", "trail ", "", None, "\x00nul", "a\x00b", "#c", "back\\slash\\", '"q" x"', "   ", "\t", "text", "\x0b\x0c", "doc_id\ttext", "a\r\n\tb", "\x1f\x00 "]
+    rows = [(str(i) if i % 3 else "\x00" + str(i), t) for i, t in enumerate(texts * 4)]
+    writers.tsv(spark.createDataFrame(rows, "k string, v string").repartition(4), str(tmp_path / "t"))
+    lines = readers.numbered_lines(spark, str(tmp_path / "t"))
+    assert len({r.file for r in lines.collect()}) == 4
+    want = sorted((k, re.sub(r"[\t\r\n]+", " ", t or "")) for k, t in rows)
+    assert sorted(tuple(r.value.split("\t")) for r in lines.where("not (first and line = 1)").collect()) == want
+    spark.createDataFrame([(k, t) for (k, _), t in zip(rows, texts * 4, strict=True)], "doc_id string, text string").repartition(3).write.parquet(str(tmp_path / "d/documents.parquet"))
+    assert sorted(map(tuple, catalog.QUERIES["snk05_tsv"](spark, str(tmp_path / "d")).collect())) == want
+    readers.KNOWN, known = 0, readers.KNOWN
+    try:
+        assert readers.numbered_lines(spark, str(tmp_path / "t")).where("first and line = 1").count() == 4
+    finally:
+        readers.KNOWN = known
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "in"))
