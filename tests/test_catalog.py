@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 from gaugeworks.functions import measures, periods, text
-from gaugeworks.operators import classifier, datasets, dedup, enrich, quality, ranking, reports
+from gaugeworks.operators import classifier, datasets, dedup, enrich, quality, ranking, rates, reports
 from gaugeworks.plans import catalog, further, structures  # noqa: F401  (registers its queries)
 from gaugeworks.sources import readers, writers
 from gaugeworks.streaming import daily
@@ -210,6 +210,18 @@ def test_tsv_of_several_files_comes_back_as_it_was(spark, tmp_path):
         readers.KNOWN = known
 
 
+def test_means_of_equal_rates_round_as_in_sql(spark):
+    rows = [(f"S{k}", v, " ", "test", "", 0.12) for k in range(5, 30) for v in ["A"] * k + ["B"]]
+    schema = "dataset string, variable string, variable_detail string, variable_group string, defect_type string, ng_rate double"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (dataset VARCHAR, variable VARCHAR, p DOUBLE)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?)", [(r[0], r[1], r[5]) for r in rows])
+    want = con.sql("SELECT dataset, arg_min(variable, (p, variable)), arg_max(variable, (p, variable)) FROM (SELECT dataset, variable, avg(p) AS p FROM r GROUP BY ALL) GROUP BY 1 ORDER BY 1").fetchall()
+    for parts in (1, 3, 7):
+        found = rates.best_and_worst(spark.createDataFrame(rows, schema).repartition(parts), "dataset")
+        assert sorted((r.dataset, r.best, r.worst) for r in found.collect()) == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "in"))
