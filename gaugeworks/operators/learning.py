@@ -16,16 +16,23 @@ KEY = ["kind", "token"]
 
 
 def tallies(rows: DataFrame, fields: tuple[str, ...], label: str, batch: int) -> DataFrame:
-    """Counts of one batch of training rows (``fields``, ``label``, rid); rows without a label don't count."""
+    """Counts of one batch of training rows (``fields``, ``label``, rid); rows without a label don't count.
+
+    Rows are dealt evenly before they are grouped, whatever files they lie in, and are counted by name and label first:
+    what they count is exploded from the distinct ones, so that no task sorts many times the rows that it has read.
+    """
     missing = [c for c in (*fields, label, "rid") if c not in rows.columns]
     if missing:
         raise ValueError(f"training rows have no column {', '.join(missing)}")
     arrival = F.struct(F.struct(F.lit(batch).alias("batch"), F.col("rid").cast("string").alias("rid")).alias("at"), F.col(label).alias("label"))
+    dealt = rows.where(F.trim(label) != "").select(*fields, label, arrival.alias("arrival")).repartition("arrival.at.rid")
+    total = [F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")]
+    names = dealt.groupBy(*fields, label).agg(F.count("*").alias("n"), F.min("arrival").alias("first"), F.max("arrival").alias("last"))
     one = lambda kind, token: F.struct(F.lit(kind).alias("kind"), token.alias("token"))
     single = F.array(one("prior", F.lit("")), one("exact", _key(fields, False)), one("normal", _key(fields, True)))
     counted = F.concat(single, F.transform(_words(fields), lambda w: one("vote", w)))
-    each = rows.where(F.trim(label) != "").select(F.lower(label).alias("l"), arrival.alias("arrival"), F.explode(counted).alias("c"))
-    return each.groupBy("c.kind", "c.token", "l").agg(F.count("*").alias("n"), F.min("arrival").alias("first"), F.max("arrival").alias("last"))
+    each = names.select(F.lower(label).alias("l"), "n", "first", "last", F.explode(counted).alias("c"))
+    return each.groupBy("c.kind", "c.token", "l").agg(*total)
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:

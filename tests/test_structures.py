@@ -268,3 +268,14 @@ def test_batches_teach_what_their_union_does_after_a_restart(spark, tmp_path):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError, match="no column label"):
         learning.learn(frame(one).drop("label"), path, ("name",), "label", 3, 8)
+
+
+def test_tallies_explode_distinct_names_dealt_evenly(spark):
+    rows = [(n, t, f"{i:04}") for i, (n, t) in enumerate([("pump a", "Main"), ("pump a", "MAIN"), ("pump b", "SUB"), ("x", " ")] * 50)]
+    found = learning.tallies(spark.createDataFrame(rows, "name string, label string, rid string").coalesce(1), ("name",), "label", 3)
+    got = {(r["kind"], r["token"], r["l"]): (r["n"], r["first"]["at"]["rid"], r["first"]["label"], r["last"]["at"]["rid"], r["last"]["label"]) for r in found.collect()}
+    assert got["prior", "", "main"] == (100, "0000", "Main", "0197", "MAIN") == got["vote", "PUMP", "main"] and got["vote", "B", "sub"] == (50, "0002", "SUB", "0198", "SUB")
+    assert {k[0] for k in got} == {"prior", "exact", "normal", "vote"} and not any(k[1].lower() == "x" for k in got)
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    exploded = tree.index("Generate explode")
+    assert exploded < tree.index("Aggregate", exploded) < tree.index("RepartitionByExpression", exploded)  # from the last step to the first
