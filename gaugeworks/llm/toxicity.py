@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,17 +60,24 @@ def forget() -> None:
 
 def features(word: str) -> tuple[int, list[int]]:
     """Hashed places of a word and of its character trigrams, ends marked."""
-    data = f"^{word}$"
-    return zlib.crc32(data.encode("utf-8", "surrogatepass")) % WORDS, [_places[data[i : i + 3]] for i in range(len(data) - 2)]
+    own, grams, _ = all_features([word])
+    return int(own[0]), grams.tolist()
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def all_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed places of words, those of their trigrams in one row, and how many each word has; each distinct trigram is hashed once."""
+    data = "^" + "$^".join(words) + "$"
+    many = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    begin = np.cumsum(many + 2) - (many + 2)
+    at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())  # where trigrams within one word begin
+    _, firsts, back = np.unique(points[at] << 42 | points[at + 1] << 21 | points[at + 2], return_index=True, return_inverse=True)
+    grams = np.array([_places[data[i : i + 3]] for i in at[firsts].tolist()])[back]
+    return np.array([zlib.crc32(f"^{w}$".encode("utf-8", "surrogatepass")) % WORDS for w in words]), grams, many
 
 
-def half_tanh(x: np.ndarray) -> np.ndarray:
-    """The logistic function by the hyperbolic tangent, which needs no clipping."""
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Network:
@@ -94,17 +100,28 @@ class Network:
         p, (n, steps) = self.p, mask.shape
         a = np.empty((steps, 2, 3 * HIDDEN, n), x["f"].dtype)
         a[:, 0], a[:, 1] = x["f"].transpose(1, 2, 0), x["b"][:, ::-1].transpose(1, 2, 0)
+        a[:, :, : 2 * HIDDEN] *= 0.5  # a gate is the logistic function by the hyperbolic tangent, which needs no clipping
         m = np.ascontiguousarray(mask.T, a.dtype)
         both = np.stack([m, m[::-1]], axis=1)[:, :, None]
         gates, candidate = self.recurrent()
+        half = gates * a.dtype.type(0.5)
         h, states, memory = np.zeros((2, HIDDEN, n), a.dtype), np.empty((steps, 2 * HIDDEN, n), a.dtype), []
         for t in range(steps):
-            s = half_tanh(a[t, :, : 2 * HIDDEN] + gates @ h)
+            s = half @ h
+            s += a[t, :, : 2 * HIDDEN]
+            np.tanh(s, out=s)
+            s *= 0.5
+            s += 0.5
             z, r = s[:, :HIDDEN], s[:, HIDDEN:]
-            g = np.tanh(a[t, :, 2 * HIDDEN :] + candidate @ (r * h))
+            g = candidate @ (r * h)
+            g += a[t, :, 2 * HIDDEN :]
+            np.tanh(g, out=g)
             if keep:
                 memory.append((h, z, r, g))
-            h = h + both[t] * z * (g - h)
+            moved = g - h
+            moved *= z
+            moved *= both[t]
+            h = h + moved
             states[t, :HIDDEN], states[steps - 1 - t, HIDDEN:] = h
         k = np.tanh(p["A"].T @ states)
         e = np.where(m > 0, p["v"] @ k, -1e9)
@@ -189,10 +206,9 @@ class Reader:
 
     def learn(self, words: list[str]) -> None:
         p = self.network.p
-        found = [features(w) for w in words]
-        counts = np.array([len(g) for _, g in found])
-        grams = np.add.reduceat(p["C"][np.array([g for _, own in found for g in own])], np.concatenate([[0], np.cumsum(counts)[:-1]]))
-        x = p["E"][np.array([w for w, _ in found])] + grams / counts[:, None]
+        own, places, counts = all_features(words)
+        grams = np.add.reduceat(p["C"][places], np.cumsum(counts) - counts)
+        x = p["E"][own] + grams / counts[:, None]
         first, last = len(self.rows), len(self.rows) + len(words)
         while last > len(self.known):
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
@@ -227,14 +243,10 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     rng, network = np.random.default_rng(seed), Network(seed)
     p, vocabulary = network.p, {}
     rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
-    words_of, grams_of, counts = array("i"), array("i"), array("i")
-    for word in vocabulary or {"": 0}:
-        own, grams = features(word)
-        words_of.append(own)
-        grams_of.extend(grams)
-        counts.append(len(grams))
+    order = list(vocabulary) or ["0"]
     vocabulary.clear()
-    word_at, gram_at, many = np.array(words_of), np.array(grams_of), np.array(counts)
+    word_at, gram_at, many = map(np.concatenate, zip(*[all_features(order[i : i + 10_000]) for i in range(0, len(order), 10_000)], strict=True))
+    del order
     gram_start, shares = np.cumsum(many) - many, (1 / many).astype(np.float32)[:, None]
 
     def grams_at(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

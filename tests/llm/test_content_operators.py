@@ -284,6 +284,18 @@ def test_all_of_a_long_word_is_read():
     assert "".join(split(long)) == long and [toxicity.features(w) for w in split(long + "x")] != [toxicity.features(w) for w in split(long + "y")]
 
 
+def test_features_of_many_words_are_those_of_each(monkeypatch):
+    words = ["a", "ab", "äöü", "x" * 40, "\U0001f600\U0001f601", "\ud800z", "abab", "a", "0"]
+    seen = []
+    monkeypatch.setattr(toxicity, "_places", type("Seen", (toxicity.Places,), {"__missing__": lambda self, gram: seen.append(gram) or toxicity.Places.__missing__(self, gram)})())
+    own, grams, many = toxicity.all_features(words)
+    want = [(f"^{w}$", [f"^{w}$"[i : i + 3] for i in range(len(w))]) for w in words]
+    place = lambda text, start, size: zlib.crc32(text.encode("utf-8", "surrogatepass"), start) % size
+    assert own.tolist() == [place(w, 0, toxicity.WORDS) for w, _ in want] and many.tolist() == [len(g) for _, g in want]
+    assert grams.tolist() == [place(g, 1, toxicity.GRAMS) for _, each in want for g in each]
+    assert len(seen) == len(set(seen))  # no trigram is hashed twice
+
+
 def test_scores_are_those_of_the_network_over_all_windows(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
