@@ -139,7 +139,8 @@ def page_files(s, d):
     """A folder with a file for each page's html, and for every third page a second one."""
     path = writers.scratch(s, "pages")
     rows = table(s, d, "pages").select(F.col("html").alias("value"), "page_id", F.explode(F.when(F.col("page_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
-    rows.repartition("page_id").write.partitionBy("page_id", "copy").text(path)
+    place = F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/copy="), F.col("copy").cast("string"), F.lit("/page.txt"))
+    files.write_each(rows.select(place.alias("place"), "value"), path)
     return path
 
 

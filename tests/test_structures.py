@@ -107,6 +107,29 @@ def test_known_files_are_not_opened_and_only_candidates_are_read_whole(spark, tm
     assert files.hashed(gone).first().hash is None
 
 
+def test_files_of_pages_are_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a=1/b", "x"), ("a=2/b", None), ("a=1/c", "é\n"), ("a=2/b", "y")], "place string, value string")
+    path = f"file://{tmp_path}/each"
+    for _ in range(2):  # a task that runs again replaces its files
+        files.write_each(rows, path)
+    made = {str(p.relative_to(tmp_path / "each")): p.read_bytes() for p in (tmp_path / "each").rglob("*") if p.is_file()}
+    assert made.pop("a=2/b") in (b"\ny\n", b"y\n\n") and made == {"a=1/b": b"x\n", "a=1/c": "é\n\n".encode()}
+
+
+def test_many_folders_are_listed_and_scanned_in_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "f").write_bytes(b"%d" % i)
+    spark.sparkContext.setJobGroup("few", "")
+    found = files.file_index(spark, f"file://{tmp_path}")
+    assert found.count() == 200 and found.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert max(s.numTasks for s in stages if s) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
 def test_each_file_has_its_own_delimiter_and_header(spark, tmp_path):
     texts = {
         "a.txt": "k;name;K;\n1; two words ;3;4\n\n2;x\n", "b.txt": "k\tname\n1\ta,b;c\n", "c.txt": "k|n\n1|2|3\n", "d.txt": "alone\nx\n", "e.txt": "", "f.csv": "a,b,a,A\n1,2,3,4\n",
