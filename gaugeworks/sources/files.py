@@ -58,6 +58,12 @@ def ranges_of(size: int, whole: bool) -> list[tuple[int, int]]:
     return [(0, size)] if whole or 2 * sample >= size else [(0, sample), (size - sample, sample)]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, which is the cluster's own where a plain path names none, as for Spark's writers."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path as Spark names it, of those that pyarrow knows, and the place in it."""
     scheme, authority, place = re.fullmatch(r"([A-Za-z][\w+.-]*):(?://([^/]*))?(/.*)", path, re.DOTALL).groups()
@@ -79,6 +85,7 @@ def write_each(rows: DataFrame, path: str) -> None:
     none, and a task that runs again replaces its files. Places are dealt over the tasks and sorted, so that a place's
     lines are written one after the other.
     """
+    path = qualified(rows.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = located(path)

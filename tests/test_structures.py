@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -10,6 +11,7 @@ import re
 import pytest
 from gaugeworks.functions import text
 from gaugeworks.operators import classifier, enrich, hulls, intervals, learning, rates, reports, trees
+from gaugeworks.plans import catalog, structures  # noqa: F401  (registers its queries)
 from gaugeworks.sources import files, many, stored, writers
 from gaugeworks.streaming import refetch
 from pyspark.sql import functions as F
@@ -116,6 +118,17 @@ def test_files_of_pages_are_written_by_tasks(spark, tmp_path):
     assert made.pop("a=2/b") in (b"\ny\n", b"y\n\n") and made == {"a=1/b": b"x\n", "a=1/c": "é\n\n".encode()}
 
 
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_files_of_pages_are_written_to_a_shared_folder_named_in_any_form(spark, tmp_path, monkeypatch, form):
+    pages = spark.createDataFrame([(1, "u", "a"), (3, "v", "b"), (4, "w", "a"), (5, "x", None)], "page_id bigint, url string, html string")
+    pages.write.parquet(f"{tmp_path}/tables/pages.parquet")
+    root, made = form.format(tmp_path / "shared folder#1%20"), itertools.count()
+    monkeypatch.setattr(writers, "scratch", lambda _, name: f"{root}/{name}-{next(made)}")  # as spark.checkpoint.dir can't be set in a session
+    index, same = (catalog.QUERIES[n](spark, f"{tmp_path}/tables").collect() for n in ("src23_file_index", "jn17_same_files_on_disk"))
+    assert sorted((r.page_id, r["copy"], r.bytes, r.reused) for r in index) == [(1, 0, 2, True), (3, 0, 2, True), (3, 1, 2, False), (4, 0, 2, True), (5, 0, 1, True)]
+    assert sorted((r.page_id, r["copy"], r.first_path, r.copies) for r in same) == [(1, 0, "page_id=1/copy=0", 2), (3, 0, "page_id=3/copy=0", 2), (3, 1, "page_id=3/copy=0", 2), (4, 0, "page_id=1/copy=0", 2)]
+
+
 def test_many_folders_are_listed_and_scanned_in_few_tasks(spark, tmp_path):
     for i in range(200):
         (tmp_path / f"d{i}").mkdir()
